@@ -73,7 +73,7 @@ def space_punctuation(c: Column) -> Column:
 
 def strip_charset(c: Column) -> Column:
     """Keep printable ASCII, line ends and CJK; accented letters go too."""
-    return F.regexp_replace(c, r"[^\x20-\x7E\n\r一-鿿]", "")
+    return F.regexp_replace(c, r"[^\x20-\x7E\n\r一-鿿]+", "")
 
 
 def strip_noise(c: Column) -> Column:
@@ -144,10 +144,10 @@ def header_footer_flags(content: Column, top_y: Column, page_height: Column) ->
 
 def estimate_tokens(c: Column) -> Column:
     """Wide characters + ASCII words + a quarter of the narrow characters."""
-    n = F.length(c)
-    wide = n - F.length(F.regexp_replace(c, r"[^\x00-\xff]", ""))
+    # wide + narrow // 4 == length - ceil(3 * narrow / 4): one pass for each pattern
+    narrow = F.length(F.regexp_replace(c, r"[^\x00-\xff]+", ""))
     words = F.regexp_count(c, F.lit(r"(?U)\b[a-zA-Z]+\b"))
-    return (wide + words + F.floor((n - wide) / 4)).cast("int")
+    return (F.length(c) + words - F.floor((narrow * 3 + 3) / 4)).cast("int")
 
 
 def count_tokens(c: Column) -> Column:
@@ -195,7 +195,7 @@ def term_counts(words: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(words) == 0, empty).otherwise(let(F.array_sort(words), runs))
+    return F.when(F.size(words) == 0, empty).otherwise(let(F.sort_array(words), runs))
 
 
 def entity_set(c: Column) -> Column:

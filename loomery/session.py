@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Small sides are collected or broadcast only up to this many rows; beyond it
 # operators take their shuffle route.
-BROADCAST_MAX_ROWS = 20_000
+BROADCAST_MAX_ROWS = 100_000
 
 
 def build_session(app: str = "loomery", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -22,7 +22,7 @@ def build_session(app: str = "loomery", master: str | None = None, shuffle_parti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -66,3 +66,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute once into a table in the shared folder and read that: cuts the
+    lineage and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
