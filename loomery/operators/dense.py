@@ -23,6 +23,7 @@ MAX_SHIPPED_QUERIES = 4096
 BLOCK_CELLS = 4_000_000
 GRID_CORPUS_ROWS = 100_000
 MAX_CENTROIDS = 4096
+FINAL_SALTS = 16
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -78,9 +79,9 @@ def _schema(queries: DataFrame, corpus: DataFrame) -> str:
 
 
 def _finish(partial: DataFrame, k: int) -> DataFrame:
-    salts = 32 if partial.rdd.getNumPartitions() > 1000 else 0
+    # every scan task sends k rows per query: end a query's list in two rounds
     order = [F.desc("dense_score"), F.asc("chunk_id")]
-    return top_k(partial, "query_id", order, k, salts=salts, salt_on="chunk_id")
+    return top_k(partial, "query_id", order, k, salts=FINAL_SALTS, salt_on="chunk_id")
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = k_.RETRIEVER_TOP_K, tenant: str | None = None) -> DataFrame:

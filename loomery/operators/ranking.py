@@ -21,21 +21,20 @@ def _norm(counts: Column) -> Column:
     return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x["tf"].cast("double") * x["tf"]))
 
 
-def lexical_cosine(query_counts: Column, content_tokens: Column) -> Column:
+def lexical_cosine(query_counts: Column, content_counts: Column, content_norm: Column) -> Column:
     """Cosine of term counts; 0 when either side has no words."""
 
-    def score(words):
-        def with_counts(c):
-            both = F.aggregate(
-                query_counts,
-                F.lit(0.0),
-                lambda s, q: s + q["tf"] * F.coalesce(F.get(F.filter(c, lambda x: x["term"] == q["term"]), F.lit(0))["tf"], F.lit(0)),
-            )
-            return F.coalesce(F.try_divide(both, _norm(query_counts) * _norm(c)), F.lit(0.0))
+    def shared(asked):
+        # only the words both sides have are paired term by term
+        both = F.filter(content_counts, lambda c: F.array_contains(asked, c["term"]))
+        return F.aggregate(
+            both,
+            F.lit(0.0),
+            lambda s, x: s + x["tf"] * F.get(F.filter(query_counts, lambda q: q["term"] == x["term"]), F.lit(0))["tf"],
+        )
 
-        return let(term_counts(words), with_counts)
-
-    return let(content_tokens, score)
+    dot = let(F.transform(query_counts, lambda q: q["term"]), shared)
+    return F.coalesce(F.try_divide(dot, _norm(query_counts) * content_norm), F.lit(0.0))
 
 
 def entity_overlap(query_entities: Column, content_entities: Column) -> Column:
@@ -52,19 +51,31 @@ def authority(access_count: Column) -> Column:
     return F.when(access_count > 100, 0.9).when(access_count > 10, 0.7).otherwise(0.5)
 
 
+_CONTENT = ("_cc", "_cn", "_ce")
+
+
+def content_features(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """Term counts, their norm and entities of a text. Call it before the join
+    with the candidates: once per chunk, however many queries found it."""
+    out = chunks.withColumns({"_cc": term_counts(tokens(F.col(content))), "_ce": entity_set(F.col(content))})
+    return out.withColumn("_cn", _norm(F.col("_cc")))
+
+
 def coarse_score(df: DataFrame) -> DataFrame:
     """Add tfidf, entity, recency, authority and coarse_score."""
+    if any(c not in df.columns for c in _CONTENT):
+        df = content_features(df)
     out = df.withColumns({"_qc": term_counts(tokens(F.col("query"))), "_qe": entity_set(F.col("query"))})
     out = out.withColumns(
         {
-            "tfidf": lexical_cosine(F.col("_qc"), tokens(F.col("content"))),
-            "entity": entity_overlap(F.col("_qe"), entity_set(F.col("content"))),
+            "tfidf": lexical_cosine(F.col("_qc"), F.col("_cc"), F.col("_cn")),
+            "entity": entity_overlap(F.col("_qe"), F.col("_ce")),
             "recency": recency(F.col("chunk_index")),
             "authority": authority(F.col("access_count")),
         }
-    )
+    ).drop("_qc", "_qe", *_CONTENT)
     total = 0.4 * F.col("tfidf") + 0.3 * F.col("entity") + 0.15 * F.col("recency") + 0.15 * F.col("authority")
-    return out.withColumn("coarse_score", F.round(total, 6)).drop("_qc", "_qe")
+    return out.withColumn("coarse_score", F.round(total, 6))
 
 
 def coarse_rank(candidates: DataFrame, k: int = k_.COARSE_TOP_K) -> DataFrame:
