@@ -13,9 +13,9 @@ from loomery.operators.topk import top_k
 
 def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
     """One page plus total and has_more on every row; the sort keeps only the page's head."""
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total")).scalar()
     rows = df.orderBy(*order).offset(offset).limit(size)
-    return rows.join(F.broadcast(total)).withColumn("has_more", F.lit(offset + size) < F.col("total"))  # total is one row
+    return rows.withColumn("total", total).withColumn("has_more", F.lit(offset + size) < F.col("total"))
 
 
 def page_per_group(df: DataFrame, by: str, order: list[Column], offset: int, size: int) -> DataFrame:

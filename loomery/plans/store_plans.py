@@ -359,7 +359,7 @@ def _chunks_small(spark, sf_dir):
     return chunk_text(b.documents(spark, sf_dir), separator="\n", min_tokens=1, max_tokens=60, min_overlap=10**9).withColumnRenamed("doc_id", "document_id")
 
 
-@query("file_compaction", "select l_orderkey, l_linenumber, l_partkey from lineitem")
+@query("file_compaction", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey from lineitem")
 def file_compaction(spark, sf_dir):
     """Many small files rewritten as a few range-sorted ones."""
     small, merged = scratch_dir(spark, "small"), scratch_dir(spark, "merged")
