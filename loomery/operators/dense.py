@@ -133,10 +133,10 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, tenant: str | None, sch
     n_q = math.ceil(queries.count() / MAX_SHIPPED_QUERIES)
     n_c = max(1, math.ceil(corpus.count() / GRID_CORPUS_ROWS))
     q = queries.select(
-        "*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).cast("bigint").alias("_i")
+        "*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))).alias("_i")
     )
     c = corpus.select(
-        "*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint").alias("_j")
+        "*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).alias("_i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("_j")
     )
 
     def cell(qf: pd.DataFrame, cf: pd.DataFrame) -> pd.DataFrame:
