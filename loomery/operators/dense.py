@@ -132,8 +132,10 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, tenant: str | None, sch
     """Blocks of queries against blocks of the corpus, each pair one bounded task."""
     n_q = math.ceil(queries.count() / MAX_SHIPPED_QUERIES)
     n_c = max(1, math.ceil(corpus.count() / GRID_CORPUS_ROWS))
+    # own column names on the query side: both sides may come from one table
+    own = [F.col(tenant).alias("_qt")] if tenant else []
     q = queries.select(
-        "*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))).alias("_i")
+        "query_id", F.col("embedding").alias("_qv"), *own, F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))).alias("_i")
     )
     c = corpus.select(
         "*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).alias("_i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("_j")
@@ -142,7 +144,7 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, tenant: str | None, sch
     def cell(qf: pd.DataFrame, cf: pd.DataFrame) -> pd.DataFrame:
         best = _Best(k)
         if len(qf) and len(cf):
-            _meet(best, _unit(_stack(qf["embedding"])), qf[tenant].to_numpy() if tenant else None, cf, tenant)
+            _meet(best, _unit(_stack(qf["_qv"])), qf["_qt"].to_numpy() if tenant else None, cf, tenant)
         return best.frame(qf["query_id"].tolist())
 
     return q.groupBy("_i", "_j").cogroup(c.groupBy("_i", "_j")).applyInPandas(cell, schema)

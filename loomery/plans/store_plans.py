@@ -107,6 +107,31 @@ def upsert_latest(spark, sf_dir):
     return st.upsert(o.where(old), o.where(~old), ["id"], "version")
 
 
+@query("upsert_store", """select source as tenant_id, d.doc_id, case when l.doc_id is null then 1 else 2 end::bigint as version, case when l.doc_id is null then lang else 'q' || quality end as note
+  from documents d left join (select * from labels where toxic = 0) l on l.doc_id = d.doc_id""")
+def upsert_store(spark, sf_dir):
+    """All documents stored, then the labelled ones upserted; a second run changes nothing."""
+    path = scratch_dir(spark, "upsert")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), "doc_id", F.lit(1).cast("bigint").alias("version"), F.col("lang").alias("note"))
+    st.write_store(docs, path)
+    labels = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("note"))
+    new = docs.drop("note").join(labels, "doc_id").select("tenant_id", "doc_id", F.lit(2).cast("bigint").alias("version"), "note")
+    for _ in range(2):
+        st.upsert_store(spark, path, new, ["doc_id"], "version")
+    return spark.read.parquet(path).select("tenant_id", "doc_id", "version", "note")
+
+
+@query("delete_from_store", "select source as tenant_id, doc_id from documents where not (doc_id in (select doc_id from labels where quality = 0) or source = 'src7')")
+def delete_from_store(spark, sf_dir):
+    path = scratch_dir(spark, "delete")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), "doc_id")
+    st.write_store(docs, path)
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    gone = docs.join(bad, "doc_id", "left_semi").unionByName(docs.where("tenant_id = 'src7'"))
+    st.delete_from_store(spark, path, gone, "doc_id")
+    return spark.read.parquet(path).select("tenant_id", "doc_id")
+
+
 @query("bulk_errors", "select count(*) filter (quality = 1)::bigint as written, count(*) filter (quality <> 1)::bigint as failed from labels")
 def bulk_errors(spark, sf_dir):
     good, bad = st.split_bad_rows(table(spark, sf_dir, "labels"), {"quality": F.col("quality") == 1})

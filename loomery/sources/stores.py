@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery import constants as k
+from loomery.session import materialize
 
 MAX_ROWS_PER_FILE = 2_000_000
 STORES = ("vectors", "keywords", "chunks", "mentions")
@@ -50,6 +51,53 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], version: str)
     return both.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*key, "_l.*").select(*both.columns)
 
 
+def _swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in place of the partitions they belong to; the rest is not touched.
+
+    They are staged first: the table is never overwritten while it is read.
+    """
+    staged = materialize(rows, "staged")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("tenant_id").parquet(path)
+
+
+def _touched(spark: SparkSession, path: str, tenants: DataFrame) -> DataFrame:
+    """Rows of the partitions of the given tenants; the others are pruned at run time."""
+    return spark.read.parquet(path).join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
+
+
+def upsert_store(spark: SparkSession, path: str, changes: DataFrame, key: list[str], version: str) -> None:
+    """Upsert into a stored table; only partitions with changes are read and rewritten.
+
+    Running it again with the same changes leaves the same table.
+    """
+    _swap(spark, upsert(_touched(spark, path, changes), changes, ["tenant_id", *key], version), path)
+
+
+def delete_from_store(spark: SparkSession, path: str, gone: DataFrame, key: str) -> DataFrame:
+    """Delete the rows of ``gone`` (tenant_id and ``key``); returns the counts per tenant.
+
+    Only touched partitions are rewritten; one that loses all rows is emptied.
+    """
+    before = _touched(spark, path, gone)
+    left = before.join(gone.select("tenant_id", key).distinct(), ["tenant_id", key], "left_anti")
+    counts = materialize(delete_counts(before, left), "delete-counts")
+    emptied = counts.where("rows_after = 0").select("tenant_id")
+    _swap(spark, left, path)
+    # dynamic overwrite cannot clear a partition no row belongs to
+    for row in emptied.toLocalIterator():
+        _drop_partition(spark, path, row["tenant_id"])
+    return counts
+
+
+def _drop_partition(spark: SparkSession, path: str, tenant: str) -> None:
+    """Empty one partition by overwriting it with no rows."""
+    from urllib.parse import quote
+
+    part = f"{path}/tenant_id={quote(str(tenant), safe=' ')}"
+    schema = spark.read.parquet(path).drop("tenant_id").schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(part)
+
+
 def split_bad_rows(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with ``errors``): bad rows are set aside, not raised."""
     marked = df.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()])))
