@@ -16,7 +16,9 @@ HEADER_LINE_PREFIX = [r"\d{4}-\d{2}-\d{2}", r"Copyright", r"版权"]
 # Markers removed by the optional noise pass.
 NOISE_PATTERNS = [r"\[\d+\]", r"\(见图\s*\d+\)", r"\(见表\s*\d+\)"]
 
-CAPS_RUN = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+# One or more capitalised words. The repetition is possessive (each word ends at
+# a boundary of its own), so a run of any length is matched without recursion.
+CAPS_RUN = r"(?U)\b[A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+"
 QUOTED = r'"([^"]+)"'
 LONG_NUMBER = r"(?U)\b\d{3,}\b"
 CJK_RUN = r"[一-鿿]{2,4}"
@@ -43,13 +45,17 @@ _HEADER_CONTENT = "(?Ui)^(?:(?:" + "|".join(HEADER_LINE_WHOLE) + ")$|" + "|".joi
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing white space of every kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Remove leading and trailing white space of every kind.
+
+    The look-behind (here and below) lets a match start only where a run of
+    white space starts: one pass over runs of any length.
+    """
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+\z", "")
 
 
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.regexp_replace(c, r"(?U)[^\S\n]+(\n|\z)", "$1")
+    return F.regexp_replace(c, r"(?U)(?<![^\S\n])[^\S\n]+(\n|\z)", "$1")
 
 
 def collapse_newlines(c: Column) -> Column:
@@ -67,7 +73,7 @@ def strip_page_numbers(c: Column) -> Column:
 
 
 def space_punctuation(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\s+([.,;:!?])", "$1")
+    c = F.regexp_replace(c, r"(?U)(?<!\s)\s+([.,;:!?])", "$1")
     return F.regexp_replace(c, r"(?U)([.,;:!?])([^\s\d])", "$1 $2")
 
 

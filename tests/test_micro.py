@@ -41,6 +41,10 @@ def text(spark, fn, value):
         (qf.detect_entities, "Tell me about John Smith", ["Tell", "John Smith"]),
         (qf.detect_entities, 'Find "enterprise RAG systems"', ["Find", "enterprise RAG systems"]),
         (qf.detect_entities, "Project ID 12345", ["Project", "12345"]),
+        (qf.detect_entities, "John Smith2 and Ann Lee, Bo", ["John", "Ann Lee", "Bo"]),
+        (tx.strip, " \t\n a b \u00a0\n", "a b"),
+        (tx.strip, " \n ", ""),
+        (tx.space_punctuation, "a \n , b . c", "a, b. c"),
         (qf.detect_entities, "什么 北京大学", ["北京大学"]),
         (qf.graph_entities, 'ask "x y" of Bob 公司 银河', ["x y", "Bob", "银河"]),
         (qf.query_length, "  a  b c ", 3),
@@ -248,3 +252,14 @@ def test_html_outline():
         ("heading", 1, "One"), ("heading", 2, "Two"), ("paragraph", None, "first"), ("paragraph", None, "second bold"),
         ("table", None, "| a | b |"), ("list", None, "- xy\n- y"), ("list", None, "- y"),
     ]
+
+
+def test_long_runs_are_processed_whole(spark):
+    words, blanks = "Word " * 60_000, "\u00a0" * 400_000
+    df = spark.createDataFrame([(words, "x" + blanks + "y" + blanks)], "a string, b string")
+    got = df.select(
+        F.length(F.element_at(tx.entity_set(F.col("a")), 1)).alias("run"), F.length(tx.strip(F.col("b"))).alias("kept"), F.length(tx.space_punctuation(F.col("b"))).alias("same")
+    ).first()
+    assert got["run"] == 60_000 * 5 - 1
+    assert got["kept"] == 400_002
+    assert got["same"] == 800_002
