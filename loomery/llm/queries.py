@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import language_id, packing
+from loomery.llm import language_id, packing, quality, toxicity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -31,3 +31,33 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, training rows with the label)."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).alias("label")).where(fold("doc_id", folds) != held)
+    return docs, docs.join(labels, "doc_id")
+
+
+@query("op8_quality_factorisation_machine")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labelled = _labelled(spark, sf_dir, "quality", 5, 0)
+    machine = quality.train(labelled)
+    return quality.score(docs, machine).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op10_toxicity_multiple_instance")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labelled = _labelled(spark, sf_dir, "toxic", 3, 1)
+    model = toxicity.train(labelled)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"),
+        F.col("toxicity.sentences").alias("n_sentences"),
+        F.col("toxicity.offending").alias("offending"),
+    )
