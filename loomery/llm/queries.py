@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import language_id, packing, quality, toxicity
+from loomery.llm import language_id, minhash_dedup, packing, quality, toxicity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -61,3 +61,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxicity.sentences").alias("n_sentences"),
         F.col("toxicity.offending").alias("offending"),
     )
+
+
+@query("op5_minhash_bayes_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80)
