@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import language_id, minhash_dedup, packing, quality, toxicity
+from loomery.llm import language_id, minhash_dedup, packing, quality, substring_dedup, toxicity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -66,3 +66,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_bayes_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80)
+
+
+@query("op4_substring_automata")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut(documents(spark, sf_dir, "doc_id", "text"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
