@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import language_id, minhash_dedup, packing, quality, substring_dedup, toxicity
+from loomery.llm import decontamination, language_id, minhash_dedup, packing, quality, substring_dedup, toxicity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -71,3 +71,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_automata")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut(documents(spark, sf_dir, "doc_id", "text"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op3_decontamination_alignment")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, sf_dir, "doc_id", "text"), items)
