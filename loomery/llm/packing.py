@@ -18,6 +18,8 @@ carried, never inspected, so null and repeated doc_ids are fine.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +36,7 @@ LENGTH = 2048
 SEGMENTS = 64
 POOL = 512
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long"
 
@@ -46,34 +48,70 @@ class Limits:
     loss: int = LENGTH
 
 
-class WordTokens:
-    """ids of a text, word by word: the vocabulary never joins over white space,
-    so a text's ids are those of its words in order. Words are kept, to a bound."""
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable
+    bytes for themselves, the others in order from U+0100."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+
+
+class WordTokens(dict):
+    """ids of words as little-endian unsigned 32-bit bytes, worked out when first met.
+
+    The vocabulary never joins over white space, so a text's ids are those of its
+    words in order, and upper case is lowered anyway. A Latin word is a single
+    piece, so the merges alone give its ids; marks behind it are a piece of their
+    own; any other word takes the tokenizer's whole way. Words are kept, to a bound.
+    """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.most = most
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, np.dtype("<u4")).tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, its end id last."""
-        split = [t.split() if t else [] for t in texts]
-        self.learn({w for words in split for w in words})
-        end = np.array([END_ID], np.dtype("<u4")).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+        self.end = np.array([END_ID], np.dtype("<u4")).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,!%$&*#|?")
+        try:
+            text = core.decode()
+        except UnicodeDecodeError:
+            text = ""
+        if text and _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text) and text.lower() == text:
+            piece = text if text.isascii() else "".join(self.letters[b] for b in core)
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+            if len(core) < len(word):
+                ids += self[word[len(core) :]]
+        else:
+            got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = np.array(got, np.dtype("<u4")).tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes | None) -> bytes:
+        """ids of a text, its end id last."""
+        return b"".join(map(self.__getitem__, text.lower().split())) + self.end if text else self.end
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One per Python worker, kept between its tasks."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def place(pieces: Iterator[tuple], limits: Limits, pool: int = POOL) -> Iterator[list[tuple]]:
@@ -182,13 +220,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits | None = None
     limits = limits or Limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         base = TaskContext.get().partitionId() << 33
         names = [f.split()[0] for f in SCHEMA.split(", ")]
 
         def pieces():
             for batch in text_windows(batches):
-                for key, ids in zip(batch.column(0).to_pylist(), words.encode(texts_of(batch))):
+                for key, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                    ids = words.encode(text)
                     yield (key, ids, len(ids) // 4, None), len(ids) // 4
 
         rows: list[tuple] = []
