@@ -70,7 +70,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_substring_automata")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.cut(documents(spark, sf_dir, "doc_id", "text"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.cut(documents(spark, sf_dir, "doc_id", "text"), window=13).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
 @query("op3_decontamination_alignment")

@@ -247,14 +247,13 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def cut(docs: DataFrame, window: int = 13, text_out: str | None = None) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_sha256; the kept words joined by one
-    space go into ``text_out`` where that is named (only where words were removed,
-    else the text stays as it is)."""
-    starts = removed_windows(docs, window)
-    joined = docs.join(starts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id") == F.col("_cut_id"), "left").drop("_cut_id")
-    fields = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if text_out else "")
-    @F.pandas_udf(fields)
+def cut(docs: DataFrame, window: int = 13, out: str = "cut") -> DataFrame:
+    """``docs`` with a struct ``out``: n_words, n_removed, kept_sha256 and kept, the kept
+    words joined by one space (null where nothing was removed: the text stands)."""
+    starts = removed_windows(docs, window).select(F.col("doc_id").alias("_cut_id"), F.col("starts").alias("_cut_starts"))
+    joined = docs.join(starts, F.col("doc_id") == F.col("_cut_id"), "left").drop("_cut_id")
+
+    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept string")
     def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, gone in batches:
             rows = []
@@ -262,13 +261,10 @@ def cut(docs: DataFrame, window: int = 13, text_out: str | None = None) -> DataF
                 words = t.encode("utf-8", "replace").split() if t else []
                 n = len(words)
                 if s is not None and len(s):
-                    out = covered(n, np.asarray(s, np.int64), window)
-                    words = [w for w, x in zip(words, out) if not x]
+                    under = covered(n, np.asarray(s, np.int64), window)
+                    words = [w for w, x in zip(words, under) if not x]
                 kept = b" ".join(words)
-                row = (n, n - len(words), hashlib.sha256(kept).hexdigest())
-                rows.append(row if not text_out else (*row, t if len(words) == n else kept.decode()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"] + (["kept"] if text_out else []))
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if len(words) < n else None))
+            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = joined.withColumn("_cut", finish("text", "starts")).drop("starts")
-    out = out.select("*", "_cut.n_words", "_cut.n_removed", "_cut.kept_sha256", *([F.col("_cut.kept").alias("_kept")] if text_out else [])).drop("_cut")
-    return out.withColumn(text_out, F.col("_kept")).drop("_kept") if text_out else out
+    return joined.withColumn(out, finish("text", "_cut_starts")).drop("_cut_starts")
