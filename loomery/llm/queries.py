@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import decontamination, language_id, minhash_dedup, packing, quality, substring_dedup, toxicity
+from loomery.llm import decontamination, language_id, lm_scoring, minhash_dedup, packing, quality, substring_dedup, toxicity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -77,3 +77,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.leaks(documents(spark, sf_dir, "doc_id", "text"), items)
+
+
+@query("op9_lm_context_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model, vocabulary, totals = lm_scoring.train(docs.where(fold("doc_id", 10) != 0))
+    scored = lm_scoring.score(docs, model, vocabulary, totals)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
