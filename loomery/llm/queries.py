@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import decontamination, language_id, lm_scoring, minhash_dedup, packing, quality, substring_dedup, toxicity
+from loomery.llm import decontamination, language_id, lm_scoring, minhash_dedup, packing, quality, substring_dedup, topk_search, toxicity, warc_fixity
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
@@ -85,3 +85,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, vocabulary, totals = lm_scoring.train(docs.where(fold("doc_id", 10) != 0))
     scored = lm_scoring.score(docs, model, vocabulary, totals)
     return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+_TERMS = "regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op2_bm25_block_max",
+    f"""
+with d as (select doc_id, unnest({_TERMS}) as w from documents where text is not null and doc_id is not null),
+tf as (select doc_id, w, count(*) as c from d group by all),
+size as (select doc_id, coalesce(len({_TERMS}), 0) as n from documents where doc_id is not null),
+whole as (select count(*) as n, avg(n) as mean from size),
+df as (select w, count(*) as n from tf group by w),
+q as (select item_id, w, count(*) as c from (select item_id, unnest({_TERMS}) as w from benchmark) group by all),
+scored as (
+  select q.item_id, tf.doc_id, round(sum(q.c * ln(1 + (whole.n - df.n + 0.5) / (df.n + 0.5)) * tf.c * 2.2
+      / (tf.c + 1.2 * (0.25 + 0.75 * size.n / whole.mean))), 6) as score
+  from q join tf using (w) join df using (w) join size using (doc_id), whole group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored)
+select item_id as query_id, rank::int as rank, doc_id, score from ranked where rank <= 10 and score > 0
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query, against all documents."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return topk_search.search(topk_search.build_index(documents(spark, sf_dir, "doc_id", "text")), asked, k=10)
+
+
+PAGES_PER_FILE = 1000
+
+
+def _archive(pages: DataFrame) -> DataFrame:
+    """number and bytes of pages as records of files of PAGES_PER_FILE."""
+    number = F.floor(F.col("page_id") / PAGES_PER_FILE) * warc_fixity.PER_FILE + F.col("page_id") % PAGES_PER_FILE
+    return pages.select(number.cast("long").alias("number"), warc_fixity.record(F.col("url"), F.col("html"), F.col("page_id")).alias("bytes"))
+
+
+@query(
+    "op7_warc_merkle_fixity",
+    f"""
+with r as (
+  select page_id, html, page_id // {PAGES_PER_FILE} as file, (page_id // {PAGES_PER_FILE}) * {warc_fixity.PER_FILE} + page_id % {PAGES_PER_FILE} as number,
+    59 + length(page_id::varchar) + 20 + strlen(coalesce(url, '')) + 18 + length(strlen(coalesce(html, ''))::varchar) + 4 + strlen(coalesce(html, '')) + 4 as size
+  from pages),
+o as (select *, coalesce(sum(size) over (partition by file order by number rows between unbounded preceding and 1 preceding), 0) as "offset" from r),
+f as (
+  select *, case when page_id % 211 = 7 then 'missing' when page_id % 97 = 13 and translate(html, 'aeiou', 'eioua') <> html then 'altered'
+      when page_id % 307 = 11 then 'resized' end as fault from o)
+select file::bigint as file, number::bigint as number, "offset"::bigint as "offset", size::bigint as length_a,
+  case fault when 'missing' then null when 'altered' then size else size + 1
+    + length((strlen(coalesce(html, '')) + 1)::varchar) - length(strlen(coalesce(html, ''))::varchar) end::bigint as length_b, fault
+from f where fault is not null
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as an archive, against a replica of them in which some records rotted."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    rotten = pages.where(F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))).withColumn(
+        "html",
+        F.when(F.col("page_id") % 97 == 13, F.translate("html", "aeiou", "eioua"))
+        .when(F.col("page_id") % 307 == 11, F.concat(F.coalesce("html", F.lit("")), F.lit(" ")))
+        .otherwise(F.col("html")),
+    )
+    return warc_fixity.audit(_archive(pages), _archive(rotten))
