@@ -10,7 +10,6 @@ BOUNDARY_THRESHOLD = 0.5
 
 # embedding
 EMBEDDING_DIM = 1024
-EMBEDDING_MAX_CHARS = 8192
 
 # retrieval cascade
 RETRIEVER_TOP_K = 50
@@ -31,7 +30,6 @@ BASE_WEIGHTS = {
 BM25_K1 = 1.2
 BM25_B = 0.75
 HEADING_BOOST = 3.0
-FUZZY_MAX_EXPANSIONS = 50
 
 # confidence
 CONFIDENCE_THRESHOLD = 0.6
@@ -47,8 +45,6 @@ SUPPORTED_TYPES = ["pdf", "docx", "doc", "txt", "html", "md"]
 MAX_FILE_BYTES = 100 * 1024 * 1024
 
 # truncation lengths, in characters
-VECTOR_CONTENT_CHARS = 8000
-HEADING_CHARS = 500
 GRAPH_PREVIEW_CHARS = 500
 EXCERPT_CHARS = 300
 PREVIEW_CHARS = 200

@@ -66,13 +66,13 @@ def _encode(factory):
 
 
 def encode(factory: Callable = HashedTermEncoder(), batch: int = 256):
-    """Iterator pandas UDF ``string -> array<float>``; texts cut to 8192 characters."""
+    """Iterator pandas UDF ``string -> array<float>``; whole texts."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = _encode(factory)
         for texts in batches:
-            cut = [t[: k.EMBEDDING_MAX_CHARS] if t else "" for t in texts]
+            cut = [t or "" for t in texts]
             rows = []
             for at in range(0, len(cut), batch):
                 rows.extend(fn(cut[at : at + batch]).astype(np.float32))
@@ -94,7 +94,7 @@ def adjacent_similarity(factory: Callable = HashedTermEncoder()):
                 sims: list = []
                 last = None
                 for at in range(0, len(parts), 256):
-                    v = fn([p[: k.EMBEDDING_MAX_CHARS] for p in parts[at : at + 256]])
+                    v = fn(list(parts[at : at + 256]))
                     before = np.vstack([last if last is not None else np.zeros_like(v[:1]), v[:-1]])
                     sims.extend(np.round(np.einsum("ij,ij->i", before, v), 6).tolist())
                     last = v[-1:]

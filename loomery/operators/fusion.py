@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -48,11 +49,12 @@ def rrf_fuse(hits: dict[str, DataFrame], weights: DataFrame, k: int = k_.RRF_K)
     return fused.withColumn("prev_rank", F.row_number().over(order))
 
 
-def retrieve(mode: str, queries: DataFrame, routes: dict, k: int = k_.RETRIEVER_TOP_K) -> DataFrame:
+def retrieve(mode: str, queries: DataFrame, routes: dict, k: int = k_.RETRIEVER_TOP_K, tolerate: bool = False) -> DataFrame:
     """Candidates of one mode: ``hybrid`` fuses all routes, the others run one.
 
-    ``routes`` maps a route to a function without arguments that gives its hits;
-    hybrid treats a route whose plan cannot be built as empty.
+    ``routes`` maps a route to a function without arguments that gives its hits,
+    k per query at most; hybrid keeps all of them. A route that fails raises,
+    unless ``tolerate`` lets it count as empty (and says so in a warning).
     """
     if mode not in ("hybrid", *ROUTES):
         raise ValueError(f"unknown mode {mode}")
@@ -63,12 +65,13 @@ def retrieve(mode: str, queries: DataFrame, routes: dict, k: int = k_.RETRIEVER_
             "query_id", "chunk_id", *scores, F.lit(None).cast("double").alias("fusion_score"), F.col("rank").alias("prev_rank")
         )
     hits = {}
-    errors = {}
     for route, run in routes.items():
         try:
             hits[route] = run()
-        except Exception as e:  # a failed route counts as an empty list
-            errors[route] = e
+        except Exception as e:
+            if not tolerate:
+                raise
+            warnings.warn(f"route {route} failed and counts as empty: {e}", stacklevel=2)
     if not hits:
-        raise RuntimeError(f"every route failed: {errors}")
-    return rrf_fuse(hits, query_weights(queries)).where(F.col("prev_rank") <= k)
+        raise RuntimeError("every route failed")
+    return rrf_fuse(hits, query_weights(queries))

@@ -14,6 +14,7 @@ from loomery import constants as k_
 from loomery.functions.queries import graph_entities
 from loomery.functions.text import entity_set
 from loomery.operators.topk import top_k
+from loomery.session import materialize
 
 
 def extract_mentions(chunks: DataFrame, text: str = "content", tenant: str = "tenant_id") -> DataFrame:
@@ -91,12 +92,13 @@ def expand_hops(seeds: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFr
     """(query_id, entity_id, hop): entities within ``max_hops`` edges, nearest hop.
 
     One frontier join per hop; what a query already reached is not walked again.
+    Each frontier is stored, so a hop's plan doesn't hold those before it.
     """
-    reached = seeds.select("query_id", "entity_id").distinct().withColumn("hop", F.lit(0))
+    reached = materialize(seeds.select("query_id", "entity_id").distinct().withColumn("hop", F.lit(0)), "hop-0")
     frontier = reached
     for hop in range(1, max_hops + 1):
         step = frontier.join(edges, frontier["entity_id"] == edges["src"]).select("query_id", F.col("dst").alias("entity_id")).distinct()
-        frontier = step.join(reached, ["query_id", "entity_id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = materialize(step.join(reached, ["query_id", "entity_id"], "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
         reached = reached.unionByName(frontier)
     return reached
 

@@ -82,22 +82,25 @@ def coarse_rank(candidates: DataFrame, k: int = k_.COARSE_TOP_K) -> DataFrame:
     return top_k(coarse_score(candidates), "query_id", [F.desc("coarse_score"), F.asc("prev_rank")], k, "coarse_rank")
 
 
-def reranker(factory):
-    """Iterator pandas UDF (query, content) -> score. ``factory`` is a picklable
+def reranker(factory, chars: int = k_.RERANK_CHARS):
+    """Iterator pandas UDF (query, content) -> score, the best of windows of ``chars``. ``factory`` is a picklable
     callable giving ``score(list of pairs) -> list of float``, once per worker."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         score = factory()
         for q, c in batches:
-            yield pd.Series(score(list(zip(q, c))), dtype="float64")
+            # a long text is scored window by window and takes its best
+            windows = [[t[i : i + chars] for i in range(0, max(len(t), 1), chars)] for t in (x or "" for x in c)]
+            found = iter(score([(a, w) for a, own in zip(q, windows) for w in own]))
+            yield pd.Series([max(next(found) for _ in own) for own in windows], dtype="float64")
 
     return run
 
 
 def fine_rank(candidates: DataFrame, k: int = k_.FINAL_TOP_K, factory=None, order: str = "prev_rank") -> DataFrame:
-    """Pair score on the first 1000 characters; 0.5 for all without a model."""
-    score = F.lit(0.5) if factory is None else reranker(factory)(F.col("query"), F.substring("content", 1, k_.RERANK_CHARS))
+    """Pair score of the whole text; 0.5 for all without a model."""
+    score = F.lit(0.5) if factory is None else reranker(factory)(F.col("query"), F.col("content"))
     return top_k(candidates.withColumn("rerank_score", score), "query_id", [F.desc("rerank_score"), F.asc(order)], k, "final_rank")
 
 

@@ -19,7 +19,7 @@ DIM = 256
 def sql_places(rows: str, keys: str, text: str, dim: int = DIM) -> str:
     """(keys, place, tf): hashed term counts of ``text``."""
     return f"""select {keys}, place, count(*)::double as tf from (select {keys}, ('0x' || substr(md5(w), 1, 8))::bigint % {dim} as place
-      from (select {keys}, unnest({sql_tokens(f"substring({text}, 1, 8192)")}) as w from {rows})) group by {keys}, place"""
+      from (select {keys}, unnest({sql_tokens(text)}) as w from {rows})) group by {keys}, place"""
 
 
 def sql_fold(sections: str, edges: str | None = None) -> str:
@@ -166,7 +166,7 @@ def embed_misses(spark, sf_dir):
 
 @query(
     "embed_pending",
-    f"""select d.source as tenant_id, d.doc_id, lang <> 'en' as was_pending, len({sql_tokens("substring(text, 1, 8192)")}) > 0 as has_vector
+    f"""select d.source as tenant_id, d.doc_id, lang <> 'en' as was_pending, len({sql_tokens("text")}) > 0 as has_vector
       from documents d""",
 )
 def embed_pending(spark, sf_dir):

@@ -35,8 +35,8 @@ _CAPS = rf"regexp_extract_all({sql_ascii_words('query')}, '\b[A-Z][a-z]+(?:\s+[A
 _QUOTED = r"""regexp_extract_all(query, '"([^"]+)"', 1)"""
 _NUMBER = rf"regexp_extract_all({sql_ascii_words('query')}, '\b\d{{3,}}\b')"
 _CJK = "regexp_extract_all(query, '[一-鿿]{2,4}')"
-SQL_DETECT = f"list_slice(list_concat(list_concat({_CAPS}, {_QUOTED}), list_concat({_NUMBER}, list_filter({_CJK}, lambda w: w not in {tuple(qf.CJK_QUESTION_WORDS)}))), 1, 10)"
-SQL_GRAPH = f"list_slice(list_concat(list_concat({_QUOTED}, {_CAPS}), list_filter({_CJK}, lambda w: w not in {tuple(qf.CJK_COMMON_NOUNS)})), 1, 10)"
+SQL_DETECT = f"list_concat(list_concat({_CAPS}, {_QUOTED}), list_concat({_NUMBER}, list_filter({_CJK}, lambda w: w not in {tuple(qf.CJK_QUESTION_WORDS)})))"
+SQL_GRAPH = f"list_concat(list_concat({_QUOTED}, {_CAPS}), list_filter({_CJK}, lambda w: w not in {tuple(qf.CJK_COMMON_NOUNS)}))"
 SQL_WORDS = r"list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '')"
 
 

@@ -54,7 +54,7 @@ def _nz_sql(*cols):
 SCORES = ("dense_score", "sparse_score", "graph_score")
 
 
-@query("rrf_fuse", f"select query_id, chunk_id, {_nz_sql(*SCORES)}, fusion_score, prev_rank from ({fused_sql(ALL_ROUTES_SQL)}) where prev_rank <= 50")
+@query("rrf_fuse", f"select query_id, chunk_id, {_nz_sql(*SCORES)}, fusion_score, prev_rank from ({fused_sql(ALL_ROUTES_SQL)})")
 def rrf_fuse(spark, sf_dir):
     out = fusion.retrieve("hybrid", r.queries(spark, sf_dir), routes(spark, sf_dir))
     return out.select("query_id", "chunk_id", *_nz(*SCORES), "fusion_score", F.col("prev_rank").cast("bigint"))
@@ -73,8 +73,7 @@ def mode_sparse(spark, sf_dir):
 ACCESS_SQL = "select user_id as chunk_id, count(*) as access_count from events group by user_id"
 CAND_SQL = f"""select f.*, q.text as query, d.text as content, d.source as tenant_id, (d.doc_id % 60)::bigint as chunk_index,
   case when d.doc_id % 4 <> 0 then 1 end as page_number, a.access_count
-from ({fused_sql(TWO_ROUTES_SQL)}) f join benchmark q on q.item_id = f.query_id join documents d on d.doc_id = f.chunk_id left join ({ACCESS_SQL}) a on a.chunk_id = f.chunk_id
-where prev_rank <= 50"""
+from ({fused_sql(TWO_ROUTES_SQL)}) f join benchmark q on q.item_id = f.query_id join documents d on d.doc_id = f.chunk_id left join ({ACCESS_SQL}) a on a.chunk_id = f.chunk_id"""
 
 
 def candidates(spark, sf_dir, names=("dense", "sparse"), features=False):

@@ -187,7 +187,6 @@ select tenant_id, term, expansion, distance, place, 1 - distance / least(length(
     from ({USER_TERMS_SQL}) q join ({VOCAB_SQL}) v
       on abs(length(q.term) - length(v.term)) <= case when length(q.term) <= 2 then 0 when length(q.term) <= 5 then 1 else 2 end)
   where distance <= edits)
-where place <= 50
 """
 
 

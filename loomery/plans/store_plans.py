@@ -68,7 +68,7 @@ def _chunks(spark, sf_dir):
     return chunks(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
 
 
-@query("vector_sink", f"select chunk_id, tenant_id, chunk_index, substring(content, 1, 8000) as content, 1::bigint as page_number, 4::bigint as dim from ({CHUNK_OUT} from ({CHUNKS_SQL}))")
+@query("vector_sink", f"select chunk_id, tenant_id, chunk_index, content, 1::bigint as page_number, 4::bigint as dim from ({CHUNK_OUT} from ({CHUNKS_SQL}))")
 def vector_sink(spark, sf_dir):
     """Written by tenant and read back."""
     path = scratch_dir(spark, "vectors")

@@ -105,7 +105,7 @@ def list_dash_text(spark, sf_dir):
     f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
     s as (select doc_id, i, {sql_strip("line")} as content, 9 + (doc_id + i) % 8 as size, (i % 10) * 100 as top_y, i // 10 + 1 as page from l)
     select doc_id, page::bigint as page_number, content, (case when size > 14 then 1 when size > 12 then 2 else 0 end)::bigint as heading_level,
-      case when size > 14 then substring(content, 1, 100) end as heading_text, top_y::double as top_y from s where content <> ''""",
+      case when size > 14 then content end as heading_text, top_y::double as top_y from s where content <> ''""",
 )
 def layout_sections(spark, sf_dir):
     """Each line as a one-line block, ten blocks a page, font size by position."""

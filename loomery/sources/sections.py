@@ -76,7 +76,7 @@ def layout_sections(blocks: Column) -> Column:
         content = strip(F.array_join(lines, "\n"))
         size = F.get(F.get(F.filter(b["lines"], lambda spans: F.size(spans) > 0), F.lit(0)), F.lit(0))["size"]
         level = F.when(size > 14, 1).when(size > 12, 2)
-        heading = F.when(level == 1, F.substring(content, 1, 100))
+        heading = F.when(level == 1, content)
         return section(content, b["page"] + 1, "text", level, heading, b["top_y"], b["page_height"])
 
     return F.filter(F.transform(blocks, one), lambda s: s["content"] != "")
@@ -115,13 +115,15 @@ TRACKED = {"title", "p", "table", "tr", "td", "th", "ul", "ol", "li", "h1", "h2"
 
 
 class _Node:
-    __slots__ = ("tag", "text", "inside")
+    __slots__ = ("tag", "start", "stop", "inside", "parts")
 
-    def __init__(self, tag):
-        self.tag, self.text, self.inside = tag, [], []
+    def __init__(self, tag, parts):
+        self.tag, self.inside, self.parts = tag, [], parts
+        self.start, self.stop = len(parts), None
 
     def content(self) -> str:
-        return "".join(self.text).strip()
+        """The pieces of text between its start and its end."""
+        return "".join(self.parts[self.start : self.stop]).strip()
 
 
 class _Outline(HTMLParser):
@@ -131,46 +133,47 @@ class _Outline(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[_Node] = []
         self.nodes: list[_Node] = []
+        self.parts: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag in ``open``
+        self.holders: list[_Node] = []
 
     def _close_to(self, index):
+        for node in self.open[index:]:
+            node.stop = len(self.parts)
+            self.places[node.tag].pop()
+            if node.tag in HOLDERS:
+                self.holders.pop()
         del self.open[index:]
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open one of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
             return
-        if tag in CLOSES_P:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag == "p":
-                    self._close_to(i)
-                    break
+        if tag in CLOSES_P and (at := self._last(("p",))) >= 0:
+            self._close_to(at)
         closing = CLOSES_SAME.get(tag)
-        if closing and tag != "p":
-            stop = SCOPE.get(tag, set())
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag in closing:
-                    self._close_to(i)
-                    break
-                if self.open[i].tag in stop:
-                    break
-        node = _Node(tag)
+        if closing and tag != "p" and (at := self._last(closing)) > self._last(SCOPE.get(tag, set()) - closing):
+            self._close_to(at)
+        node = _Node(tag, self.parts)
         if tag in TRACKED:
             self.nodes.append(node)
-            for outer in self.open:
-                if outer.tag in HOLDERS:
-                    outer.inside.append(node)
+            for outer in self.holders:
+                outer.inside.append(node)
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
+        if tag in HOLDERS:
+            self.holders.append(node)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                self._close_to(i)
-                return
+        if (at := self._last((tag,))) >= 0:
+            self._close_to(at)
 
     def handle_data(self, data):
-        if any(n.tag in ("script", "style") for n in self.open):
-            return
-        for n in self.open:
-            n.text.append(data)
+        if not self.places.get("script") and not self.places.get("style"):
+            self.parts.append(data)
 
 
 def html_outline(html: str | None) -> dict:

@@ -24,11 +24,11 @@ def write_store(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def vector_rows(chunks: DataFrame) -> DataFrame:
-    """The ten columns of the vector table; long contents and headings cut."""
+    """The ten columns of the vector table."""
     return chunks.select(
         F.col("chunk_id").alias("id"), "tenant_id", "document_id", "chunk_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "chunk_index",
-        "chunk_type", F.substring(F.coalesce("heading_text", F.lit("")), 1, k.HEADING_CHARS).alias("heading_text"),
-        F.substring("content", 1, k.VECTOR_CONTENT_CHARS).alias("content"), "embedding",
+        "chunk_type", F.coalesce("heading_text", F.lit("")).alias("heading_text"),
+        "content", "embedding",
     )
 
 
@@ -60,9 +60,13 @@ def _swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("tenant_id").parquet(path)
 
 
-def _touched(spark: SparkSession, path: str, tenants: DataFrame) -> DataFrame:
-    """Rows of the partitions of the given tenants; the others are pruned at run time."""
-    return spark.read.parquet(path).join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
+def _touched(spark: SparkSession, path: str, tenants: DataFrame, files: bool = False) -> DataFrame:
+    """Rows of the partitions of the given tenants; the others are pruned at run time.
+    With ``files`` the column ``_file`` has each row's file."""
+    rows = spark.read.option("inferSchema", False).parquet(path)
+    if files:
+        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    return rows.join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
 
 
 def upsert_store(spark: SparkSession, path: str, changes: DataFrame, key: list[str], version: str) -> None:
@@ -78,24 +82,24 @@ def delete_from_store(spark: SparkSession, path: str, gone: DataFrame, key: str)
 
     Only touched partitions are rewritten; one that loses all rows is emptied.
     """
-    before = _touched(spark, path, gone)
+    # the names are taken before any row moves
+    before = materialize(_touched(spark, path, gone, files=True), "before")
     left = before.join(gone.select("tenant_id", key).distinct(), ["tenant_id", key], "left_anti")
     counts = materialize(delete_counts(before, left), "delete-counts")
     emptied = counts.where("rows_after = 0").select("tenant_id")
-    _swap(spark, left, path)
-    # dynamic overwrite cannot clear a partition no row belongs to
-    for row in emptied.toLocalIterator():
-        _drop_partition(spark, path, row["tenant_id"])
+    # dynamic overwrite cannot clear a partition no row belongs to: its files go one by one
+    files = materialize(before.join(emptied, "tenant_id", "left_semi").select(F.col("_file").alias("file")).distinct(), "gone-files")
+    _swap(spark, left.drop("_file"), path)
+    _remove(spark, files)
     return counts
 
 
-def _drop_partition(spark: SparkSession, path: str, tenant: str) -> None:
-    """Empty one partition by overwriting it with no rows."""
-    from urllib.parse import quote
-
-    part = f"{path}/tenant_id={quote(str(tenant), safe=' ')}"
-    schema = spark.read.parquet(path).drop("tenant_id").schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(part)
+def _remove(spark: SparkSession, files: DataFrame) -> None:
+    """Delete files by the names under which Spark itself read them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in files.toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file"]))
+        at.getFileSystem(conf).delete(at, False)
 
 
 def split_bad_rows(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -39,10 +39,14 @@ def batch_folder_sink(out: str, transform: Callable[[DataFrame], DataFrame] | No
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", transform=None) -> None:
     """Process what is there now and stop; the next run goes on from the checkpoint."""
+    run_batches(stream, batch_folder_sink(out, transform), checkpoint, mode)
+
+
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     q = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(batch_folder_sink(out, transform))
+        .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
@@ -60,22 +64,29 @@ def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 
 def latest_groups(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """All rows of the latest batch that wrote each key (many rows per key)."""
+    """All rows of the latest batch that brought each key (many rows per key, or none)."""
     df = spark.read.parquet(out)
-    last = df.groupBy(key).agg(F.max("batch").alias("batch"))
+    last = spark.read.parquet(f"{out}-seen").groupBy(key).agg(F.max("batch").alias("batch"))
     return df.join(last, [key, "batch"], "left_semi").drop("batch")
 
 
-def ingest_stream(documents: DataFrame, out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
+def ingest_stream(documents: DataFrame, out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], version: str | None = None) -> None:
     """New documents (document_id, ...) -> ``prepare`` -> one folder per batch.
 
-    A document that comes again replaces its rows (see :func:`latest_groups`).
+    A document that comes again replaces its rows, also by none (see
+    :func:`latest_groups`): the ids of a batch are kept in ``<out>-seen``. Of
+    several rows of a document in one batch the one with the greatest ``version``
+    counts (without it, the greatest row).
     """
 
-    def once(batch: DataFrame) -> DataFrame:
-        return prepare(batch.dropDuplicates(["document_id"]))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c != "document_id"]
+        order = F.struct(*([version] if version else []), *[c for c in rest if c != version])
+        once = batch.groupBy("document_id").agg(F.max_by(F.struct(*rest), order).alias("_l")).select("document_id", "_l.*").select(*batch.columns)
+        once.select("document_id").write.mode("overwrite").parquet(f"{out}-seen/batch={batch_id}")
+        prepare(once).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_available(documents, out, checkpoint, transform=once)
+    run_batches(documents, write, checkpoint)
 
 
 def timed(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -114,9 +125,10 @@ def cache_flags_stream(stream: DataFrame, key: str, ident: str, ttl: int = k.QUE
         stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         hits = []
         for at in rows["ts"]:
-            hit = stored is not None and at - stored < life
+            hit = stored is not None and pd.Timedelta(0) <= at - stored < life
             hits.append(hit)
-            stored = stored if hit else at
+            # an event older than the stored answer is a miss and does not replace it
+            stored = stored if hit or (stored is not None and at < stored) else at
         state.update((int(stored.value // 1000),))
         expiry = int((stored + life).value // 1_000_000)
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
