@@ -63,12 +63,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_minhash_bayes_dedup")
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op5_minhash_bayes_dedup",
+    f"""
+with recursive words as (select doc_id, {_WORDS.format(_LOWERED)} as ws from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(ws) > 1
+    then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end) as g from words)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as label from documents union select e.b, r.label from r join e on e.a = r.node),
+c as (select node, min(label) as component_id from r group by node)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id
+""",
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80)
 
 
-@query("op4_substring_automata")
+@query(
+    "op4_substring_automata",
+    r"""
+with t as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, generate_subscripts(ws, 1) as i, unnest(ws) as w from t),
+v as (select doc_id, i, w, case when lead(i, 12) over (partition by doc_id order by i) is not null
+    then string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 12 following) end as g from w),
+f as (select g, min(doc_id) as first_doc from v where g is not null group by g),
+h as (select v.doc_id, v.i, v.w, coalesce(max((f.first_doc < v.doc_id)::int)
+    over (partition by v.doc_id order by v.i rows between 12 preceding and current row), 0) as gone from v left join f on f.g = v.g),
+k as (select doc_id, sum(gone) as n_removed, string_agg(w, ' ' order by i) filter (where gone = 0) as kept from h group by doc_id)
+select t.doc_id, coalesce(len(ws), 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from t left join k on k.doc_id = t.doc_id
+""",
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut(documents(spark, sf_dir, "doc_id", "text"), window=13).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
