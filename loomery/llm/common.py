@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 1 << 20  # of text that a task works on at once
+BATCH_BYTES = 4 << 20  # of a batch on its way to Python
 
 
 def fold(id_column: str | Column, folds: int) -> Column:
@@ -52,6 +53,12 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root["root"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch on its way to Python, not only its rows: ten
+    thousand long texts at once don't fit beside each other."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """One partition per core at least, when a small table scans as fewer.
 
@@ -120,7 +127,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and each text's word count.
+    """64-bit hashes of all words of the texts in order, and each text's word count."""
+    return word_hashes_sizes(texts)[:2]
+
+
+def word_hashes_sizes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes`` and the words' lengths in bytes.
 
     A word's hash is its polynomial over the bytes, taken as a difference of
     running sums, then mixed: no Python object per word.
@@ -138,7 +150,7 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         hashes = mix64((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     text_ends = np.cumsum(lengths + 1)
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, text_ends))))
-    return hashes, counts
+    return hashes, counts, ends - starts
 
 
 def chain_hash(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.llm.common import small_batches
 from loomery.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
