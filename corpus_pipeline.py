@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import decontamination, language_id, minhash_dedup, packing, substring_dedup
-from loomery.llm.common import store
+from loomery.llm.common import small_batches, store
 from loomery.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
 CERTAIN = 0.5  # a language with less of the odds than this is no decision
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; without letters, or
     with no language ahead of all others together, they go."""
-    ship_package(spark)
+    _prepare(spark)
     model = language_id.train(docs)
     found = language_id.identify(docs, model, out="_language")
     return found.where((F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= CERTAIN)).drop("_language")
@@ -30,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: word 5-shingles, similarity of 0.8 or more."""
-    ship_package(spark)
+    _prepare(spark)
     groups = minhash_dedup.near_duplicates(docs, shingle=5, percent=80)
     return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -38,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under 13-word windows that an earlier document has are cut; documents
     of which nothing is left go."""
-    ship_package(spark)
+    _prepare(spark)
     cut = substring_dedup.cut(docs, window=13, out="_cut")
     changed = F.col("_cut.n_removed") > 0
     columns = {"text": F.when(changed, F.col("_cut.kept")).otherwise(F.col("text"))}
@@ -49,13 +54,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, exact or edited, go."""
-    ship_package(spark)
+    _prepare(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens at most; one row per piece of a document."""
-    ship_package(spark)
+    _prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
