@@ -4,9 +4,9 @@ A window is ``window`` consecutive words; it recurs if its words also start
 somewhere in a document with a smaller id, and every word under a recurring
 window goes. Windows are judged on the input.
 
-1. Seeds. Of the word trigrams inside a window the one of least rank is its seed
-   (hashed; trigrams of short words rank last), so equal windows have equal seeds
-   and only about one position in six is a seed. Seeds of two documents or more
+1. Seeds. Of the runs of five words inside a window the one of least rank is its
+   seed (hashed; runs of short words rank last), so equal windows have equal seeds
+   and only about one position in five is a seed. Seeds of two documents or more
    are kept, each with its first document, its ``home``.
 2. Passages. Every maximal run of windows whose seeds recur and share a shard is
    cut out as a passage. The shard is a function of the window alone: of the
@@ -34,73 +34,80 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import chain_hash, mix64, spread, store, text_windows, texts_of, word_hashes
+from loomery.llm.common import chain_hash, mix64, spread, store, text_windows, texts_of, word_hashes_sizes
 
-SEED_WORDS = 3
+SEED_WORDS = 5
 SHARD_WORDS = 60_000
-LONG_WORD = 5  # trigrams whose words are shorter on average rank last
+LONG_WORD = 5  # runs whose words are shorter on average rank last
 WORDS = np.uint64(0x7FFFFFFFFFFFFFFF)
 
 
-def seed_positions(hashes: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of one document the position of its seed, and all trigram hashes."""
+@dataclass
+class Windows:
+    """All windows of a batch of texts: where they begin (in the batch's words), whose
+    they are, their seeds' positions; and the hashes of the runs that seeds are."""
+
+    at: np.ndarray
+    row: np.ndarray
+    seed: np.ndarray
+    grams: np.ndarray
+    hashes: np.ndarray
+    begin: np.ndarray  # of each text in the batch's words
+
+    def fresh(self) -> np.ndarray:
+        """The windows whose seed is not that of the window before."""
+        new = np.ones(len(self.at), bool)
+        new[1:] = (self.seed[1:] != self.seed[:-1]) | (self.row[1:] != self.row[:-1])
+        return new
+
+
+def windows_of(texts: list[bytes | None], window: int) -> Windows:
+    """Seeds are the least-ranked runs, the leftmost of equals, so along a text their
+    positions never fall and equal neighbours are all there is to remove."""
+    hashes, counts, sizes = word_hashes_sizes(texts)
+    begin = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(texts)), counts)
+    m = len(hashes) - window + 1
+    if m <= 0:
+        none = np.empty(0, np.int64)
+        return Windows(none, none, none, np.empty(0, np.uint64), hashes, begin)
     grams = chain_hash(hashes, SEED_WORDS)
-    width = np.convolve(sizes, np.ones(SEED_WORDS, np.int64), "valid")
+    total = np.concatenate(([0], np.cumsum(sizes)))
     top = np.uint64(1) << np.uint64(63)
-    rank = (grams & ~top) | np.where(width < SEED_WORDS * LONG_WORD, top, np.uint64(0))
-    span = window - SEED_WORDS + 1
-    m = len(hashes) - window + 1
+    rank = grams & ~top
+    rank[total[SEED_WORDS:] - total[:-SEED_WORDS] < SEED_WORDS * LONG_WORD] |= top
     best = rank[:m].copy()
-    where = np.zeros(m, np.int64)
-    for i in range(1, span):
+    where = np.arange(m)
+    for i in range(1, window - SEED_WORDS + 1):
         here = rank[i : m + i]
         less = here < best
         best[less] = here[less]
-        where[less] = i
-    return where + np.arange(m), grams
-
-
-def _word_sizes(text: bytes) -> np.ndarray:
-    return np.fromiter(map(len, text.split()), np.int64)
-
-
-def _documents(batches: Iterator[pa.RecordBatch], window: int):
-    """(batch row, words' hashes, word sizes) of the texts that have a window."""
-    for batch in text_windows(batches):
-        texts = texts_of(batch)
-        hashes, counts = word_hashes(texts)
-        ends = np.cumsum(counts)
-        rows = []
-        for i, (end, n) in enumerate(zip(ends, counts)):
-            if n >= window:
-                rows.append((i, texts[i], hashes[end - n : end], _word_sizes(texts[i])))
-        yield batch, rows
+        where[less] = np.flatnonzero(less) + i
+    at = np.flatnonzero(row[:m] == row[window - 1 :])
+    return Windows(at, row[at], where[at], grams, hashes, begin)
 
 
 def seeds(docs: DataFrame, window: int) -> DataFrame:
     """seed, doc_id, at: each document's seed positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _documents(batches, window):
-            ids = batch.column(0)
-            found, at, which = [], [], []
-            for i, _, hashes, sizes in rows:
-                where, grams = seed_positions(hashes, sizes, window)
-                where = np.unique(where)
-                found.append(grams[where])
-                at.append(where)
-                which.append(np.full(len(where), i))
-            if found:
+        for batch in text_windows(batches):
+            w = windows_of(texts_of(batch), window)
+            new = w.fresh()
+            if new.any():
+                where, row = w.seed[new], w.row[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(at).astype(np.int32))],
+                    [pa.array(w.grams[where].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((where - w.begin[row]).astype(np.int32))],
                     names=["seed", "doc_id", "at"],
                 )
 
@@ -114,52 +121,49 @@ def passages(marked: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _documents(batches, window):
+        for batch in text_windows(batches):
+            texts = texts_of(batch)
+            w = windows_of(texts, window)
             hits = batch.column(2)
-            out: dict[str, list] = {k: [] for k in ("row", "start", "shard", "p1", "p2", "words")}
-            for i, text, hashes, sizes in rows:
-                got = hits[i].values
-                n = len(hashes)
-                home, parts = np.full(n, -1, np.int64), np.ones(n, np.int64)
-                at = got.field("at").to_numpy()
-                home[at] = got.field("home").to_numpy()
-                parts[at] = got.field("parts").to_numpy()
-                where, _ = seed_positions(hashes, sizes, window)
-                of, split = home[where], parts[where]
-                windows = chain_hash(hashes, window)
-                shard = mix64(of.astype(np.uint64))
-                cut = split > 1
-                shard[cut] = mix64(shard[cut] + windows[cut] % split[cut].astype(np.uint64))
-                live = of >= 0
-                change = np.flatnonzero((shard[1:] != shard[:-1]) | (live[1:] != live[:-1])) + 1
-                firsts = np.concatenate(([0], change))
-                lasts = np.concatenate((change, [len(live)]))
-                words = text.split()
-                for a, b in zip(firsts, lasts):
-                    if not live[a]:
-                        continue
-                    own = b" ".join(words[a : b + window - 1])
-                    digest = hashlib.blake2b(own, digest_size=16).digest()
-                    out["row"].append(i)
-                    out["start"].append(a)
-                    out["shard"].append(int(shard[a] & WORDS))
-                    out["p1"].append(int.from_bytes(digest[:8], "little", signed=True))
-                    out["p2"].append(int.from_bytes(digest[8:], "little", signed=True))
-                    out["words"].append(own)
-            if out["row"]:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(out["row"])),
-                        pa.array(out["start"], pa.int32()),
-                        pa.array(out["shard"], pa.int64()),
-                        pa.array(out["p1"], pa.int64()),
-                        pa.array(out["p2"], pa.int64()),
-                        pa.array(out["words"], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "shard", "p1", "p2", "words"],
-                )
-
-    return marked.mapInArrow(run, "doc_id long, start int, shard long, p1 long, p2 long, words binary")
+            values = hits.flatten()
+            place = np.repeat(w.begin, pc.list_value_length(hits).to_numpy(zero_copy_only=False)) + values.field("at").to_numpy()
+            home, parts = np.full(len(w.hashes), -1, np.int64), np.ones(len(w.hashes), np.int64)
+            home[place] = values.field("home").to_numpy()
+            parts[place] = values.field("parts").to_numpy()
+            live = np.flatnonzero(home[w.seed] >= 0)
+            if not len(live):
+                continue
+            at, row, of, split = w.at[live], w.row[live], home[w.seed[live]], parts[w.seed[live]]
+            shard = mix64(of.astype(np.uint64))
+            cut = split > 1
+            if cut.any():
+                own = chain_hash(w.hashes, window)[at[cut]]
+                shard[cut] = mix64(shard[cut] + own % split[cut].astype(np.uint64))
+            edge = np.flatnonzero((np.diff(at) != 1) | (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])) + 1
+            first = np.concatenate(([0], edge))
+            last = np.concatenate((edge, [len(at)])) - 1
+            start = at[first] - w.begin[row[first]]
+            stop = at[last] - w.begin[row[first]] + window
+            words: list[bytes] = []
+            whose = -1
+            for r, a, b in zip(row[first].tolist(), start.tolist(), stop.tolist()):
+                if r != whose:
+                    whose, split_text = r, texts[r].split()
+                words.append(b" ".join(split_text[a:b]))
+            digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in words), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row[first])),
+                    pa.array(start.astype(np.int32)),
+                    pa.array((shard[first] & WORDS).astype(np.int64)),
+                    pa.array(digests[:, 0].copy()),
+                    pa.array(digests[:, 1].copy()),
+                    pa.array(words, pa.binary()),
+                ],
+                names=["doc_id", "start", "shard", "p1", "p2", "words"],
+            )
+
+    return marked.select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, start int, shard long, p1 long, p2 long, words binary")
 
 
 def locate(table: pa.Table, window: int) -> pa.Table:
@@ -204,7 +208,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
     )
     hits = store(found.join(homes, "seed").select("doc_id", "at", "home"), "seed-hits")
     parts = hits.groupBy("home").agg(F.ceil(F.count("*") * (2 * window - SEED_WORDS) / SHARD_WORDS).cast("int").alias("parts"))
-    large = parts.where("parts > 1")
+    large = store(parts.where("parts > 1"), "large-homes")
     by_doc = (
         hits.join(large, "home", "left")
         .groupBy("doc_id")
