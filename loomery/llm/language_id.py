@@ -184,4 +184,5 @@ def predictor(df: DataFrame, model: Model):
 def identify(df: DataFrame, model: Model, text: str | Column = "text", out: str = "language") -> DataFrame:
     """``df`` with a struct column ``out`` of lang, score and ambiguous."""
     col = F.col(text) if isinstance(text, str) else text
-    return spread(df).withColumn(out, predictor(df, model)(col))
+    # not deterministic, or a filter on the result would run it a second time
+    return spread(df).withColumn(out, predictor(df, model).asNondeterministic()(col))

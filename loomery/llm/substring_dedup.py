@@ -271,4 +271,5 @@ def cut(docs: DataFrame, window: int = 13, out: str = "cut") -> DataFrame:
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if len(words) < n else None))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
-    return joined.withColumn(out, finish("text", "_cut_starts")).drop("_cut_starts")
+    # not deterministic, or a filter on the result would run it a second time
+    return joined.withColumn(out, finish.asNondeterministic()("text", "_cut_starts")).drop("_cut_starts")
