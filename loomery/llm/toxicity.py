@@ -18,8 +18,6 @@ sentences the first is reported. Other columns are carried through untouched.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,45 +27,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import averaged_rounds, bounded_sample, sigmoid, spread, store, text_windows, texts_of
+from loomery.llm.common import _power_tables, averaged_rounds, bounded_sample, mix64, sigmoid, spread, store, text_windows, texts_of
 
 TRAIN_ROWS = 20_000  # the bound of the training sample
 SHARDS = 6
 ROUNDS = 6
-SLOTS = 1 << 18
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+WINDOW = 1 << 20
 PRIOR = -7.0  # bias of a sentence before training
 OFFENDING = 0.5  # least score of a sentence that is reported
-KNOWN_WORDS = 400_000
 
-SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
-WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
-MARKS = re.compile(rb"[^A-Za-z0-9\x80-\xff\s]{2,4}")
+_IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?\n")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
 
 
-def word_slots(word: bytes) -> list[int]:
-    """Slots of a lower-case word: itself, its first 4 to 6 characters, its 4-grams."""
-    chars = word.decode("utf-8", "replace")
-    marked = f"<{chars}>"
-    parts = {"w" + chars, *("p" + chars[:n] for n in (4, 5, 6) if len(chars) > n), *("g" + marked[i : i + 4] for i in range(len(marked) - 3))}
-    return [zlib.crc32(p.encode()) % SLOTS for p in sorted(parts)]
-
-
-def manner_slots(sentence: bytes) -> list[int]:
-    """Slots of how a sentence is said: its runs of marks, and whether it is all capitals."""
-    parts = {b"m" + m for m in MARKS.findall(sentence)}
-    said = sentence.decode("utf-8", "replace")
-    if said != said.lower() and said == said.upper():
-        parts |= {b"caps", b"caps" + b"".join(sorted(parts))}
-    return [zlib.crc32(p) % SLOTS for p in sorted(parts)]
-
-
-def lower(text: bytes) -> bytes:
-    return text.decode("utf-8", "replace").lower().encode()
-
-
-def sentences(text: bytes | None) -> list[tuple[int, int]]:
-    """Byte spans of the sentences that have a word."""
-    return [m.span() for m in SENTENCE.finditer(text or b"") if WORD.search(m.group())]
+@dataclass
+class Instances:
+    """The sentences (with a word) of a batch of texts and their slots, in order."""
+
+    text: np.ndarray  # of each sentence
+    begin: np.ndarray  # byte offsets in its text
+    end: np.ndarray
+    slots: np.ndarray
+    sizes: np.ndarray  # slots per sentence
+
+
+def _slots(values: np.ndarray, part: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(values + np.uint64(part) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def instances(texts: list[bytes | None]) -> Instances:
+    """Sentences end with . ! ? or a line; a word counts once in a sentence. All on
+    byte arrays of the whole batch: no Python object per word."""
+    parts = [t or b"" for t in texts]
+    raw = np.frombuffer(b"\n".join([b"", *parts, b"    "]), np.uint8)
+    data = np.frombuffer(raw.tobytes().lower(), np.uint8)
+    word = _IS_WORD[data]
+    edge = np.diff(word.astype(np.int8))
+    start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    ends = _ENDS[data]
+    first = np.flatnonzero(ends[:-1] & ~ends[1:]) + 1  # where sentences begin
+    of = np.searchsorted(first, start, "right") - 1
+    if not len(start):
+        none = np.empty(0, np.int64)
+        return Instances(none, none, none, none, none)
+    up, down = _power_tables(len(data) + 1)
+    with np.errstate(over="ignore"):
+        running = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=running[1:])
+
+        def hashed(a, b):
+            return mix64((running[b] - running[a]) * down[a])
+
+        whole = hashed(start, stop)
+        _, once = np.unique(mix64(whole + of.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
+        once.sort()
+        start, stop, whole, own = start[once], stop[once], whole[once], of[once]
+        slots, where = [_slots(whole, 1)], [own]
+        for n in (4, 5, 6):
+            long = stop - start > n
+            slots.append(_slots(hashed(start[long], start[long] + n), n))
+            where.append(own[long])
+        shown = np.where(word, data, 0x20).astype(np.uint64)
+        four = shown[:-3] | shown[1:-2] << np.uint64(8) | shown[2:-1] << np.uint64(16) | shown[3:] << np.uint64(24)
+        grams = np.maximum(stop - start - 1, 0)
+        at = np.arange(grams.sum()) + np.repeat(start - 1 - (np.cumsum(grams) - grams), grams)
+        slots.append(_slots(four[at], 8))
+        where.append(np.repeat(own, grams))
+        # how it is said: runs of marks, and capitals only
+        mark = ~word & ~_BLANK[data]
+        turn = np.diff(np.concatenate(([0], mark.astype(np.int8), [0])))
+        a, b = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        several = b - a > 1
+        a, b = a[several], b[several]
+        runs, owner = hashed(a, np.minimum(b, a + 4)), np.searchsorted(first, a, "right") - 1
+        _, once = np.unique(mix64(runs + owner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
+        slots.append(_slots(runs[once], 9))
+        where.append(owner[once])
+        bounds = np.append(first, len(raw))
+        capitals = np.concatenate(([0], np.cumsum((raw >= 0x41) & (raw <= 0x5A))))
+        smalls = np.concatenate(([0], np.cumsum((raw >= 0x61) & (raw <= 0x7A))))
+        loud = np.flatnonzero((np.diff(capitals[bounds]) > 1) & (np.diff(smalls[bounds]) == 0))
+        slots.append(_slots(np.zeros(len(loud), np.uint64), 10))
+        where.append(loud)
+    slot, sentence = np.concatenate(slots), np.concatenate(where)
+    spoken = np.zeros(len(first), bool)
+    spoken[own] = True
+    keep = (sentence >= 0) & spoken[np.maximum(sentence, 0)]
+    slot, sentence = slot[keep], sentence[keep]
+    order = np.argsort(sentence, kind="stable")
+    sizes = np.bincount(sentence, minlength=len(first))[spoken]
+    begins = np.cumsum([1] + [len(t) + 1 for t in parts])
+    text = np.searchsorted(begins, first[spoken], "right") - 1
+    stops = np.append(first[1:], len(raw))[spoken]
+    limit = begins[text] + np.array([len(t) for t in parts])[text]
+    return Instances(text, first[spoken] - begins[text], np.minimum(stops, limit) - begins[text], slot[order], sizes)
 
 
 @dataclass
@@ -80,24 +139,18 @@ def featurise(df: DataFrame, label: str) -> DataFrame:
     """label, slots, and for every sentence the number of its slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
-        for batch in text_windows(batches):
-            slots, sizes = [], []
-            for t in texts_of(batch):
-                own, n = [], []
-                for a, b in sentences(t):
-                    got = set(manner_slots(t[a:b]))
-                    for w in set(WORD.findall(lower(t[a:b]))):
-                        if w not in known:
-                            if len(known) >= KNOWN_WORDS:
-                                known.clear()
-                            known[w] = word_slots(w)
-                        got.update(known[w])
-                    own.append(np.fromiter(got, np.int32, len(got)))
-                    n.append(len(got))
-                slots.append(np.concatenate(own).tobytes() if own else b"")
-                sizes.append(np.array(n, np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "slots", "sizes"])
+        for batch in text_windows(batches, limit=WINDOW):
+            got = instances(texts_of(batch))
+            sentence_ends = np.searchsorted(got.text, np.arange(batch.num_rows + 1))
+            slot_ends = np.concatenate(([0], np.cumsum(got.sizes)))[sentence_ends]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1),
+                    pa.array([got.slots[a:b].astype(np.int32).tobytes() for a, b in zip(slot_ends, slot_ends[1:])], pa.binary()),
+                    pa.array([got.sizes[a:b].astype(np.int32).tobytes() for a, b in zip(sentence_ends, sentence_ends[1:])], pa.binary()),
+                ],
+                names=["label", "slots", "sizes"],
+            )
 
     return df.select("text", F.col(label).cast("int").alias("label")).mapInArrow(run, "label int, slots binary, sizes binary")
 
@@ -182,49 +235,45 @@ def contrasts(features: DataFrame) -> np.ndarray:
 
 
 def scorer(df: DataFrame, model: Model):
-    """A Column function text -> struct(score, sentences, offending spans, worst)."""
+    """A Column function text -> struct(score, sentences, offending spans, worst first)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, sentences long, offending array<struct<start:long,end:long,score:double>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        known: dict[bytes, float] = {}
         for texts in batches:
-            rows = []
-            for t in texts:
-                rows.append(document_score(t, model, known))
+            data = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+            rows: list[tuple] = []
+            at = 0
+            while at < len(data):
+                stop, size = at, 0
+                while stop < len(data) and (stop == at or size + len(data[stop]) <= WINDOW):
+                    size += len(data[stop])
+                    stop += 1
+                rows += document_scores(data[at:stop], shared.value)
+                at = stop
             yield pd.DataFrame(rows, columns=["score", "sentences", "offending"])
 
     return score
 
 
-def document_score(text: str | None, model: Model, known: dict) -> tuple[float, int, list[dict]]:
-    """Noisy-or of the sentences; offending ones by character span, worst first."""
-    if not text:
-        return 0.0, 0, []
-    data = text.encode("utf-8", "replace")
-    spans = sentences(data)
-    if not spans:
-        return 0.0, 0, []
-    z = np.empty(len(spans))
-    for i, (a, b) in enumerate(spans):
-        total = float(model.weights[manner_slots(data[a:b])].sum())
-        for w in set(WORD.findall(lower(data[a:b]))):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                got = known[w] = float(model.weights[word_slots(w)].sum())
-            total += got
-        z[i] = model.bias[0] + total
-    p = sigmoid(z)
-    whole = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-6)).sum()))
-    bad = [i for i in np.argsort(-p, kind="stable") if p[i] >= OFFENDING]
-    spots = []
-    for i in bad:
-        start = len(data[: spans[i][0]].decode("utf-8", "replace"))
-        spots.append({"start": start, "end": start + len(data[spans[i][0] : spans[i][1]].decode("utf-8", "replace")), "score": float(p[i])})
-    return min(max(whole, 0.0), 1.0), len(spans), spots
+def document_scores(texts: list[bytes], model: Model) -> list[tuple[float, int, list[dict]]]:
+    """Noisy-or of each text's sentences; offending ones by character span, worst first."""
+    got = instances(texts)
+    rows: list[tuple[float, int, list[dict]]] = [(0.0, 0, [])] * len(texts)
+    if not len(got.text):
+        return rows
+    p = sigmoid(model.bias[0] + np.add.reduceat(model.weights[got.slots].astype(np.float64), np.cumsum(got.sizes) - got.sizes))
+    clear = np.log1p(-np.minimum(p, 1 - 1e-6))
+    whole = -np.expm1(np.bincount(got.text, weights=clear, minlength=len(texts)))
+    count = np.bincount(got.text, minlength=len(texts))
+    spots: dict[int, list[dict]] = {}
+    bad = np.flatnonzero(p >= OFFENDING)
+    for i in bad[np.argsort(-p[bad], kind="stable")]:
+        text = texts[got.text[i]]
+        start = len(text[: got.begin[i]].decode("utf-8", "replace"))
+        end = start + len(text[got.begin[i] : got.end[i]].decode("utf-8", "replace"))
+        spots.setdefault(int(got.text[i]), []).append({"start": start, "end": end, "score": float(p[i])})
+    return [(min(max(float(whole[i]), 0.0), 1.0), int(count[i]), spots.get(i, [])) for i in range(len(texts))]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
