@@ -36,7 +36,7 @@ ROUNDS = 10
 WORD_SLOTS = 1 << 15
 FACTORS = 4
 BINS = 12
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 
 _PUNCT = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _IS = np.zeros((5, 256), bool)
