@@ -2,16 +2,17 @@
 
 1. A text is its set of distinct word shingles. Texts with the same set form a
    class; from here on only its representative (smallest id) takes part.
-2. Signatures of BANDS x ROWS minima are cut into bands. All members of a bucket
-   are compared with the bucket's smallest and largest member only, so a bucket
-   gives rows in proportion to its size.
+2. Signatures of BANDS x ROWS minima (a byte of each) are cut into bands. Every
+   bucket's smallest member is its hub; a text is first compared with the HUBS hubs
+   that most of its buckets have, so there are rows in proportion to the texts.
 3. A pair's signatures are compared batch by batch. With a uniform prior the
    similarity's posterior after m matches of n is Beta(m+1, n-m+1); a pair is
    dropped as soon as the chance that it reaches the threshold is below ``miss``.
 4. Survivors are verified exactly on their full sets, and linked.
-5. Buckets whose members are still in different components then compare all
-   pairs across these components (steps 3 and 4 again), which no link can slip
-   through: within a component a link changes nothing.
+5. Buckets whose members are still in different components then compare their
+   members across these components, in blocks inside the tasks, so that only pairs
+   which pass step 3 leave them for step 4, each from the first band it shares. No link can slip through: within a
+   component a link changes nothing.
 
 The chance that no band meets for two texts at similarity s is (1 - s^5)^32:
 3e-6 at 0.8. Labels spread over links by repeated minima with pointer jumping;
@@ -31,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.llm.common import chain_hash, mix64, spread, store, text_windows, texts_of, word_hashes
@@ -40,6 +41,8 @@ BANDS, ROWS = 32, 5
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6  # posterior chance under which a pair is dropped
 CHUNK = 2048  # shingles hashed at once
+HUBS = 3  # that a text is compared with before its buckets
+BLOCK = 1000  # members of a bucket that meet in one task
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -79,7 +82,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, different between bands."""
+    """One 64-bit key per band of the signature's bytes, different between bands."""
     bands = sig.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
@@ -88,22 +91,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (two hashes of the whole set), sig."""
+    """doc_id, n_shingles, set_key (two hashes of the whole set), bands, sig.
+
+    ``sig`` keeps a byte of each minimum, which is enough to count matches (a few too
+    many, so nothing more is pruned); ``bands`` are its band keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_windows(batches):
             sets = shingle_sets(texts_of(batch), shingle)
-            keys, sigs = [], []
+            keys, bands, sigs = [], [], []
             for s in sets:
+                own = signature(s).astype(np.uint8) if len(s) else None
                 with np.errstate(over="ignore"):
                     keys.append(np.array([s.sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)], np.uint64).tobytes() if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
+                bands.append(band_keys(own).tobytes() if len(s) else None)
+                sigs.append(own.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "sig"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
             )
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary, sig binary")
 
 
 @lru_cache(8)
@@ -121,24 +130,107 @@ def fewest_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _reaching(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Rows of two signature matrices that sequential comparison doesn't rule out."""
+    alive = np.arange(len(x))
+    matches = np.zeros(len(x), np.int64)
+    for i, m in enumerate(least):
+        part = slice(i * BATCH, (i + 1) * BATCH)
+        matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
+        alive = alive[matches[alive] >= m]
+    return alive
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that sequential comparison doesn't rule out."""
+    """Pairs (a, b, sig_a, sig_b) that may reach the threshold."""
     least = fewest_matches(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alive = pa.array(_reaching(_signatures(batch.column(2)), _signatures(batch.column(3)), least))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(alive) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def across(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs of a bucket's members in different components that may reach the threshold.
+
+    ``buckets`` has band, rep, n, label and sig. Members meet in the task, block by
+    block, and only pairs that pass the comparison leave it. A bucket of more than
+    BLOCK members is dealt out as pairs of blocks, each member going to all of them.
+    """
+    least = fewest_matches(percent / 100, miss)
+    size = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = store(size.where("blocks > 1"), "large-buckets")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cells = (
+        buckets.join(large, "band", "left")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "no", "rep", "n", "label", "sig")
+    )
+    dealt = cells.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def compare(table: pa.Table) -> pa.RecordBatch:
+            keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("band", "x", "y")], 1)
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            own, no, rep, n, label = (table[c].to_numpy() for c in ("own", "no", "rep", "n", "label"))
+            sig = _signatures(table["sig"].combine_chunks())
+            out: list[np.ndarray] = []
+            left: list[np.ndarray] = []
+            right: list[np.ndarray] = []
+            waiting = 0
+
+            def settle():
+                i, j = np.concatenate(left), np.concatenate(right)
+                alive = _reaching(sig[i], sig[j], least)
+                i, j = i[alive], j[alive]
+                met = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2).argmax(1)  # the first band they share
+                out.append(np.stack([rep[i], rep[j]], 1)[met == no[i]])
+
+            for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(rep)]))):
+                apart = keys[a, 1] != keys[a, 2]  # two blocks: only pairs between them
+                for i in range(a, b - 1):
+                    j = np.arange(i + 1, b)
+                    j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+                    if apart:
+                        j = j[own[j] != own[i]]
+                    if len(j):
+                        left.append(np.full(len(j), i))
+                        right.append(j)
+                        waiting += len(j)
+                        if waiting > 20_000:
+                            settle()
+                            left, right, waiting = [], [], 0
+            if waiting:
+                settle()
+            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-            alive = np.arange(batch.num_rows)
-            matches = np.zeros(batch.num_rows, np.int64)
-            for i, m in enumerate(least):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
-                alive = alive[matches[alive] >= m]
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            last = [table[c][-1].as_py() for c in ("band", "x", "y")]
+            same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(("band", "x", "y"), last)])
+            cut = int(np.argmax(same))  # the last cell may go on in the next batch
+            rest = table.slice(cut)
+            if cut:
+                yield compare(table.slice(0, cut))
+        if rest is not None:
+            yield compare(rest)
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -195,53 +287,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     threshold = percent / 100
     described = store(describe(docs, shingle), "signatures")
     classes = (
-        described.where("set_key is not null")
+        described.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+        .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("least"))
+        .select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), "least.bands", "least.sig")
     )
-    reps = store(classes.select("rep", "set_key", "sig", "n"), "classes")
+    reps = store(classes, "classes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([band_keys(np.frombuffer(s, np.uint32)) for s in batch.column(2).to_pylist()])
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
             take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys.view(np.int64))], names=["rep", "n", "band"]
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))],
+                names=["rep", "n", "band", "no"],
             )
 
-    entries = reps.select("rep", "n", "sig").mapInArrow(bands, "rep long, n long, band long")
-    ends = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    entries = reps.select("rep", "n", "bands").mapInArrow(bands, "rep long, n long, band long, no int")
+    ends = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
     shared = store(entries.join(ends, "band"), "buckets")  # only buckets with two members or more
 
     sigs = reps.select("rep", "sig")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        full = (
-            pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-        )
-        return store(verify(store(prune(full, threshold, miss), "survivors"), docs, shingle, percent), "verified")
+    def verified(survivors: DataFrame) -> DataFrame:
+        return store(verify(store(survivors.distinct(), "survivors"), docs, shingle, percent), "verified")
 
+    order = Window.partitionBy("rep").orderBy(F.desc("times"), "low")  # a text is in BANDS buckets at most
     pairs = (
-        shared.select(F.col("rep"), F.explode(F.array("low", "high")).alias("hub"))
-        .where("rep <> hub")
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
+        shared.where("rep <> low")
+        .groupBy("rep", "low")
+        .agg(F.count("*").alias("times"))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= HUBS)
+        .select(F.col("low").alias("a"), F.col("rep").alias("b"))
     )
-    first = linked(pairs)
+    with_sigs = (
+        pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+    )
+    first = verified(prune(with_sigs, threshold, miss))
     part = components(first)
-    named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "no", "rep", "n", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
-    open_ = store(named.join(mixed, "band"), "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
-    )
-    second = linked(across)
+    open_ = store(named.join(mixed, "band").join(sigs, "rep"), "open-buckets")
+    second = verified(across(open_, percent, miss))
     final = components(first.union(second))
     named_reps = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     return described.join(named_reps, "set_key", "left").select(
