@@ -36,7 +36,7 @@ LENGTH = 2048
 SEGMENTS = 64
 POOL = 512
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 220_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long"
 
@@ -65,7 +65,8 @@ class WordTokens(dict):
     The vocabulary never joins over white space, so a text's ids are those of its
     words in order, and upper case is lowered anyway. A Latin word is a single
     piece, so the merges alone give its ids; marks behind it are a piece of their
-    own; any other word takes the tokenizer's whole way. Words are kept, to a bound.
+    own; any other word takes the tokenizer's whole way. Words are kept, to a bound,
+    those in use longest.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -77,9 +78,12 @@ class WordTokens(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
+        self.older: dict[bytes, bytes] = {}
         self.end = np.array([END_ID], np.dtype("<u4")).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        if word in self.older:
+            return self.keep(word, self.older[word])
         core = word.rstrip(b".,!%$&*#|?")
         try:
             text = core.decode()
@@ -93,7 +97,12 @@ class WordTokens(dict):
         else:
             got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
             ids = np.array(got, np.dtype("<u4")).tobytes()
+        return self.keep(word, ids)
+
+    def keep(self, word: bytes, ids: bytes) -> bytes:
+        """When full, what is there becomes the older half and the half before it goes."""
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
