@@ -1,26 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The word trigrams of all test items are counted over the whole corpus (by
-   documents). The rarer half of each item's trigrams are its seeds: rare within
-   the item, so an item that leaked everywhere keeps its seeds too.
-2. Texts that hold a seed are aligned with the seed's item around it: local
+"""Benchmark decontamination: n-gram seeds that can't be missed, then Smith-Waterman alignment.
+
+1. The seeds of an item are all its word bigrams. An alignment with m equal words
+   and e changed, dropped or added ones has m - e - 1 equal bigrams at least, so one
+   that reaches ``least`` has (2 * least - 1) * words - 1 or more, all within a
+   bounded stretch of the text. Where that is none (up to five words at 0.6), the
+   seeds are the words, of which least * words must be equal.
+2. Stretches of texts with that many seeds of an item are aligned with it: local
    alignment of words (match 2, mismatch -1, gap -1), so inserted, dropped and
    changed words only lower the score. The share of the best possible score that
-   an alignment reaches is its similarity; pairs at ``least`` or more are leaks.
+   an alignment reaches is its similarity; pairs at ``least`` or more are leaks,
+   and none of them is without its seeds, however its words were edited.
 
 Items go out in blocks of at most BLOCK_WORDS words, so what is sent to the
-executors is bounded however long the list of items is; a block costs two scans
-of the texts and shuffles nothing but counts.
+executors is bounded however long the list of items is; a block costs one scan
+of the texts and shuffles nothing.
 
 Words are runs of letters and digits (any non-ASCII character counts as a
 letter), lower-cased. Results for odd input: null and empty texts and items
-never match; items with fewer than three words have no seeds and never match;
+never match; items with fewer than three words never match;
 repeated rows and items each give rows of their own; of equally good places in
 a text the first is reported; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import chain_hash, spread, text_windows, texts_of, word_hashes
 
-SEED_WORDS = 3
+LEAST_WORDS = 3  # of an item
 BLOCK_WORDS = 1_000_000
 LEAST = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -59,6 +63,8 @@ class Block:
     item: np.ndarray
     at: np.ndarray
     sieve: np.ndarray
+    need: np.ndarray  # seeds that an alignment of an item holds at least
+    slack: np.ndarray  # words that an alignment can have beyond the item's
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``grams`` and indices of ``seeds`` (all pairs that are equal)."""
@@ -69,33 +75,27 @@ class Block:
         return where, np.repeat(low, n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def block_of(ids: list, texts: list[bytes | None]) -> Block:
+def bounds(size: int, least: float) -> tuple[int, int, int]:
+    """(words of a seed, seeds an alignment holds at least, words it can have more than the item)."""
+    pairs = math.ceil((2 * least - 1) * size - 1 - 1e-9)
+    slack = max(int((2 - 2 * least) * size + 1e-9), 0)
+    return (2, pairs, slack) if pairs > 0 else (1, max(math.ceil(least * size - 1e-9), 1), slack)
+
+
+def block_of(ids: list, texts: list[bytes | None], least: float) -> Block:
     hashes, counts = word_hashes([plain(t) for t in texts])
     ends = np.cumsum(counts)
     words = [hashes[e - n : e] for e, n in zip(ends, counts)]
-    grams = [chain_hash(w, SEED_WORDS) for w in words]
+    rules = [bounds(len(w), least) for w in words]
+    grams = [chain_hash(w, n) if len(w) >= LEAST_WORDS else np.empty(0, np.uint64) for w, (n, _, _) in zip(words, rules)]
+    seeds = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
     at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-    return _sorted(ids, words, np.concatenate(grams) if grams else np.empty(0, np.uint64), item, at)
-
-
-def _sorted(ids, words, seeds, item, at) -> Block:
     order = np.argsort(seeds, kind="stable")
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(seeds >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-    return Block(ids, words, seeds[order], item[order], at[order], sieve)
-
-
-def rarer_half(block: Block, found: np.ndarray, frequency: np.ndarray) -> Block:
-    """The block with only the rarer half (rounded up) of each item's trigrams."""
-    at = np.minimum(np.searchsorted(found, block.seeds), max(len(found) - 1, 0))
-    df = np.where(found[at] == block.seeds, frequency[at], 0) if len(found) else np.zeros(len(block.seeds), np.int64)
-    order = np.lexsort((block.seeds, df, block.item))
-    items = block.item[order]
-    first = np.searchsorted(items, items, "left")
-    size = np.searchsorted(items, items, "right") - first
-    keep = np.sort(order[np.arange(len(order)) - first < (size + 1) // 2])
-    return _sorted(block.ids, block.words, block.seeds[keep], block.item[keep], block.at[keep])
+    need, slack = (np.array([r[i] for r in rules], np.int64) for i in (1, 2))
+    return Block(ids, words, seeds[order], item[order], at[order], sieve, need, slack)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -128,34 +128,54 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _regions(block: Block, where: np.ndarray, which: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(item, from, to) stretches of a text around its hits, overlapping ones joined."""
-    out: list[tuple[int, int, int]] = []
-    item = block.item[which]
-    begin = where - block.at[which]
-    for k in np.lexsort((begin, item)):
-        i, size = int(item[k]), len(block.words[int(item[k])])
-        slack = size // 2 + 2
-        a, b = max(int(begin[k]) - slack, 0), min(int(begin[k]) + size + slack, n)
-        if out and out[-1][0] == i and a <= out[-1][2]:
-            out[-1] = (i, out[-1][1], max(b, out[-1][2]))
-        else:
-            out.append((i, a, b))
-    return out
+def _regions(block: Block, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, from, to) stretches of texts that hold enough of an item's seeds
+    close to each other, overlapping ones joined."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    one, two = block.hits(chain_hash(hashes, 1)), block.hits(chain_hash(hashes, 2))
+    whole = ~np.isin(two[0] + 1, ends)  # not from one text into the next
+    where, which = np.concatenate([one[0], two[0][whole]]), np.concatenate([one[1], two[1][whole]])
+    item, at = block.item[which], block.at[which]
+    size = np.fromiter((len(w) for w in block.words), np.int64, len(block.words))
+    reach = size + block.slack
+    apart = int(reach.max(initial=0)) + 1
+    text = np.searchsorted(ends, where, "right")
+    place = item * (len(hashes) + (len(counts) + 1) * apart) + where + text * apart
+    order = np.argsort(place, kind="stable")
+    place, item, at, where, text = place[order], item[order], at[order], where[order], text[order]
+    upto = np.searchsorted(place, place + reach[item], "right")
+    dense = np.flatnonzero(upto - np.arange(len(place)) >= block.need[item])
+    marks = np.zeros(len(place) + 1, np.int64)
+    np.add.at(marks, dense, 1)
+    np.add.at(marks, upto[dense], -1)
+    chosen = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+    slack = block.slack[item[chosen]]
+    begin = where[chosen] - at[chosen]
+    low = np.maximum(begin - slack, starts[text[chosen]])
+    high = np.minimum(begin + size[item[chosen]] + slack, ends[text[chosen]])
+    order = np.lexsort((low, text[chosen], item[chosen]))
+    open_: tuple[int, int, int, int] | None = None
+    seen: set[int] = set()
+
+    def enough() -> bool:
+        return open_ is not None and len(seen) >= block.need[open_[1]]
+
+    for t, i, a, b, q in zip(*(x[order].tolist() for x in (text[chosen], item[chosen], low, high, at[chosen]))):
+        if open_ is not None and open_[:2] == (t, i) and a <= open_[3]:
+            open_ = (t, i, open_[2], max(b, open_[3]))
+            seen.add(q)
+            continue
+        if enough():
+            yield open_
+        open_, seen = (t, i, a, b), {q}
+    if enough():
+        yield open_
 
 
 SCHEMA = "doc_id long, item long, similarity double, start_word int, end_word int"
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in text_windows(batches):
-        hashes, counts = word_hashes([plain(t) for t in texts_of(batch)])
-        ends = np.cumsum(counts)
-        for i, (e, n) in enumerate(zip(ends, counts)):
-            if n >= SEED_WORDS:
-                yield batch.column(0)[i].as_py(), hashes[e - n : e]
-
-
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document and item that align: see SCHEMA (``item`` is item_id).
 
@@ -169,43 +189,26 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     result = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        block = block_of([r["item_id"] for r in part], [r["text"].encode() for r in part])
-        all_seeds = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=all_seeds) -> Iterator[pa.RecordBatch]:
-            seen: list[np.ndarray] = []
-            for _, hashes in _texts(batches):
-                _, which = shared.value.hits(chain_hash(hashes, SEED_WORDS))
-                if len(which):
-                    seen.append(np.unique(shared.value.seeds[which]))
-            if seen:
-                found, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["seed", "n"])
-
-        table = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        found = table["seed"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(found)
-        rare = spark.sparkContext.broadcast(rarer_half(block, found[order], table["n"].to_numpy()[order]))
-
-        def match(batches: Iterator[pa.RecordBatch], shared=rare) -> Iterator[pa.RecordBatch]:
+        shared = spark.sparkContext.broadcast(block_of([r["item_id"] for r in part], [r["text"].encode() for r in part], least))
+
+        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            rows: list[tuple] = []
-            for doc_id, hashes in _texts(batches):
-                where, which = block.hits(chain_hash(hashes, SEED_WORDS))
-                if not len(where):
-                    continue
-                best: dict[int, tuple[float, int, int]] = {}
-                for i, a, b in _regions(block, where, which, len(hashes)):
+            for batch in text_windows(batches):
+                hashes, counts = word_hashes([plain(t) for t in texts_of(batch)])
+                best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                starts = np.cumsum(counts) - counts
+                for t, i, a, b in _regions(block, hashes, counts):
                     score, first, last = align(block.words[i], hashes[a:b])
                     share = score / (MATCH * len(block.words[i]))
-                    if share >= least and share > best.get(i, (0.0,))[0]:
-                        best[i] = (share, a + first, a + last)
-                rows += [(doc_id, block.ids[i], *x) for i, x in best.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
-                    names=["doc_id", "item", "similarity", "start_word", "end_word"],
-                )
+                    if share >= least and share > best.get((t, i), (0.0,))[0]:
+                        a -= int(starts[t])
+                        best[t, i] = (share, a + first, a + last)
+                if best:
+                    rows = [(batch.column(0)[t].as_py(), block.ids[i], *x) for (t, i), x in best.items()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, y) for c, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
+                        names=["doc_id", "item", "similarity", "start_word", "end_word"],
+                    )
 
         got = texts.mapInArrow(match, SCHEMA)
         result = got if result is None else result.unionByName(got)

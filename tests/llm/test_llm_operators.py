@@ -190,6 +190,31 @@ def test_edited_copies_are_found(spark):
     assert many.count() == len(got)
 
 
+def test_every_alignment_above_the_threshold_is_found(spark):
+    """Copies with every 4th and 5th word replaced, others added or dropped, against all pairs."""
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"i{i}x{j}" if rng.random() > 0.3 else "the" for j in range(n))) for i, n in enumerate((3, 4, 5, 6, 9, 12, 20, 20, 30, 59))]
+    docs = []
+    for _, text in items:
+        words = text.split()
+        copies = [[w if j % step != step - 1 else f"e{j}" for j, w in enumerate(words)] for step in (3, 4, 5)]
+        copies += [[x for j, w in enumerate(words) for x in ([w] if j % step else [f"a{j}", w])] for step in (1, 2, 3)]
+        copies += [[w for j, w in enumerate(words) if j % step] for step in (3, 4, 5)]
+        copies += [["the" if rng.random() < 0.2 else w for w in words] for _ in range(3)]
+        docs += [" ".join(["the", "n1", *c, "n2", "the"]) for c in copies]
+    docs = list(enumerate([*docs, *docs[:20], items[7][1]]))  # whole copies elsewhere don't hide edited ones
+    want = {}
+    for i, text in items:
+        for d, other in docs:
+            names = {w: n for n, w in enumerate(sorted({*text.split(), *other.split()}))}
+            share = slow_align([names[w] for w in text.split()], [names[w] for w in other.split()]) / (2 * len(text.split()))
+            if share >= decontamination.LEAST:
+                want[d, i] = share
+    assert sum(0.6 <= s < 0.75 for s in want.values()) > 20
+    got = decontamination.leaks(table(spark, docs), table(spark, items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want
+
+
 def test_item_blocks_lose_nothing(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}x{j}" for j in range(12))) for i in range(20)]
     docs = [(i, t) for i, t in items]
