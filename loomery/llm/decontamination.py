@@ -10,6 +10,16 @@
    changed words only lower the score. The share of the best possible score that
    an alignment reaches is its similarity; pairs at ``least`` or more are leaks,
    and none of them is without its seeds, however its words were edited.
+3. A passage of an item is a leak too, however long the rest: PASSAGE_WORDS
+   consecutive item words or more whose alignment reaches ``least`` of the best
+   score of just these words. One of up to 2 * PASSAGE_WORDS - 1 words is in each,
+   with two seeds at least; stretches of text and item around two such seeds are
+   searched for the best passage (the one furthest above ``least``).
+
+A row tells both: ``similarity`` is the share of the whole item, ``passage`` the
+share of the best passage and ``passage_words`` its length in the item (null if
+there is none). The place is that of the whole item's alignment where this is a
+leak, else that of the passage.
 
 Items go out in blocks of at most BLOCK_WORDS words, so what is sent to the
 executors is bounded however long the list of items is; a block costs one scan
@@ -17,16 +27,18 @@ of the texts and shuffles nothing.
 
 Words are runs of letters and digits (any non-ASCII character counts as a
 letter), lower-cased. Results for odd input: null and empty texts and items
-never match; items with fewer than three words never match;
-repeated rows and items each give rows of their own; of equally good places in
+never match; items of one or two words match like others (one word: wherever
+it stands), those of fewer than PASSAGE_WORDS as a whole only; repeated rows and items each give rows of their own; of equally good places in
 a text the first is reported; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +47,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import chain_hash, spread, text_windows, texts_of, word_hashes
 
-LEAST_WORDS = 3  # of an item
+PASSAGE_WORDS = 13
 BLOCK_WORDS = 1_000_000
 LEAST = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -64,6 +76,7 @@ class Block:
     at: np.ndarray
     sieve: np.ndarray
     need: np.ndarray  # seeds that an alignment of an item holds at least
+    size: np.ndarray
     slack: np.ndarray  # words that an alignment can have beyond the item's
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +91,8 @@ class Block:
 def bounds(size: int, least: float) -> tuple[int, int, int]:
     """(words of a seed, seeds an alignment holds at least, words it can have more than the item)."""
     pairs = math.ceil((2 * least - 1) * size - 1 - 1e-9)
+    if size >= PASSAGE_WORDS:  # its passages must be found by the same seeds
+        pairs *= math.ceil((2 * least - 1) * PASSAGE_WORDS - 1 - 1e-9) > 0
     slack = max(int((2 - 2 * least) * size + 1e-9), 0)
     return (2, pairs, slack) if pairs > 0 else (1, max(math.ceil(least * size - 1e-9), 1), slack)
 
@@ -87,15 +102,16 @@ def block_of(ids: list, texts: list[bytes | None], least: float) -> Block:
     ends = np.cumsum(counts)
     words = [hashes[e - n : e] for e, n in zip(ends, counts)]
     rules = [bounds(len(w), least) for w in words]
-    grams = [chain_hash(w, n) if len(w) >= LEAST_WORDS else np.empty(0, np.uint64) for w, (n, _, _) in zip(words, rules)]
+    grams = [chain_hash(w, n) for w, (n, _, _) in zip(words, rules)]
     seeds = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
     at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
     order = np.argsort(seeds, kind="stable")
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(seeds >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+    size = np.array([len(w) for w in words], np.int64)
     need, slack = (np.array([r[i] for r in rules], np.int64) for i in (1, 2))
-    return Block(ids, words, seeds[order], item[order], at[order], sieve, need, slack)
+    return Block(ids, words, seeds[order], item[order], at[order], sieve, need, size, slack)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -128,52 +144,146 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _regions(block: Block, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, from, to) stretches of texts that hold enough of an item's seeds
-    close to each other, overlapping ones joined."""
+@functools.cache
+def _price(least: float) -> tuple[int, int]:
+    """(worth of a score of 1, cost of an item word) in whole numbers."""
+    part = Fraction(least).limit_denominator(1000)
+    return part.denominator, MATCH * part.numerator
+
+
+def may_hold(item: np.ndarray, text: np.ndarray, least: float, shortest: int = PASSAGE_WORDS) -> bool:
+    """Whether the item's words that are anywhere in ``text`` could make a passage, whatever their order."""
+    unit, cost = _price(least)
+    there = (item[:, None] == text).any(1) if len(text) < 1000 else np.isin(item, text)
+    sums = np.concatenate(([0], np.cumsum(np.where(there, MATCH * unit - cost, max(MISMATCH, GAP) * unit - cost))))
+    return len(item) >= shortest and bool((sums[shortest:] >= np.minimum.accumulate(sums)[: len(sums) - shortest]).any())
+
+
+def passage(item: np.ndarray, text: np.ndarray, least: float, shortest: int = PASSAGE_WORDS) -> tuple[float, int, int, int] | None:
+    """The stretch of at least ``shortest`` item words whose alignment is furthest above
+    ``least`` of its own best score: share, words in the item, first and one past the last word in ``text``.
+
+    Every item word costs what it must bring, so a score of 0 is just enough. One
+    layer for each length up to ``shortest``, the last one for all that are longer.
+    """
+    unit, cost = _price(least)
+    n = len(text)
+    columns = np.arange(n + 1)
+    steps = columns * (-GAP * unit)
+    low = -(1 << 50)
+    score = np.full((shortest + 1, n + 1), low)
+    origin = np.zeros((shortest + 1, n + 1), np.int64)
+    best = None
+    most = -1
+    for i, word in enumerate(item):
+        score[0], origin[0] = 0, i * (n + 1) + columns
+        before, source = score[:-1].copy(), origin[:-1].copy()
+        longer = score[-1] > before[-1]
+        before[-1][longer], source[-1][longer] = score[-1][longer], origin[-1][longer]
+        row, start = before + (GAP * unit - cost), source.copy()
+        diagonal = before[:, :-1] + (np.where(text == word, MATCH, MISMATCH) * unit - cost)
+        take = diagonal >= row[:, 1:]
+        row[:, 1:][take], start[:, 1:][take] = diagonal[take], source[:, :-1][take]
+        lifted = row + steps
+        top = np.maximum.accumulate(lifted, axis=1)
+        at = np.maximum.accumulate(np.where(lifted == top, columns, 0), axis=1)
+        score[1:], origin[1:] = top - steps, np.take_along_axis(start, at, 1)
+        end = int(np.argmax(score[-1]))
+        if score[-1, end] > most:
+            most = int(score[-1, end])
+            first, begin = divmod(int(origin[-1, end]), n + 1)
+            words = i + 1 - first
+            best = ((most + cost * words) / (unit * MATCH * words), words, begin, end)
+    return best
+
+
+@dataclass
+class Hits:
+    """Seeds found in texts, in order of item, text and place."""
+
+    item: np.ndarray
+    at: np.ndarray
+    where: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+
+def _hits(block: Block, hashes: np.ndarray, counts: np.ndarray) -> Hits:
     ends = np.cumsum(counts)
-    starts = ends - counts
     one, two = block.hits(chain_hash(hashes, 1)), block.hits(chain_hash(hashes, 2))
     whole = ~np.isin(two[0] + 1, ends)  # not from one text into the next
     where, which = np.concatenate([one[0], two[0][whole]]), np.concatenate([one[1], two[1][whole]])
-    item, at = block.item[which], block.at[which]
-    size = np.fromiter((len(w) for w in block.words), np.int64, len(block.words))
-    reach = size + block.slack
-    apart = int(reach.max(initial=0)) + 1
-    text = np.searchsorted(ends, where, "right")
+    item, text = block.item[which], np.searchsorted(ends, where, "right")
+    apart = int((block.size + block.slack).max(initial=0)) + 8 * PASSAGE_WORDS
     place = item * (len(hashes) + (len(counts) + 1) * apart) + where + text * apart
     order = np.argsort(place, kind="stable")
-    place, item, at, where, text = place[order], item[order], at[order], where[order], text[order]
-    upto = np.searchsorted(place, place + reach[item], "right")
-    dense = np.flatnonzero(upto - np.arange(len(place)) >= block.need[item])
-    marks = np.zeros(len(place) + 1, np.int64)
+    return Hits(item[order], block.at[which][order], where[order], text[order], place[order])
+
+
+def _regions(block: Block, hits: Hits, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, from, to) stretches of texts that hold enough of an item's seeds
+    close to each other, overlapping ones joined."""
+    need = block.need[hits.item]
+    upto = np.searchsorted(hits.place, hits.place + (block.size + block.slack)[hits.item], "right")
+    dense = np.flatnonzero(upto - np.arange(len(need)) >= need)
+    marks = np.zeros(len(need) + 1, np.int64)
     np.add.at(marks, dense, 1)
     np.add.at(marks, upto[dense], -1)
     chosen = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-    slack = block.slack[item[chosen]]
-    begin = where[chosen] - at[chosen]
-    low = np.maximum(begin - slack, starts[text[chosen]])
-    high = np.minimum(begin + size[item[chosen]] + slack, ends[text[chosen]])
-    order = np.lexsort((low, text[chosen], item[chosen]))
-    open_: tuple[int, int, int, int] | None = None
+    item, text, at = hits.item[chosen], hits.text[chosen], hits.at[chosen]
+    begin = hits.where[chosen] - at
+    low = np.maximum(begin - block.slack[item], starts[text])
+    high = np.minimum(begin + block.size[item] + block.slack[item], ends[text])
+    order = np.lexsort((low, text, item))
+    region: tuple[int, int, int, int] | None = None
     seen: set[int] = set()
-
-    def enough() -> bool:
-        return open_ is not None and len(seen) >= block.need[open_[1]]
-
-    for t, i, a, b, q in zip(*(x[order].tolist() for x in (text[chosen], item[chosen], low, high, at[chosen]))):
-        if open_ is not None and open_[:2] == (t, i) and a <= open_[3]:
-            open_ = (t, i, open_[2], max(b, open_[3]))
+    for t, i, a, b, q in zip(*(x[order].tolist() for x in (text, item, low, high, at))):
+        if region is not None and region[:2] == (t, i) and a <= region[3]:
+            region = (t, i, region[2], max(b, region[3]))
             seen.add(q)
             continue
-        if enough():
-            yield open_
-        open_, seen = (t, i, a, b), {q}
-    if enough():
-        yield open_
+        if region is not None and len(seen) >= block.need[region[1]]:
+            yield region
+        region, seen = (t, i, a, b), {q}
+    if region is not None and len(seen) >= block.need[region[1]]:
+        yield region
+
+
+def _boxes(block: Block, hits: Hits, starts: np.ndarray, ends: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text, item, from, to, item from, item to) stretches around seeds of which a
+    passage may hold as many as it must, overlapping ones joined."""
+    longest = 2 * PASSAGE_WORDS - 1
+    span = longest + bounds(longest, least)[2]
+    marked = block.size[hits.item] >= PASSAGE_WORDS
+    if bounds(PASSAGE_WORDS, least)[:2] >= (2, 2):
+        pair = np.zeros(len(marked), bool)
+        lag = 1
+        while lag < len(marked):
+            near = np.flatnonzero(marked[lag:] & (hits.place[lag:] - hits.place[:-lag] < span))
+            if not len(near):
+                break
+            on = hits.at[near + lag] - hits.at[near]
+            near = near[(on > 0) & (on < longest) & (hits.where[near + lag] > hits.where[near])]
+            pair[near] = pair[near + lag] = True
+            lag += 1
+        marked = pair
+    box: list[int] | None = None
+    chosen = np.flatnonzero(marked)
+    item, text, at, where = hits.item[chosen], hits.text[chosen], hits.at[chosen], hits.where[chosen]
+    low, high = np.maximum(where - span, starts[text]), np.minimum(where + span + 1, ends[text])
+    first, last = np.maximum(at - longest, 0), np.minimum(at + longest + 1, block.size[item])
+    for t, i, a, b, c, d in zip(*(x.tolist() for x in (text, item, low, high, first, last))):
+        if box is not None and box[:2] == [t, i] and a <= box[3] and c <= box[5] and box[4] <= d:
+            box[3:] = max(b, box[3]), min(c, box[4]), max(d, box[5])
+            continue
+        if box is not None:
+            yield tuple(box)
+        box = [t, i, a, b, c, d]
+    if box is not None:
+        yield tuple(box)
 
 
-SCHEMA = "doc_id long, item long, similarity double, start_word int, end_word int"
+SCHEMA = "doc_id long, item long, similarity double, start_word int, end_word int, passage double, passage_words int"
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -182,6 +292,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     ``docs`` has doc_id and text, ``items`` item_id and text.
     """
     spark = docs.sparkSession
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
     items = items.select("item_id", "text").where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
@@ -195,20 +306,37 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
             block = shared.value
             for batch in text_windows(batches):
                 hashes, counts = word_hashes([plain(t) for t in texts_of(batch)])
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                starts = np.cumsum(counts) - counts
-                for t, i, a, b in _regions(block, hashes, counts):
+                ends = np.cumsum(counts)
+                starts = ends - counts
+                hits = _hits(block, hashes, counts)
+                whole: dict[tuple[int, int], tuple[float, int, int]] = {}
+                for t, i, a, b in _regions(block, hits, starts, ends):
                     score, first, last = align(block.words[i], hashes[a:b])
                     share = score / (MATCH * len(block.words[i]))
-                    if share >= least and share > best.get((t, i), (0.0,))[0]:
-                        a -= int(starts[t])
-                        best[t, i] = (share, a + first, a + last)
-                if best:
-                    rows = [(batch.column(0)[t].as_py(), block.ids[i], *x) for (t, i), x in best.items()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, y) for c, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
-                        names=["doc_id", "item", "similarity", "start_word", "end_word"],
-                    )
+                    if share >= least and share > whole.get((t, i), (0.0,))[0]:
+                        whole[t, i] = (share, a + first, a + last)
+                parts: dict[tuple[int, int], tuple[float, float, int, int, int]] = {}
+                for t, i, a, b, c, d in _boxes(block, hits, starts, ends, least):
+                    if not may_hold(block.words[i][c:d], hashes[a:b], least):
+                        continue
+                    found = passage(block.words[i][c:d], hashes[a:b], least)
+                    if found is not None:
+                        share, n, first, last = found
+                        over = (share - least) * n
+                        if (t, i) not in parts or over > parts[t, i][0]:
+                            parts[t, i] = (over, share, n, a + first, a + last)
+                rows: list[tuple] = []
+                for t, i in sorted({*whole, *parts}):
+                    _, share, n, first, last = parts.get((t, i), (None,) * 5)
+                    if (t, i) not in whole:
+                        reach = int(block.size[i] + block.slack[i])
+                        score, _, _ = align(block.words[i], hashes[max(first - reach, starts[t]) : min(last + reach, ends[t])])
+                        whole[t, i] = (score / (MATCH * len(block.words[i])), first, last)
+                    similarity, a, b = whole[t, i]
+                    rows.append((batch.column(0)[t].as_py(), block.ids[i], similarity, a - int(starts[t]), b - int(starts[t]), share, n))
+                if rows:
+                    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows), types)], names=names)
 
         got = texts.mapInArrow(match, SCHEMA)
         result = got if result is None else result.unionByName(got)
