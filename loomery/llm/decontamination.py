@@ -41,7 +41,9 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,57 +285,68 @@ def _boxes(block: Block, hits: Hits, starts: np.ndarray, ends: np.ndarray, least
         yield tuple(box)
 
 
+def _aligned(block: Block, hashes: np.ndarray, counts: np.ndarray, least: float) -> list[tuple]:
+    """(text, item, and the rest of a row of SCHEMA) for all leaks of texts."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    hits = _hits(block, hashes, counts)
+    whole: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for t, i, a, b in _regions(block, hits, starts, ends):
+        score, first, last = align(block.words[i], hashes[a:b])
+        share = score / (MATCH * len(block.words[i]))
+        if share >= least and share > whole.get((t, i), (0.0,))[0]:
+            whole[t, i] = (share, a + first, a + last)
+    parts: dict[tuple[int, int], tuple[float, float, int, int, int]] = {}
+    for t, i, a, b, c, d in _boxes(block, hits, starts, ends, least):
+        if not may_hold(block.words[i][c:d], hashes[a:b], least):
+            continue
+        found = passage(block.words[i][c:d], hashes[a:b], least)
+        if found is not None:
+            share, n, first, last = found
+            over = (share - least) * n
+            if (t, i) not in parts or over > parts[t, i][0]:
+                parts[t, i] = (over, share, n, a + first, a + last)
+    out: list[tuple] = []
+    for t, i in sorted({*whole, *parts}):
+        _, share, n, first, last = parts.get((t, i), (None,) * 5)
+        if (t, i) not in whole:
+            reach = int(block.size[i] + block.slack[i])
+            score, _, _ = align(block.words[i], hashes[max(first - reach, starts[t]) : min(last + reach, ends[t])])
+            whole[t, i] = (score / (MATCH * len(block.words[i])), first, last)
+        similarity, a, b = whole[t, i]
+        out.append((t, i, similarity, a - int(starts[t]), b - int(starts[t]), share, n))
+    return out
+
+
 SCHEMA = "doc_id long, item long, similarity double, start_word int, end_word int, passage double, passage_words int"
 
 
+def _blocks(items: DataFrame, least: float) -> Iterator[Broadcast]:
+    """The items as broadcast blocks; at least one, if an empty one."""
+    items = items.select("item_id", "text").where("text is not null")
+    words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(words) // BLOCK_WORDS))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        yield items.sparkSession.sparkContext.broadcast(block_of([r["item_id"] for r in part], [r["text"].encode() for r in part], least))
+
+
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document and item that align: see SCHEMA (``item`` is item_id).
 
     ``docs`` has doc_id and text, ``items`` item_id and text.
     """
-    spark = docs.sparkSession
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
-    items = items.select("item_id", "text").where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(words) // BLOCK_WORDS))
     result = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(block_of([r["item_id"] for r in part], [r["text"].encode() for r in part], least))
+    for shared in _blocks(items, least):
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in text_windows(batches):
                 hashes, counts = word_hashes([plain(t) for t in texts_of(batch)])
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                hits = _hits(block, hashes, counts)
-                whole: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for t, i, a, b in _regions(block, hits, starts, ends):
-                    score, first, last = align(block.words[i], hashes[a:b])
-                    share = score / (MATCH * len(block.words[i]))
-                    if share >= least and share > whole.get((t, i), (0.0,))[0]:
-                        whole[t, i] = (share, a + first, a + last)
-                parts: dict[tuple[int, int], tuple[float, float, int, int, int]] = {}
-                for t, i, a, b, c, d in _boxes(block, hits, starts, ends, least):
-                    if not may_hold(block.words[i][c:d], hashes[a:b], least):
-                        continue
-                    found = passage(block.words[i][c:d], hashes[a:b], least)
-                    if found is not None:
-                        share, n, first, last = found
-                        over = (share - least) * n
-                        if (t, i) not in parts or over > parts[t, i][0]:
-                            parts[t, i] = (over, share, n, a + first, a + last)
-                rows: list[tuple] = []
-                for t, i in sorted({*whole, *parts}):
-                    _, share, n, first, last = parts.get((t, i), (None,) * 5)
-                    if (t, i) not in whole:
-                        reach = int(block.size[i] + block.slack[i])
-                        score, _, _ = align(block.words[i], hashes[max(first - reach, starts[t]) : min(last + reach, ends[t])])
-                        whole[t, i] = (score / (MATCH * len(block.words[i])), first, last)
-                    similarity, a, b = whole[t, i]
-                    rows.append((batch.column(0)[t].as_py(), block.ids[i], similarity, a - int(starts[t]), b - int(starts[t]), share, n))
+                found = _aligned(block, hashes, counts, least)
+                rows = [(batch.column(0)[t].as_py(), block.ids[i], *x) for t, i, *x in found]
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows), types)], names=names)
@@ -344,5 +357,26 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without those that hold a leak."""
+    """``docs`` without those whose id is that of one that holds a leak; rows without an id stay (see :func:`clean_rows`)."""
     return docs.join(leaks(docs, items, least).select(F.col("doc_id").alias("_leak")).distinct(), F.col("doc_id") == F.col("_leak"), "left_anti")
+
+
+def _flag(shared: Broadcast, least: float):
+    """Whether a text holds a leak of an item of the block."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        hashes, counts = word_hashes([plain(t.encode()) if t else None for t in texts])
+        found = np.zeros(len(texts), bool)
+        found[[t for t, *_ in _aligned(shared.value, hashes, counts, least)]] = True
+        return pd.Series(found)
+
+    return run.asNondeterministic()
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows whose own text holds a leak, whatever their id, or none."""
+    docs = spread(docs)
+    for shared in _blocks(items, least):
+        docs = docs.where(~_flag(shared, least)("text"))
+    return docs

@@ -272,6 +272,16 @@ def test_decontamination_odd_input(spark):
     assert decontamination.leaks(odd(spark), items.limit(0)).count() == 0
 
 
+def test_contaminated_rows_without_an_id_go(spark):
+    items = table(spark, [(4, "w1 w2 w3 w4 w5"), (5, None)], "item_id long, text string")
+    docs = odd(spark)
+    stays = lambda r: r["text"] is None or "w1 w2 w3" not in r["text"]
+    got = decontamination.clean_rows(docs, items)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if stays(r))
+    assert decontamination.clean_rows(empty(spark), items).count() == 0
+    assert decontamination.clean_rows(docs, items.limit(0)).count() == docs.count()
+
+
 # --- substring dedup -----------------------------------------------------------------
 
 

@@ -58,3 +58,10 @@ def test_stages_take_empty_tables(spark, planted):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, none, folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, none, folder).count() == 0
+
+
+def test_leaks_without_an_id_go(spark, planted):
+    docs, folder, _ = planted
+    bare = docs.withColumn("doc_id", F.when(F.col("doc_id") != 106, F.col("doc_id")))
+    left = corpus_pipeline.drop_contaminated(spark, bare, folder)
+    assert left.columns == docs.columns and left.where("cut = 'leak'").count() == 0 and left.count() == docs.count() - 1
