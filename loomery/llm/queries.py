@@ -6,11 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import decontamination, language_id, lm_scoring, minhash_dedup, packing, quality, substring_dedup, topk_search, toxicity, warc_fixity
+from loomery.llm import (
+    decontamination,
+    importance_resampling,
+    language_id,
+    lm_scoring,
+    minhash_dedup,
+    packing,
+    quality,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+    warc_fixity,
+    whitening,
+)
 from loomery.llm.common import fold
 from loomery.llm.registry import documents, query
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 @query("op1_language_id")
@@ -182,3 +198,46 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("html")),
     )
     return warc_fixity.audit(_archive(pages), _archive(rotten))
+
+
+@query("op11_whitening_qdwh")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+
+
+@query("op12_token_counts_rank_synchronous")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return token_counts.with_token_counts(docs, public_tokenizers.path(PIECES), TOKEN_LIMIT).select("doc_id", "tokens.n_bytes", "tokens.n_tokens", "tokens.over_limit")
+
+
+# crc32 of each distinct word by its bytes, with a table from the polynomial
+_CRC_BYTES = "list_transform(range(1, 2 * octet_length(encode(w)), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::bigint)"
+
+
+@query(
+    "op13_importance_resampling",
+    f"""
+with rule as (select list(c order by n) as t from (select n, list_reduce(list_prepend(n, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(256) r(n))),
+dw as (select doc_id, unnest({_TERMS.replace("lower(text)", _LOWERED)}) as w from documents),
+tw as (select unnest({_TERMS.replace("lower(text)", _LOWERED)}) as w from benchmark),
+words as (select w, xor(4294967295, list_reduce(list_prepend(4294967295, {_CRC_BYTES}),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 as bucket from (select w from dw union select w from tw), rule),
+s as (select bucket, count(*) as n from dw join words using (w) group by bucket),
+t as (select bucket, count(*) as n from tw join words using (w) group by bucket),
+whole as (select coalesce((select sum(n) from s), 0) as s_all, coalesce((select sum(n) from t), 0) as t_all),
+gains as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::double) * (s_all + 10000) / ((coalesce(s.n, 0) + 1.0::double) * (t_all + 10000))))::bigint as gain
+  from s full join t using (bucket), whole),
+sums as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from dw join words using (w) join gains using (bucket) group by doc_id),
+noise as (select doc_id, floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as noise from documents),
+scored as (select doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, (coalesce(weight, 0) + noise)::bigint as score
+  from noise left join sums using (doc_id)),
+able as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select scored.*, case when rank <= n * 10 // 100 then rank end as rank from scored left join able using (doc_id)
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    drawn = importance_resampling.resample(documents(spark, sf_dir, "doc_id", "text"), target, runs=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
