@@ -10,9 +10,13 @@
    dropped as soon as the chance that it reaches the threshold is below ``miss``.
 4. Survivors are verified exactly on their full sets, and linked.
 5. Buckets whose members are still in different components then compare their
-   members across these components, in blocks inside the tasks, so that only pairs
-   which pass step 3 leave them for step 4, each from the first band it shares. No link can slip through: within a
-   component a link changes nothing.
+   members across these components inside the tasks, each pair in the first band it
+   shares. A first pass over the signatures finds the members that pass step 3 with
+   some other; only they travel on with their sets, are verified in the task, and a
+   task emits a spanning forest of their links: fewer links than members, never
+   pairs. Hot buckets are cut into blocks; blocks of their largest component don't
+   meet each other. No link can slip through: within a component a link changes
+   nothing.
 
 The chance that no band meets for two texts at similarity s is (1 - s^5)^32:
 3e-6 at 0.8. Labels spread over links by repeated minima with pointer jumping;
@@ -21,7 +25,8 @@ each round is written to the shared folder.
 Results for odd input: null and empty texts have an empty set, are linked with
 nothing and kept as a component of their own; a text with fewer words than a
 shingle is one shingle, its whole sequence. Ids name documents: rows with equal
-ids share a fate, and rows without an id are kept, outside every group. An empty
+ids share a fate, compare by the greatest of their texts, and rows without an id are
+kept, outside every group. An empty
 table gives an empty table. Other columns are not read.
 """
 
@@ -32,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +48,9 @@ BATCH = 32  # signature values compared at a time
 MISS = 1e-6  # posterior chance under which a pair is dropped
 CHUNK = 2048  # shingles hashed at once
 HUBS = 3  # that a text is compared with before its buckets
-BLOCK = 1000  # members of a bucket that meet in one task
+BLOCK = 4096  # members of a bucket that meet in one task
+CELL_BYTES = 16 << 20  # of shingle sets that meet in one task
+SET_STEP = 1 << 20  # shingles looked up at once
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -158,79 +166,147 @@ def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def across(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of a bucket's members in different components that may reach the threshold.
+def deal(buckets: DataFrame, weight: str, most: int) -> DataFrame:
+    """``buckets`` (band, rep, label, ...) with cells (x, y) and each row's block ``own``.
 
-    ``buckets`` has band, rep, n, label and sig. Members meet in the task, block by
-    block, and only pairs that pass the comparison leave it. A bucket of more than
-    BLOCK members is dealt out as pairs of blocks, each member going to all of them.
+    A bucket whose ``weight`` sums up to ``most`` or less is one cell. A larger one is cut
+    into blocks, and a cell is a pair of blocks. Members of its most frequent label don't
+    have to meet each other, so their blocks meet those of the others only.
     """
-    least = fewest_matches(percent / 100, miss)
-    size = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    large = store(size.where("blocks > 1"), "large-buckets")
-    blocks = F.coalesce("blocks", F.lit(1))
-    cells = (
-        buckets.join(large, "band", "left")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "no", "rep", "n", "label", "sig")
-    )
-    dealt = cells.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
+    labels = buckets.groupBy("band", "label").agg(F.sum(weight).alias("w"))
+    main = F.max(F.struct("w", "label"))
+    large = labels.groupBy("band").agg(F.sum("w").alias("all"), main["w"].alias("w"), main["label"].alias("main")).where(F.col("all") > most)
+    large = large.select("band", "main", F.ceil((F.col("all") - F.col("w")) / most).cast("int").alias("others"), F.ceil(F.col("w") / most).cast("int").alias("mains"))
+    joined = buckets.join(store(large, "large-buckets"), "band", "left")
+    number = F.xxhash64("rep", F.lit(5))
+    is_main = F.col("label") == F.col("main")
+    own = F.when(F.col("main").isNull(), 0).when(is_main, F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
+    last = F.when(F.col("main").isNull(), 0).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    met = joined.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("main", "others", "mains", "other")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (band, x, y), from batches sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edge, edge[1:]):
+            key = tuple(keys[i].tolist())
+            if rest and key != last:
+                yield pa.Table.from_batches(rest).combine_chunks()
+                rest = []
+            rest.append(batch.slice(i, j - i))
+            last = key
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+class Cell:
+    """Members of a cell, and which of them may reach the threshold."""
+
+    def __init__(self, table: pa.Table, percent: int, miss: float):
+        self.own, self.no, self.rep, self.n, self.label = (table[c].to_numpy() for c in ("own", "no", "rep", "n", "label"))
+        self.apart = table["x"][0] != table["y"][0]  # two blocks: only pairs between them
+        self.sig = _signatures(table["sig"].combine_chunks())
+        self.percent, self.least = percent, fewest_matches(percent / 100, miss)
+
+    def near(self, i: int, group: np.ndarray) -> np.ndarray:
+        """Members after ``i`` of another group that the signatures don't rule out, if
+        this is the first band that they share with ``i``."""
+        j = np.arange(i + 1, len(self.rep))
+        small, large = np.minimum(self.n[j], self.n[i]), np.maximum(self.n[j], self.n[i])
+        ok = (group[j] != group[i]) & (self.label[j] != self.label[i]) & (100 * small >= self.percent * large)
+        if self.apart:
+            ok &= self.own[j] != self.own[i]
+        j = j[ok]
+        if len(j):
+            j = j[_reaching(np.broadcast_to(self.sig[i], (len(j), self.sig.shape[1])), self.sig[j], self.least)]
+        if len(j):
+            same = (self.sig[j] == self.sig[i]).reshape(-1, BANDS, ROWS).all(2)
+            j = j[same.argmax(1) == self.no[i]]
+        return j
+
+
+def meeting(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """band, no, rep, n, label of the members of a bucket that may reach the threshold
+    with a member in another component; no pair leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def compare(table: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("band", "x", "y")], 1)
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            own, no, rep, n, label = (table[c].to_numpy() for c in ("own", "no", "rep", "n", "label"))
-            sig = _signatures(table["sig"].combine_chunks())
-            out: list[np.ndarray] = []
-            left: list[np.ndarray] = []
-            right: list[np.ndarray] = []
-            waiting = 0
-
-            def settle():
-                i, j = np.concatenate(left), np.concatenate(right)
-                alive = _reaching(sig[i], sig[j], least)
-                i, j = i[alive], j[alive]
-                met = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2).argmax(1)  # the first band they share
-                out.append(np.stack([rep[i], rep[j]], 1)[met == no[i]])
-
-            for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(rep)]))):
-                apart = keys[a, 1] != keys[a, 2]  # two blocks: only pairs between them
-                for i in range(a, b - 1):
-                    j = np.arange(i + 1, b)
-                    j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                    if apart:
-                        j = j[own[j] != own[i]]
-                    if len(j):
-                        left.append(np.full(len(j), i))
-                        right.append(j)
-                        waiting += len(j)
-                        if waiting > 20_000:
-                            settle()
-                            left, right, waiting = [], [], 0
-            if waiting:
-                settle()
-            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+        for table in _cells(batches):
+            cell = Cell(table, percent, miss)
+            hit = np.zeros(len(cell.rep), bool)
+            alone = np.arange(len(cell.rep))
+            for i in range(len(alone) - 1):
+                j = cell.near(i, alone)
+                hit[j] = True
+                hit[i] |= len(j) > 0
+            at = pa.array(np.flatnonzero(hit))
+            yield from table.select(["band", "no", "rep", "n", "label"]).take(at).combine_chunks().to_batches()
+
+    dealt = deal(buckets.withColumn("one", F.lit(1)), "one", BLOCK).select("band", "x", "y", "own", "no", "rep", "n", "label", "sig")
+    sorted_ = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
+    return sorted_.mapInArrow(run, "band long, no int, rep long, n long, label long").distinct()
+
+
+def forests(members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components, verified on
+    their full sets: of each cell a spanning forest, so fewer links than members.
+
+    ``members`` has band, no, rep, n, label, sig and shingles (the set's hashes).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _cells(batches):
+            cell = Cell(table, percent, miss)
+            sets = table["shingles"].combine_chunks()
+            cell.n = pc.binary_length(sets).to_numpy().astype(np.int64) // 8
+            flat = np.frombuffer(b"".join(sets.to_pylist()), np.uint64)
+            _, flat = np.unique(flat, return_inverse=True)
+            ends = np.cumsum(cell.n)
+            begin = ends - cell.n
+            _, group = np.unique(cell.label, return_inverse=True)  # components, merged along the way
+            mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+            links: list[tuple[int, int]] = []
+            for i in range(len(cell.rep) - 1):
+                near = cell.near(i, group)
+                if not len(near):
+                    continue
+                mark[flat[begin[i] : ends[i]]] = True
+                for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(cell.n[near]) // SET_STEP)) + 1):
+                    size = cell.n[part]
+                    at = np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(size) - size)
+                    for j in part[100 * both >= percent * (cell.n[i] + size - both)].tolist():
+                        if group[j] != group[i]:
+                            links.append((int(cell.rep[i]), int(cell.rep[j])))
+                            group[group == group[j]] = group[i]
+                mark[flat[begin[i] : ends[i]]] = False
+            out = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out.min(1)), pa.array(out.max(1))], names=["a", "b"])
+
+    dealt = deal(members.withColumn("bytes", 8 * F.col("n") + 200), "bytes", CELL_BYTES).select("band", "x", "y", "own", "no", "rep", "n", "label", "sig", "shingles")
+    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep").mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """rep, shingles: the sets' hashes, sorted, of the documents named by ``reps``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_windows(batches):
+            sets = [x.tobytes() for x in shingle_sets(texts_of(batch), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return _texts(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, shingles binary")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            last = [table[c][-1].as_py() for c in ("band", "x", "y")]
-            same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(("band", "x", "y"), last)])
-            cut = int(np.argmax(same))  # the last cell may go on in the next batch
-            rest = table.slice(cut)
-            if cut:
-                yield compare(table.slice(0, cut))
-        if rest is not None:
-            yield compare(rest)
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the given ids, the greatest text where rows share an id."""
+    return docs.select("doc_id", "text").join(ids.distinct(), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -238,9 +314,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
 
     Pairs of one ``a`` come together, so its set is worked out once for them.
     """
-    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = texts.join(ids, "doc_id")
+    few = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     joined = (
         pairs.join(few.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(few.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -332,7 +406,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "no", "rep", "n", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
     open_ = store(named.join(mixed, "band").join(sigs, "rep"), "open-buckets")
-    second = verified(across(open_, percent, miss))
+    meet = store(meeting(open_, percent, miss), "meeting")
+    whole = sets_of(docs, meet, shingle).join(sigs, "rep")
+    second = store(forests(meet.join(whole, "rep"), percent, miss), "forests")
     final = components(first.union(second))
     named_reps = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     return described.join(named_reps, "set_key", "left").select(
