@@ -53,6 +53,14 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root["root"]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of a batch on its way to Python, not only its rows: ten
     thousand long texts at once don't fit beside each other."""

@@ -7,17 +7,19 @@ window goes. Windows are judged on the input.
 1. Seeds. Of the runs of five words inside a window the one of least rank is its
    seed (hashed; runs of short words rank last), so equal windows have equal seeds
    and only about one position in five is a seed. Seeds of two documents or more
-   are kept, each with its first document, its ``home``.
-2. Passages. Every maximal run of windows whose seeds recur and share a shard is
-   cut out as a passage. The shard is a function of the window alone: of the
-   seed's home, so that a copied passage stays whole, or, where a home gathers
-   more than SHARD_WORDS words, also of the window's own hash, which splits it.
-3. Confirmation and automata. Equal passages of a shard are first reduced to one
-   with its least document. A shard then counts its windows by document, compiles
-   those of two documents or more into one automaton over word numbers, and
-   streams its passages through it; each match tells the window's first document.
-4. The answers go back to every occurrence of the passage, and documents drop the
-   words under windows whose first document precedes them.
+   are kept.
+2. Passages. The windows of one occurrence of such a seed lie next to each other
+   and are cut out together, as a passage of 13 to 21 words; a document has at most
+   as many passages as seeds, however many documents share them. A seed of more
+   than HOT_SEED occurrences gives a passage for each window instead, since its
+   surroundings may be different everywhere and have to be spread over tasks.
+3. Confirmation and automata. Equal passages are first reduced to one with its least
+   and greatest document. Passages are dealt by their seed (of hot seeds: by their
+   words); a shard counts its windows by document, compiles those of two documents
+   or more into one automaton over word numbers, and streams its passages through
+   it; each match tells the window's first document.
+4. The answer for a distinct passage goes back to its occurrences in later documents,
+   and documents drop the words under windows whose first document precedes them.
 
 All groupings aggregate before they shuffle, and joins on hot passages can be
 split. Words never pass a hash on their way into an automaton; hashes only
@@ -25,9 +27,10 @@ choose seeds, shards and equal passages (128 bits).
 
 Results for odd input: a null or empty text has no words, and its kept text is
 empty; documents shorter than a window lose nothing; repeats within one document
-stay. Rows with equal ids are the same document and do not remove each other's
-words. Rows without an id lose nothing and remove nothing. An empty table gives
-an empty table. Other columns are not read, and ``cut`` returns them unchanged.
+stay. Rows with equal ids don't remove each other's words, and each is judged by its
+own text. Rows without an id lose nothing and remove nothing. An empty table gives
+an empty table. Other columns are not read, and ``cut`` returns them unchanged, but
+for one that has the name ``out``.
 """
 
 from __future__ import annotations
@@ -44,12 +47,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import chain_hash, mix64, spread, store, text_windows, texts_of, word_hashes_sizes
+from loomery.llm.common import chain_hash, free_name, spread, store, text_windows, texts_of, word_hashes_sizes
 
 SEED_WORDS = 5
 SHARD_WORDS = 60_000
 LONG_WORD = 5  # runs whose words are shorter on average rank last
-WORDS = np.uint64(0x7FFFFFFFFFFFFFFF)
+HOT_SEED = 20_000  # occurrences
 
 
 @dataclass
@@ -98,48 +101,48 @@ def windows_of(texts: list[bytes | None], window: int) -> Windows:
 
 
 def seeds(docs: DataFrame, window: int) -> DataFrame:
-    """seed, doc_id, at: each document's seed positions."""
+    """seed, doc_id, version, at: each document's seed positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_windows(batches):
             w = windows_of(texts_of(batch), window)
             new = w.fresh()
             if new.any():
-                where, row = w.seed[new], w.row[new]
+                where, row = w.seed[new], pa.array(w.row[new])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.grams[where].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((where - w.begin[row]).astype(np.int32))],
-                    names=["seed", "doc_id", "at"],
+                    [
+                        pa.array(w.grams[where].view(np.int64)),
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        pa.array((where - w.begin[w.row[new]]).astype(np.int32)),
+                    ],
+                    names=["seed", "doc_id", "version", "at"],
                 )
 
-    return docs.mapInArrow(run, "seed long, doc_id long, at int")
+    return docs.mapInArrow(run, "seed long, doc_id long, version long, at int")
 
 
 def passages(marked: DataFrame, window: int) -> DataFrame:
-    """doc_id, start, shard, p1, p2, words: the maximal runs of candidate windows.
+    """doc_id, version, start, shard, p1, p2, words: the windows of each recurring seed.
 
-    ``marked`` has doc_id, text and hits, an array of (at, home, parts).
+    ``marked`` has doc_id, version, text and hits, an array of (at, hot).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_windows(batches):
             texts = texts_of(batch)
             w = windows_of(texts, window)
-            hits = batch.column(2)
+            hits = batch.column(3)
             values = hits.flatten()
             place = np.repeat(w.begin, pc.list_value_length(hits).to_numpy(zero_copy_only=False)) + values.field("at").to_numpy()
-            home, parts = np.full(len(w.hashes), -1, np.int64), np.ones(len(w.hashes), np.int64)
-            home[place] = values.field("home").to_numpy()
-            parts[place] = values.field("parts").to_numpy()
-            live = np.flatnonzero(home[w.seed] >= 0)
+            state = np.zeros(len(w.hashes), np.int8)
+            state[place] = 1 + values.field("hot").to_numpy(zero_copy_only=False).astype(np.int8)
+            live = np.flatnonzero(state[w.seed] > 0)
             if not len(live):
                 continue
-            at, row, of, split = w.at[live], w.row[live], home[w.seed[live]], parts[w.seed[live]]
-            shard = mix64(of.astype(np.uint64))
-            cut = split > 1
-            if cut.any():
-                own = chain_hash(w.hashes, window)[at[cut]]
-                shard[cut] = mix64(shard[cut] + own % split[cut].astype(np.uint64))
-            edge = np.flatnonzero((np.diff(at) != 1) | (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])) + 1
+            at, row, seed = w.at[live], w.row[live], w.seed[live]
+            hot = state[seed] == 2
+            edge = np.flatnonzero((seed[1:] != seed[:-1]) | (row[1:] != row[:-1]) | hot[1:]) + 1
             first = np.concatenate(([0], edge))
             last = np.concatenate((edge, [len(at)])) - 1
             start = at[first] - w.begin[row[first]]
@@ -151,19 +154,23 @@ def passages(marked: DataFrame, window: int) -> DataFrame:
                     whose, split_text = r, texts[r].split()
                 words.append(b" ".join(split_text[a:b]))
             digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in words), np.int64).reshape(-1, 2)
+            shard = np.where(hot[first], digests[:, 0], w.grams[seed[first]].view(np.int64))
+            whole = pa.array(row[first])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(row[first])),
+                    batch.column(0).take(whole),
+                    batch.column(1).take(whole),
                     pa.array(start.astype(np.int32)),
-                    pa.array((shard[first] & WORDS).astype(np.int64)),
+                    pa.array(shard),
                     pa.array(digests[:, 0].copy()),
                     pa.array(digests[:, 1].copy()),
                     pa.array(words, pa.binary()),
                 ],
-                names=["doc_id", "start", "shard", "p1", "p2", "words"],
+                names=["doc_id", "version", "start", "shard", "p1", "p2", "words"],
             )
 
-    return marked.select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, start int, shard long, p1 long, p2 long, words binary")
+    schema = "doc_id long, version long, start int, shard long, p1 long, p2 long, words binary"
+    return marked.select("doc_id", "version", "text", "hits").mapInArrow(run, schema)
 
 
 def locate(table: pa.Table, window: int) -> pa.Table:
@@ -200,24 +207,16 @@ def locate(table: pa.Table, window: int) -> pa.Table:
 
 
 def removed_windows(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id and the starts of its windows that recur in an earlier document."""
-    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    """doc_id, version (hash of the text) and the starts of its windows that recur in an earlier document."""
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where("doc_id is not null"))
     found = seeds(texts, window)
-    homes = store(
-        found.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home < far").select("seed", "home"), "seeds"
-    )
-    hits = store(found.join(homes, "seed").select("doc_id", "at", "home"), "seed-hits")
-    parts = hits.groupBy("home").agg(F.ceil(F.count("*") * (2 * window - SEED_WORDS) / SHARD_WORDS).cast("int").alias("parts"))
-    large = store(parts.where("parts > 1"), "large-homes")
-    by_doc = (
-        hits.join(large, "home", "left")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("at", "home", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("hits"))
-    )
-    cut = store(passages(texts.join(by_doc, "doc_id"), window), "passages")
+    often = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = store(often.select("seed", (F.col("n") > HOT_SEED).alias("hot")), "seeds")
+    by_doc = found.join(shared, "seed").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "hot")).alias("hits"))
+    cut = store(passages(texts.join(by_doc, ["doc_id", "version"]), window), "passages")
     distinct = cut.groupBy("shard", "p1", "p2").agg(F.first("words").alias("words"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
-    # homes are many and small: a task takes a group of them as one automaton
+    # shards are many and small: a task takes a group of them as one automaton
     total = cut.agg(F.sum(F.length("words"))).first()[0] or 0
     groups = max(1, int(total / 6 / SHARD_WORDS))
 
@@ -225,20 +224,21 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
         return locate(table, window)
 
     located = (
-        distinct.withColumn("group", F.pmod(F.col("shard"), F.lit(groups)))
+        distinct.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)))
         .groupBy("group")
         .applyInArrow(run, "p1 long, p2 long, firsts array<long>")
     )
-    answers = store(located.where(F.exists("firsts", lambda x: x.isNotNull())), "located")
+    answers = store(located.select("*", F.array_min("firsts").alias("low")).where("low is not null"), "located")
     return (
-        cut.select("doc_id", "start", "p1", "p2")
+        cut.select("doc_id", "version", "start", "p1", "p2")
         .join(answers, ["p1", "p2"])
+        .where("low < doc_id")
         .select(
             "doc_id",
+            "version",
             F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("starts"),
         )
-        .where(F.size("starts") > 0)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "version")
         .agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
 
@@ -254,8 +254,9 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def cut(docs: DataFrame, window: int = 13, out: str = "cut") -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_removed, kept_sha256 and kept, the kept
     words joined by one space (null where nothing was removed: the text stands)."""
-    starts = removed_windows(docs, window).select(F.col("doc_id").alias("_cut_id"), F.col("starts").alias("_cut_starts"))
-    joined = docs.join(starts, F.col("doc_id") == F.col("_cut_id"), "left").drop("_cut_id")
+    own_id, version, where = (free_name(docs, n) for n in ("_id", "_version", "_starts"))
+    starts = removed_windows(docs, window).toDF(own_id, version, where)
+    joined = docs.join(starts, (F.col("doc_id") == F.col(own_id)) & (F.xxhash64("text") == F.col(version)), "left").drop(own_id, version)
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept string")
     def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -272,4 +273,4 @@ def cut(docs: DataFrame, window: int = 13, out: str = "cut") -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
     # not deterministic, or a filter on the result would run it a second time
-    return joined.withColumn(out, finish.asNondeterministic()("text", "_cut_starts")).drop("_cut_starts")
+    return joined.withColumn(out, finish.asNondeterministic()("text", where)).drop(where)
