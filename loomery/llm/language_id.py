@@ -40,8 +40,9 @@ _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
+    """2 for letters, 1 for the marks that go with them, else 0."""
     if not _letters:
-        _letters.append(np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x10000)), bool, 0x10000))
+        _letters.append(np.fromiter(("ML".find(unicodedata.category(chr(i))[0]) + 1 for i in range(0x10000)), np.int8, 0x10000))
     return _letters[0]
 
 
@@ -49,11 +50,12 @@ def ngram_slots(text: str) -> np.ndarray:
     """Slots of the n-grams over lower-cased letters; other runs become one mark."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     low = codes < 0x10000
-    letter = np.where(low, _letter_table()[codes & 0xFFFF], False)
+    kind = np.where(low, _letter_table()[codes & 0xFFFF], 0)
     if not low.all():
-        letter[~low] = [chr(c).isalpha() for c in codes[~low]]
-    if not letter.any():
+        kind[~low] = [2 * chr(c).isalpha() for c in codes[~low]]
+    if not (kind == 2).any():
         return np.empty(0, np.int64)
+    letter = kind > 0
     codes = np.where(letter, codes, 0)
     keep = letter.copy()
     keep[1:] |= letter[:-1]

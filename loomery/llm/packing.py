@@ -12,7 +12,7 @@ Every task packs the texts of its own partition in one pass, holding at most
 ``pool`` pieces, so nothing is shuffled and memory doesn't grow with the input.
 
 Results for odd input: a null or empty text is a document of its end id alone;
-repeated rows are packed one by one; an empty table gives no rows. Ids are
+a null or empty prompt has no ids; repeated rows are packed one by one; an empty table gives no rows. Ids are
 carried, never inspected, so null and repeated doc_ids are fine.
 """
 
@@ -74,7 +74,8 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # found by the tokenizer in the raw text, in just this case, before anything is lowered
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
@@ -109,7 +110,22 @@ class WordTokens(dict):
 
     def encode(self, text: bytes | None) -> bytes:
         """ids of a text, its end id last."""
-        return b"".join(map(self.__getitem__, text.lower().split())) + self.end if text else self.end
+        return self.ids(text) + self.end if text else self.end
+
+    def ids(self, text: bytes) -> bytes:
+        """ids of a text; words that hold a special token go through the tokenizer as they are."""
+        if not any(s in text for s in self.special):
+            lowered = text.lower()
+            if not any(s in lowered for s in self.special):
+                return b"".join(map(self.__getitem__, lowered.split()))
+        out = []
+        for word in text.split():
+            if any(s in word.lower() for s in self.special):
+                got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+                out.append(np.array(got, np.dtype("<u4")).tobytes())
+            else:
+                out.append(self[word.lower()])
+        return b"".join(out)
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -224,9 +240,17 @@ def powers(bin_: list[tuple], limits: Limits, loss_of) -> Iterator[list[tuple]]:
         yield out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits | None = None, pool: int = POOL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of a document in a sequence; see SCHEMA."""
+def pack_documents(
+    docs: DataFrame, tokenizer: str, limits: Limits | None = None, pool: int = POOL, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None
+) -> DataFrame:
+    """One row per piece of a document in a sequence; see SCHEMA.
+
+    With ``prompt``, the name of a column, a row is an instruction example: the ids of
+    its prompt come before those of its text and bear no loss, those of the text and
+    the end id do, and ``limits.loss`` bounds them in every sequence.
+    """
     limits = limits or Limits()
+    before = F.col(prompt) if prompt else F.lit(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer)
@@ -235,9 +259,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits | None = None
 
         def pieces():
             for batch in text_windows(batches):
-                for key, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                asked = texts_of(batch, "prompt") if prompt else [None] * batch.num_rows
+                for key, text, question in zip(batch.column(0).to_pylist(), texts_of(batch), asked):
                     ids = words.encode(text)
-                    yield (key, ids, len(ids) // 4, None), len(ids) // 4
+                    flags = None
+                    if prompt:
+                        first = words.ids(question) if question else b""
+                        flags = np.repeat(np.array([0, 1], np.int64), [len(first) // 4, len(ids) // 4])
+                        ids = first + ids
+                    yield (key, ids, len(ids) // 4, flags), len(ids) // 4
 
         rows: list[tuple] = []
 
@@ -257,4 +287,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits | None = None
         if rows:
             yield flush()
 
-    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), before.cast("string").alias("prompt"))
+    return spread(rows if prompt else rows.drop("prompt")).mapInArrow(run, SCHEMA)

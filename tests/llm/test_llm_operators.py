@@ -313,10 +313,46 @@ def test_cut_matches_brute_force(spark, monkeypatch, window, shard_words, letter
         rows.append((int(i), "  ".join(parts)))
     rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "\n".join([stock[0]] * 3))]
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(substring_dedup, "HOT_SEED", 20_000 if shard_words > 40 else 12)
     got = substring_dedup.cut(table(spark, rows), window).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256").collect()
     assert sorted(tuple(r) for r in got) == slow_cut(rows, window)
 
 
+def test_cut_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"word{i}" for i in range(40))
+    own = [" ".join(f"own{rng.integers(0, 10**9)}" for _ in range(300)) for _ in range(3)]
+    rows = [(5, "short"), (5, "a b c " + passage), (5, own[0]), (2, own[1]), (9, passage + " end"), (9, own[2] + " " + passage), (9, passage + " end")]
+    df = table(spark, rows).select("*", F.lit(1).alias("_id"), F.lit(2).alias("_version"), F.lit(3).alias("_starts"), F.lit(4).alias("cut"))
+    cut = substring_dedup.cut(df, 13, out="gone")
+    assert cut.columns == [*df.columns, "gone"]
+    got = sorted((r["doc_id"], r["text"], r["gone"]["n_words"], r["gone"]["n_removed"], r["_id"] + r["_version"] + r["_starts"] + r["cut"]) for r in cut.collect())
+    assert got == sorted((i, t, len(t.split()), 40 if i == 9 else 0, 10) for i, t in rows)
+
+
+@pytest.mark.parametrize("hot", [20_000, 30])
+def test_passages_grow_in_proportion_to_the_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_SEED", hot)
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"shared{rng.integers(0, 10**6)}" for _ in range(200))
+    kept, stored = substring_dedup.store, {}
+    monkeypatch.setattr(substring_dedup, "store", lambda df, name: stored.setdefault(name, kept(df, name)))
+    per_document = []
+    for n in (25, 100, 400):
+        stored.clear()
+        rows = [(i, " ".join([*(f"o{rng.integers(0, 10**9)}" for _ in range(30)), passage, *(f"o{rng.integers(0, 10**9)}" for _ in range(30))])) for i in range(n)]
+        got = substring_dedup.cut(table(spark, rows), 13).select("doc_id", "cut.n_removed").collect()
+        assert sorted(tuple(r) for r in got) == [(i, 200 if i else 0) for i in range(n)]
+        per_document.append(stored["passages"].count() / n)
+    assert max(per_document) <= (60 if hot > 400 else 220)
+    if hot > 400:
+        assert max(per_document) <= 1.1 * min(per_document)
+
+
+def test_marks_alone_are_no_letters():
+    assert len(language_id.ngram_slots("́́ 12")) == 0 and len(language_id.ngram_slots("é")) > 0
+
+
 def test_cut_odd_input(spark):
     got = substring_dedup.cut(odd(spark).drop("cut"), 13)
     rows = {(r["doc_id"], r["text"]): r["cut"] for r in got.collect()}
@@ -347,9 +383,10 @@ def slow_components(rows, shingle, percent):
     return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("shingle,block", [(2, 1000), (5, 1000), (2, 3)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, shingle, block):
+@pytest.mark.parametrize("shingle,block,size", [(2, 1000, 1 << 20), (5, 1000, 1 << 20), (2, 3, 2000)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, shingle, block, size):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "CELL_BYTES", size)
     rng = np.random.default_rng(shingle)
     rows = []
     for g in range(25):
@@ -375,6 +412,45 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert alive.mean() > 0.999
 
 
+@pytest.mark.parametrize("edits,block,size", [(4, 4096, 1 << 24), (3, 16, 8000)])
+def test_links_grow_in_proportion_to_a_group(spark, monkeypatch, edits, block, size):
+    """Copies around the threshold of each other: tasks emit forests, not pairs."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "CELL_BYTES", size)
+    kept, counts = minhash_dedup.store, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "store", counted)
+    for n in (50, 200):
+        rng = np.random.default_rng(n)
+        rows = []
+        for i in range(n):
+            words = [f"f{k}" for k in range(60)]
+            for at in rng.choice(60, edits, replace=False):
+                words[at] = f"own{i}x{at}"
+            rows.append((i, " ".join(words)))
+        counts.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(table(spark, rows), 2).collect()}
+        assert got == slow_components(rows, 2, 80)
+        assert counts["survivors"] <= minhash_dedup.HUBS * n and counts["meeting"] <= minhash_dedup.BANDS * n
+        assert counts["forests"] <= 2 * n
+
+
+def test_rows_that_share_an_id_share_a_fate(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, "a b c d e f"), (7, text + " z"), (3, text), (9, "a b c d e f"), (1, "other words here")]
+    want = None
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(table(spark, order), 2).collect())
+        assert want is None or got == want
+        want = got
+    assert {(i, c) for i, _, c, _ in got} == {(1, 1), (3, 3), (7, 3), (9, 3)}
+
+
 def test_templates_below_the_threshold_stay_apart(spark):
     """Many texts alike at about 0.7: all share buckets, few or none are linked."""
     rng = np.random.default_rng(12)
@@ -408,13 +484,39 @@ def test_near_duplicates_odd_input(spark):
 
 
 def test_words_alone_give_the_ids_of_the_text():
+    from tokenizers import Tokenizer
+
     words = packing.WordTokens(TOKENIZER)
-    texts = ["", "a", "It's DON'T we'll 'tis", "x<|endoftext|>y <|startoftext|>", "é ÉÀ ñandú ǅ ſ K İ ß ẞ Σς", "a.b,c!? ... 12½ ²³ 文字 🙂", "é ̈x \x1c y\x85z q", "un:deux %%% **a** a's"]
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["", "a", "It's DON'T we'll 'tis", "x<|endoftext|>y <|startoftext|>", "A <|endoftext|> b", "É<|ENDOFTEXT|>x <|EndOfText|>", "Don't<|endoftext|>STOP, é<|endoftext|>́!", "é ÉÀ ñandú ǅ ſ K İ ß ẞ Σς", "a.b,c!? ... 12½ ²³ 文字 🙂", "é ̈x \x1c y\x85z q", "un:deux %%% **a** a's"]
     rng = np.random.default_rng(6)
     letters = list("abzAÉéñß.,!%'0 \t\n文́")
     texts += ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(500)]
     for t in texts:
-        assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_instruction_examples_keep_to_the_limit_of_loss(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    examples = turns.join(asked, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "question")
+    limits = packing.Limits(tokens=512, segments=8, loss=150)
+    rows = packing.pack_documents(examples, TOKENIZER, limits, pool=64, prompt="question").collect()
+    words = packing.WordTokens(TOKENIZER)
+    parts = {r["doc_id"]: (len(words.ids((r["question"] or "").encode())) // 4, len(words.encode((r["text"] or "").encode())) // 4) for r in examples.collect()}
+    done, sums = {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        before, own = parts[r["doc_id"]]
+        assert r["doc_tokens"] == before + own and r["start"] == done.get(r["doc_id"], 0)
+        done[r["doc_id"]] = r["start"] + r["length"]
+        assert r["loss_tokens"] == max(0, r["start"] + r["length"] - max(r["start"], before))
+        total = sums.setdefault(r["sequence_id"], [0, 0, 0])
+        total[0] += r["length"]
+        total[1] += 1
+        total[2] += r["loss_tokens"]
+    assert done == {k: sum(v) for k, v in parts.items()}
+    assert all(t <= 512 and n <= 8 and loss <= 150 for t, n, loss in sums.values())
+    assert max(loss for _, _, loss in sums.values()) > 100
 
 
 def check_packing(rows, ids_by_doc):

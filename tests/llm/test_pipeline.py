@@ -65,3 +65,12 @@ def test_leaks_without_an_id_go(spark, planted):
     bare = docs.withColumn("doc_id", F.when(F.col("doc_id") != 106, F.col("doc_id")))
     left = corpus_pipeline.drop_contaminated(spark, bare, folder)
     assert left.columns == docs.columns and left.where("cut = 'leak'").count() == 0 and left.count() == docs.count() - 1
+
+
+def test_columns_named_like_the_stages_own_stay(spark, planted):
+    docs, folder, _ = planted
+    clash = docs.withColumns({n: F.lit(n) for n in ("_language", "_cut", "_id", "_version", "_starts", "language", "leaks", "hits")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, clash, folder)
+        assert left.columns == clash.columns
+        assert left.where("_language <> '_language' or _cut <> '_cut' or _id <> '_id' or leaks <> 'leaks'").count() == 0
