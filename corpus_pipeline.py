@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import decontamination, language_id, minhash_dedup, packing, substring_dedup
-from loomery.llm.common import small_batches, store
+from loomery.llm.common import free_name, small_batches, store
 from loomery.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,8 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     with no language ahead of all others together, they go."""
     _prepare(spark)
     model = language_id.train(docs)
-    found = language_id.identify(docs, model, out="_language")
-    return found.where((F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= CERTAIN)).drop("_language")
+    out = free_name(docs, "_language")
+    found = language_id.identify(docs, model, out=out)
+    return found.where((F.col(f"{out}.lang") != language_id.UNKNOWN) & (F.col(f"{out}.score") >= CERTAIN)).drop(out)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +45,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Words under 13-word windows that an earlier document has are cut; documents
     of which nothing is left go."""
     _prepare(spark)
-    cut = substring_dedup.cut(docs, window=13, out="_cut")
-    changed = F.col("_cut.n_removed") > 0
-    columns = {"text": F.when(changed, F.col("_cut.kept")).otherwise(F.col("text"))}
+    out = free_name(docs, "_cut")
+    cut = substring_dedup.cut(docs, window=13, out=out)
+    changed = F.col(f"{out}.n_removed") > 0
+    columns = {"text": F.when(changed, F.col(f"{out}.kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("_cut.kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.where(~changed | (F.col("_cut.n_removed") < F.col("_cut.n_words"))).withColumns(columns).select(docs.columns)
+        columns["n_chars"] = F.when(changed, F.length(f"{out}.kept").cast("long")).otherwise(F.col("n_chars"))
+    return cut.where(~changed | (F.col(f"{out}.n_removed") < F.col(f"{out}.n_words"))).withColumns(columns).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,7 +99,8 @@ def test_hybrid_survives_a_failed_route(spark):
     def broken():
         raise ValueError("store is away")
 
-    got = fusion.retrieve("hybrid", q, {"dense": broken, "sparse": lambda: hits}).collect()
+    with pytest.warns(UserWarning, match="dense"):
+        got = fusion.retrieve("hybrid", q, {"dense": broken, "sparse": lambda: hits}, tolerate=True).collect()
     assert [r["chunk_id"] for r in got] == [7]
     with pytest.raises(ValueError):
         fusion.retrieve("dense", q, {"dense": broken})
