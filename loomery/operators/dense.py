@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from loomery import constants as k_
 from loomery.operators.topk import top_k
+from loomery.session import materialize
 
 MAX_SHIPPED_QUERIES = 4096
 BLOCK_CELLS = 4_000_000
 GRID_CORPUS_ROWS = 100_000
-MAX_CENTROIDS = 4096
+MAX_CENTROID_BYTES = 256 << 20  # shipped to the tasks
 FINAL_SALTS = 16
 
 
@@ -151,12 +152,13 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, tenant: str | None, sch
 
 
 def train_centroids(corpus: DataFrame, lists: int = 16, seed: int = 7, max_iter: int = 10) -> np.ndarray:
-    """Unit centroids by distributed k-means (at most ``MAX_CENTROIDS`` rows)."""
+    """Unit centroids by distributed k-means, as long as they can be shipped."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if lists > MAX_CENTROIDS:
-        raise ValueError(f"at most {MAX_CENTROIDS} lists")
+    dims = corpus.select(F.max(F.size("embedding"))).first()[0] or 0
+    if 8 * lists * dims > MAX_CENTROID_BYTES:
+        raise ValueError(f"{lists} centroids of {dims} entries are over {MAX_CENTROID_BYTES} bytes")
     data = corpus.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=max_iter).fit(data)
     return _unit(np.array(model.clusterCenters()))
@@ -178,11 +180,12 @@ def ivf_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k: in
     """Approximate top k: each query scans only its ``probes`` nearest lists, exactly.
 
     On a table partitioned by ``list_id`` the unprobed folders are never read.
-    A list that holds much of the corpus stays spread over its scan tasks.
+    A list that holds much of the corpus stays spread over its scan tasks. A batch too
+    large to be shipped meets the lists by a join on them.
     """
     rows = queries.select("query_id", "embedding").limit(MAX_SHIPPED_QUERIES + 1).collect()
     if len(rows) > MAX_SHIPPED_QUERIES:
-        raise ValueError(f"send at most {MAX_SHIPPED_QUERIES} queries at a time, or use dense_topk")
+        return ivf_grid_topk(queries, listed, centroids, k, probes)
     schema = _schema(queries, listed)
     if not rows:
         return _finish(listed.sparkSession.createDataFrame([], schema), k)
@@ -205,3 +208,68 @@ def ivf_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k: in
     wanted = [int(x) for x in np.unique(probed)]
     part = listed.where(F.col("list_id").isin(wanted)).select("chunk_id", "embedding", "list_id")
     return _finish(part.mapInPandas(scan, schema), k)
+
+
+def ivf_grid_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k: int = k_.RETRIEVER_TOP_K, probes: int = 4) -> DataFrame:
+    """Queries by list against blocks of the lists: an equi-join of bounded cells.
+
+    A list with more than GRID_CORPUS_ROWS vectors, or more than MAX_SHIPPED_QUERIES
+    queries that probe it, is cut into blocks on that side.
+    """
+    schema = _schema(queries, listed)
+    shipped = queries.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf("array<int>")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            best = np.argsort(-(_unit(_stack(v)) @ shipped.value.T), axis=1)[:, :probes] if len(v) else []
+            yield pd.Series([x.astype(np.int32) for x in best], dtype=object)
+
+    # stored: counted and joined
+    asked = materialize(queries.select("query_id", F.col("embedding").alias("_qv"), F.explode(nearest("embedding")).alias("list_id")), "probes")
+    n_q = asked.groupBy("list_id").agg(F.ceil(F.count("*") / MAX_SHIPPED_QUERIES).cast("int").alias("_nq"))
+    n_c = listed.groupBy("list_id").agg(F.ceil(F.count("*") / GRID_CORPUS_ROWS).cast("int").alias("_nc"))
+    blocks = materialize(n_q.join(n_c, "list_id"), "list-blocks")  # a row for each list, fewer than centroids
+
+    def spread_over(df: DataFrame, own: str, id_: str, other: str, other_no: str, own_no: str) -> DataFrame:
+        cut = blocks.select("list_id", F.col(own).alias(f"{own}{own_no}"), F.col(other).alias(f"{other}{own_no}"))  # names of its own on either side
+        number = F.pmod(F.xxhash64(id_), F.col(f"{own}{own_no}")).cast("int")
+        met = df.join(F.broadcast(cut), "list_id").withColumn(own_no, number)
+        return met.select(*df.columns, own_no, F.explode(F.sequence(F.lit(0), F.col(f"{other}{own_no}") - 1)).alias(other_no))
+
+    q = spread_over(asked, "_nq", "query_id", "_nc", "_i", "_j")
+    c = spread_over(listed.select("chunk_id", "embedding", "list_id"), "_nc", "chunk_id", "_nq", "_j", "_i")
+
+    def cell(qf: pd.DataFrame, cf: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(k)
+        if len(qf) and len(cf):
+            _meet(best, _unit(_stack(qf["_qv"])), None, cf, None)
+        return best.frame(qf["query_id"].tolist())
+
+    key = ["list_id", "_i", "_j"]
+    return _finish(q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(cell, schema), k)
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, recall): share of the exact hits that the approximate search has."""
+    hit = found.select("query_id", "chunk_id", F.lit(1).alias("_hit"))
+    return exact.join(hit, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("_hit") / F.count("*")).alias("recall"))
+
+
+def tune_probes(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k: int = k_.RETRIEVER_TOP_K, target: float = 0.9, sample: int = 256) -> int:
+    """The fewest probes whose recall is ``target`` or more for every one of at most ``sample``
+    queries, measured against exact search; doubled and then halved in on."""
+    some = materialize(queries.orderBy(F.xxhash64("query_id")).limit(sample).select("query_id", "embedding"), "tuning-queries")
+    exact = materialize(dense_topk(some, listed.select("chunk_id", "embedding"), k).select("query_id", "chunk_id"), "exact-hits")
+
+    def enough(probes: int) -> bool:
+        least = recall(exact, ivf_topk(some, listed, centroids, k, probes)).agg(F.min("recall")).first()[0]
+        return least is None or least >= target
+
+    low, high = 0, 1
+    while high < len(centroids) and not enough(high):
+        low, high = high, min(2 * high, len(centroids))
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high

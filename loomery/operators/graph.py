@@ -1,8 +1,9 @@
 """Entity graph: mentions of entities in chunks, and search along them.
 
 Two hops go chunk -> entity -> chunk through the mentions table, so entity
-pairs are never listed. Each hop is an equi-join followed by a distinct that
-is combined map-side; skewed entities are split by adaptive execution.
+pairs are never listed. Each hop is an equi-join followed by an aggregation that
+is combined map-side, the second one cut by a bound on what a chunk can score;
+skewed entities are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ def extract_mentions(chunks: DataFrame, text: str = "content", tenant: str = "te
     return chunks.select(F.col(tenant).alias("tenant_id"), "chunk_id", F.explode(entity_set(F.col(text))).alias("entity_id"))
 
 
+def sized_mentions(chunks: DataFrame, text: str = "content", tenant: str = "tenant_id") -> DataFrame:
+    """Mentions with ``size``, the number of entities of the chunk, which bounds its score."""
+    found = chunks.select(F.col(tenant).alias("tenant_id"), "chunk_id", entity_set(F.col(text)).alias("_e"))
+    return found.select("tenant_id", "chunk_id", F.explode("_e").alias("entity_id"), F.size("_e").alias("size"))
+
+
 def entity_type(name):
     return F.when(F.rlike(name, F.lit(r"^\d+$")), "number").when(F.rlike(name, F.lit(r"^[一-鿿]+$")), "cjk").otherwise("name")
 
@@ -71,16 +78,54 @@ def cooccurrence(anchors: DataFrame, mentions: DataFrame) -> DataFrame:
     return met.groupBy("src", "dst").agg(F.count("*").alias("chunks"))
 
 
+def _second_hop(links):
+    return F.round(0.5 + 0.1 * links, 6)
+
+
 def multi_hop(seeds: DataFrame, shared: DataFrame, mentions: DataFrame, k: int = k_.RETRIEVER_TOP_K, tenant: bool = False) -> DataFrame:
     """(query_id, chunk_id, graph_score, rank): 1 for a chunk naming a seed, else 0.5
-    for one naming a linked entity, plus 0.1 per distinct linked entity in it."""
+    for one naming a linked entity, plus 0.1 per distinct linked entity in it.
+
+    The second hop is cut by a bound. All entities of a seed's chunk are linked, so its
+    score follows from the number of its entities alone. A chunk of the second hop scores
+    0.5 + 0.1 * (number of its entities) at most; only those that may reach the query's
+    k-th score are joined. For queries with fewer than k chunks of seeds, that score comes
+    from the chunks with most entities, k for each linked entity, counted exactly.
+    """
     scope = ["tenant_id"] if tenant else []
-    roles = seeds.withColumn("is_seed", F.lit(1)).unionByName(shared.withColumn("is_seed", F.lit(0)))
-    met = roles.join(mentions, ["entity_id"] + scope)
-    # a mention occurs once per chunk and entity, so counting rows counts entities
-    hits = met.groupBy("query_id", "chunk_id").agg(F.max("is_seed").alias("seed"), F.sum(1 - F.col("is_seed")).alias("links"))
-    scored = hits.select("query_id", "chunk_id", F.round(F.when(F.col("seed") == 1, 1.0).otherwise(0.5) + 0.1 * F.col("links"), 6).alias("graph_score"))
-    return top_k(scored, "query_id", [F.desc("graph_score"), F.asc("chunk_id")], k)
+    if "size" not in mentions.columns:
+        counted = mentions.groupBy("chunk_id", *scope).agg(F.count("*").cast("int").alias("size"))
+        mentions = mentions.join(counted, ["chunk_id"] + scope)
+    mentions = mentions.select("chunk_id", "entity_id", "size", *scope)
+    shared = materialize(shared.select("query_id", "entity_id", *scope), "linked")
+    order = [F.desc("graph_score"), F.asc("chunk_id")]
+
+    met = seeds.join(mentions, ["entity_id"] + scope).groupBy("query_id", "chunk_id").agg(F.max("size").alias("size"), F.count("*").alias("own"))
+    scored = met.select("query_id", "chunk_id", F.round(1.0 + 0.1 * (F.col("size") - F.col("own")), 6).alias("graph_score"))
+    # k per query are enough, and how many there are
+    all_first = materialize(scored, "seed-chunks")
+    first = top_k(all_first, "query_id", order, k)
+    full = materialize(first.where(F.col("rank") == k).select("query_id", F.col("graph_score").alias("least")), "kth-scores")
+
+    open_ = shared.join(full, "query_id", "left_anti")
+    heads = top_k(mentions.join(open_.select("entity_id", *scope).distinct(), ["entity_id"] + scope, "left_semi"), ["entity_id"] + scope, [F.desc("size"), F.asc("chunk_id")], k)
+    tried = open_.join(heads, ["entity_id"] + scope).select("query_id", "chunk_id", *scope).distinct().join(all_first, ["query_id", "chunk_id"], "left_anti")
+    linked = tried.join(mentions, ["chunk_id"] + scope).join(open_, ["query_id", "entity_id"] + scope).groupBy("query_id", "chunk_id").agg(F.count("*").alias("links"))
+    better = first.select("query_id", "chunk_id", "graph_score").unionByName(linked.select("query_id", "chunk_id", _second_hop(F.col("links")).alias("graph_score")))
+    least = top_k(better, "query_id", order, k).where(F.col("rank") == k).select("query_id", F.col("graph_score").alias("least"))
+
+    wanted = materialize(shared.join(least, "query_id", "left").select("query_id", "entity_id", *scope, F.coalesce("least", F.lit(0.0)).alias("least")), "wanted")
+    per_entity = wanted.groupBy("entity_id", *scope).agg(F.min("least").alias("fewest"))
+    possible = mentions.join(per_entity, ["entity_id"] + scope).where(_second_hop(F.col("size")) >= F.col("fewest")).drop("fewest")
+    hits = (
+        wanted.join(possible, ["entity_id"] + scope)
+        .where(_second_hop(F.col("size")) >= F.col("least"))
+        .groupBy("query_id", "chunk_id")
+        .agg(F.count("*").alias("links"))  # a mention occurs once per chunk and entity
+        .join(all_first, ["query_id", "chunk_id"], "left_anti")
+    )
+    second = hits.select("query_id", "chunk_id", _second_hop(F.col("links")).alias("graph_score"))
+    return top_k(first.select("query_id", "chunk_id", "graph_score").unionByName(second), "query_id", order, k)
 
 
 def graph_topk(queries: DataFrame, mentions: DataFrame, entities: DataFrame, k: int = k_.RETRIEVER_TOP_K, tenant: bool = False) -> DataFrame:

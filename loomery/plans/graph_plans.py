@@ -10,7 +10,7 @@ from loomery.plans import retrieval_plans as r
 from loomery.plans.query_plans import SQL_GRAPH
 from loomery.plans.registry import query
 from loomery.plans.text_plans import sql_ascii_words
-from loomery.session import materialize, table
+from loomery.session import materialize, stored_once, table
 
 
 def sql_entities(x: str) -> str:
@@ -39,7 +39,12 @@ def mentions(spark, sf_dir):
 
 def stored_graph(spark, sf_dir):
     """Mentions stored once; the searches walk the table."""
-    m = materialize(mentions(spark, sf_dir), "mentions")
+
+    def make():
+        docs = b.documents(spark, sf_dir).select("tenant_id", F.col("doc_id").alias("chunk_id"), "text")
+        return materialize(graph.sized_mentions(docs, "text"), "mentions")
+
+    m = stored_once(spark, make, "mentions", sf_dir)
     return m, graph.extract_entities(m.withColumn("tenant_id", F.lit("all")))
 
 
@@ -75,7 +80,7 @@ def graph_one_hop(spark, sf_dir):
 
 def graph_hits(spark, sf_dir):
     m, e = stored_graph(spark, sf_dir)
-    # at most ten seeds per query: stored, so the walks join a table of known size
+    # stored: its true size decides how the walks join it
     seeds = materialize(graph.query_seeds(r.queries(spark, sf_dir), e), "seeds")
     return graph.multi_hop(seeds, graph.neighbours(seeds, m), m)
 

@@ -12,7 +12,7 @@ from loomery.plans import bindings as b
 from loomery.plans.chunk_plans import DIM, sql_places
 from loomery.plans.registry import query
 from loomery.plans.text_plans import sql_tokens
-from loomery.session import materialize, scratch_dir, spread, table
+from loomery.session import materialize, scratch_dir, spread, stored_once, table
 
 
 # ---- vectors -------------------------------------------------------------
@@ -55,14 +55,44 @@ def dense_topk_filtered(spark, sf_dir):
     return _dense_out(dense.dense_topk(prototypes(spark, sf_dir), vectors(spark, sf_dir), tenant="label"))
 
 
+def stored_lists(spark, sf_dir):
+    """(vectors stored by list, centroids), made once and searched many times."""
+
+    def make():
+        corpus = vectors(spark, sf_dir).select("chunk_id", "embedding")
+        centroids = dense.train_centroids(corpus, lists=16)
+        path = scratch_dir(spark, "ivf")
+        # ranges end inside a large list too, so a list is few files and no task has it whole
+        listed = dense.assign_lists(corpus, centroids)
+        listed.repartitionByRange("list_id", "chunk_id").write.partitionBy("list_id").parquet(path)
+        return spark.read.parquet(path), centroids
+
+    return stored_once(spark, make, "ivf", sf_dir)
+
+
 @query("dense_ivf")
 def dense_ivf(spark, sf_dir):
     """Vectors written by list, then searched in the four nearest lists."""
-    corpus = vectors(spark, sf_dir).select("chunk_id", "embedding")
-    centroids = dense.train_centroids(corpus, lists=16)
-    path = scratch_dir(spark, "ivf")
-    dense.assign_lists(corpus, centroids).write.partitionBy("list_id").parquet(path)
-    return _dense_out(dense.ivf_topk(prototypes(spark, sf_dir), spark.read.parquet(path), centroids))
+    listed, centroids = stored_lists(spark, sf_dir)
+    return _dense_out(dense.ivf_topk(prototypes(spark, sf_dir), listed, centroids))
+
+
+@query("dense_ivf_recall", "select distinct label::bigint as query_id, true as enough from embeddings")
+def dense_ivf_recall(spark, sf_dir):
+    """Whether the approximate search, with probes tuned to a recall of 0.9, has it for every query."""
+    listed, centroids = stored_lists(spark, sf_dir)
+    asked = prototypes(spark, sf_dir)
+    probes = dense.tune_probes(asked, listed, centroids)
+    found = dense.ivf_topk(asked, listed, centroids, probes=probes)
+    got = dense.recall(dense.dense_topk(asked, vectors(spark, sf_dir)), found)
+    return got.select(F.col("query_id").cast("bigint").alias("query_id"), (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("dense_ivf_all_lists", _dense_sql("true"))
+def dense_ivf_all_lists(spark, sf_dir):
+    """All lists probed, the batch joined to them by list: the exact result."""
+    listed, centroids = stored_lists(spark, sf_dir)
+    return _dense_out(dense.ivf_grid_topk(prototypes(spark, sf_dir), listed, centroids, probes=len(centroids)))
 
 
 @query(
@@ -96,11 +126,15 @@ def corpus(spark, sf_dir):
 
 CORPUS_SQL = r"""select source as tenant_id, doc_id as chunk_id, string_split(text, chr(10))[1] as heading,
   regexp_replace(text, '\A[^\n]*\n?', '') as content from documents"""
+
+
 def built_index(spark, sf_dir, tenant=None):
     """The index is made once, stored, and read by statistics and search."""
-    path = scratch_dir(spark, "keyword-index")
-    sparse.write_keyword_index(sparse.keyword_index(corpus(spark, sf_dir), tenant=tenant), path)
-    return sparse.read_keyword_index(spark, path)
+
+    def make():
+        return sparse.write_inverted_index(sparse.keyword_index(corpus(spark, sf_dir), tenant=tenant), scratch_dir(spark, "keyword-index"))
+
+    return stored_once(spark, make, "keyword-index", sf_dir, tenant)
 
 
 QUERIES_SQL = "select item_id as query_id, text as query, 'src' || (item_id % 20) as tenant_id from benchmark"
@@ -139,7 +173,8 @@ def _sparse_out(df):
 
 @query("keyword_stats", f"""select tenant_id, field, term, count(*)::bigint as df, sum(tf)::bigint as ttf from ({sql_postings('tenant_id')}) group by all""")
 def keyword_stats(spark, sf_dir):
-    return sparse.term_stats(sparse.keyword_index(corpus(spark, sf_dir)))
+    """Read from the stored index."""
+    return built_index(spark, sf_dir, "tenant_id").terms.select("tenant_id", "field", "term", "df", "ttf")
 
 
 @query(
@@ -147,7 +182,7 @@ def keyword_stats(spark, sf_dir):
     f"""select tenant_id, field, count(*)::bigint as n, round(avg(dl), 6) as avgdl from (select distinct tenant_id, field, chunk_id, dl from ({sql_postings('tenant_id')})) group by all""",
 )
 def keyword_field_stats(spark, sf_dir):
-    return sparse.field_stats(sparse.keyword_index(corpus(spark, sf_dir))).withColumn("avgdl", F.round("avgdl", 6))
+    return built_index(spark, sf_dir, "tenant_id").fields.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("bm25_topk", bm25_sql())
@@ -220,8 +255,13 @@ def bm25_fuzzy(spark, sf_dir):
 # ---- dense over texts ----------------------------------------------------
 
 def text_vectors(spark, sf_dir):
-    enc = encode(HashedTermEncoder(DIM))
-    return b.documents(spark, sf_dir).select("tenant_id", F.col("doc_id").alias("chunk_id"), enc("text").alias("embedding"))
+    """Encoded once, stored, and searched many times."""
+
+    def make():
+        enc = encode(HashedTermEncoder(DIM))
+        return materialize(b.documents(spark, sf_dir).select("tenant_id", F.col("doc_id").alias("chunk_id"), enc("text").alias("embedding")), "text-vectors")
+
+    return stored_once(spark, make, "text-vectors", sf_dir)
 
 
 def query_vectors(spark, sf_dir):

@@ -97,3 +97,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def stored_once(spark: SparkSession, make, *key):
+    """What ``make`` stores (an index, vectors, a graph), once per application and key.
+
+    Searches of one application share it; a table is taken as it is when first asked for.
+    """
+    key = (spark.sparkContext.applicationId, make.__module__, *key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

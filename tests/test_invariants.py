@@ -1,5 +1,6 @@
 """Exactness against brute force, and results that must not depend on layout."""
 
+import math
 import random
 
 import numpy as np
@@ -35,7 +36,7 @@ def test_dense_ties_end_on_the_least_ids(spark):
     assert [r["chunk_id"] for r in got] == list(range(20))
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, monkeypatch):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.select(F.col("chunk_id").alias("query_id"), "embedding")
     c = dense.train_centroids(v, 8)
@@ -46,6 +47,71 @@ def test_ivf_recall(spark):
     assert len(exact & found) / len(exact) > 0.7
     everything = {(r["query_id"], r["chunk_id"]) for r in dense.ivf_topk(q, listed, c, 10, probes=8).collect()}
     assert everything == exact
+    # a batch joined by list gives the same as a shipped one, also where lists and batches are cut
+    monkeypatch.setattr(dense, "MAX_SHIPPED_QUERIES", 7)
+    monkeypatch.setattr(dense, "GRID_CORPUS_ROWS", 9)
+    joined = dense.ivf_topk(q, listed, c, 10, probes=4)
+    assert {(r["query_id"], r["chunk_id"]) for r in joined.collect()} == found
+    assert dense.recall(spark.createDataFrame(sorted(exact), "query_id long, chunk_id long"), joined).agg(F.avg("recall")).first()[0] == pytest.approx(len(exact & found) / len(exact))
+
+
+def test_probes_are_tuned_to_a_recall(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where("chunk_id % 9 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    c = dense.train_centroids(v, 8)
+    listed = dense.assign_lists(v, c)
+    probes = dense.tune_probes(q, listed, c, 10, target=0.8)
+    exact = dense.dense_topk(q, v, 10)
+    least = lambda n: dense.recall(exact, dense.ivf_topk(q, listed, c, 10, probes=n)).agg(F.min("recall")).first()[0]
+    assert 1 < probes <= 8 and least(probes) >= 0.8 > least(probes - 1)
+
+
+def test_inverted_index_prunes_and_keeps_all_hits(spark, tmp_path):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(40)], k=rnd.randint(1, 60)))) for i in range(900)]
+    docs = spark.createDataFrame(texts, "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "w0"), (2, "w0 w39"), (3, "w1 w2 w3 w30"), (4, "none")], "query_id long, query string")
+    index = sparse.write_inverted_index(sparse.keyword_index(docs, heading=None, tenant=None), str(tmp_path / "index"), buckets=8, block=4)
+    got = {}
+    for r in sparse.bm25_topk(sparse.query_terms(asked), index, k=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["sparse_score"]))
+    split = {i: t.split() for i, t in texts}
+    mean = sum(map(len, split.values())) / len(split)
+    for q, query in [(1, ["w0"]), (2, ["w0", "w39"]), (3, ["w1", "w2", "w3", "w30"])]:
+        score = dict.fromkeys(split, 0.0)
+        for w in query:
+            df = sum(w in t for t in split.values())
+            for i, t in split.items():
+                tf = t.count(w)
+                if tf:
+                    score[i] += math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted((-round(s, 6), i) for i, s in score.items() if s > 0)[:20]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert 4 not in got
+    # a stored block is small, also of the most frequent term, and other buckets are not read
+    assert index.postings.agg(F.max(F.size("list"))).first()[0] <= 30
+    one = sparse.bm25_topk(sparse.query_terms(asked.where("query_id = 1")), index, k=5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_second_hop_is_cut_and_whole(spark):
+    rnd = random.Random(11)
+    names = [f"E{i}" for i in range(60)]
+    chunks = {c: set(rnd.choices(names, [1 / (j + 1) for j in range(60)], k=rnd.randint(1, 9))) for c in range(400)}
+    m = spark.createDataFrame([(c, e) for c, es in chunks.items() for e in es], "chunk_id long, entity_id string")
+    asked = {1: {"E0"}, 2: {"E59"}, 3: {"E40", "E50"}, 4: {"E5", "E6", "E7"}}
+    seeds = spark.createDataFrame([(q, e) for q, es in asked.items() for e in es], "query_id long, entity_id string")
+    for k in (3, 20, 500):
+        got = {}
+        for r in graph.multi_hop(seeds, graph.neighbours(seeds, m), m, k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["graph_score"]))
+        for q, es in asked.items():
+            linked = set().union(*[x for x in chunks.values() if x & es]) - es
+            scored = {c: round((1.0 if x & es else 0.5) + 0.1 * len(x & linked), 6) for c, x in chunks.items() if x & (es | linked)}
+            best = sorted((-s, c) for c, s in scored.items())[:k]
+            assert sorted(got.get(q, [])) == [(n, c, -s) for n, (s, c) in enumerate(best, 1)]
 
 
 def edit(a, b):
