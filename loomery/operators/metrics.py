@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery import constants as k
+from loomery.session import materialize
 
 
 def counters(df: DataFrame, labels: list[str], value: str | None = None, subtotals: bool = False) -> DataFrame:
@@ -161,21 +162,36 @@ def _jumps(t: np.ndarray, ttl: int) -> np.ndarray:
     return np.searchsorted(t, t + ttl, "left")
 
 
-def cache_flags(df: DataFrame, key: str, ident: str, ttl: int = k.QUERY_TTL, ts: str = "ts", block_seconds: int = 86_400) -> DataFrame:
+def cache_flags(
+    df: DataFrame, key: str, ident: str, ttl: int = k.QUERY_TTL, ts: str = "ts", block_seconds: int = 86_400, stored: DataFrame | None = None
+) -> DataFrame:
     """(key, id, ts, is_hit): an answer stored at a miss serves for ``ttl`` seconds.
 
-    Hits do not extend it, so every miss depends on the one before. Each key's
-    time is cut into blocks: a block is first reduced to a short table "expiry
-    on entry -> expiry on exit", the tables are chained per key, and with its
-    entry known each block is flagged on its own. A busy key is thereby spread
-    over its blocks.
+    Hits do not extend it, so every miss depends on the one before. Only times count
+    for that, so events are first reduced to the distinct times of a key (combined
+    map-side). Each key's time is cut into blocks: a block becomes a short table "expiry
+    on entry -> expiry on exit", the tables are chained per key, and with its entry known
+    each block names the times of its misses. The events themselves are never grouped:
+    they meet the misses in a join on key, time and id. Of several events at a miss the
+    one with the least id is the miss; rows of one id at one time share its flag.
+
+    ``stored`` (key, stored) holds answers from before, as of an earlier batch: events
+    older than that answer are misses and don't replace it.
     """
     if block_seconds < ttl:
         raise ValueError("a block must be at least as long as the time to live")
     width, life = block_seconds * 1_000_000, ttl * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(F.col(key).alias("k"), F.col(ident).alias("id"), at.alias("t")).withColumn("block", F.floor(F.col("t") / width))
-    key_type, id_type = rows.schema["k"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(ident).alias("id"), at.alias("t"))
+    key_type = rows.schema["k"].dataType.simpleString()
+    if stored is None:
+        rows = rows.withColumn("s", F.lit(None).cast("bigint"))
+    else:
+        before = stored.select(F.col(key).alias("k"), F.unix_micros("stored").alias("s"))
+        rows = rows.join(before, "k", "left")
+    late = F.coalesce(F.col("t") < F.col("s"), F.lit(False))
+    # stored: joined twice, and what it is made from may be costly
+    times = materialize(rows.where(~late & F.col("k").isNotNull()).select("k", "s", "t").distinct().withColumn("block", F.floor(F.col("t") / width)), "times")
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
@@ -195,10 +211,11 @@ def cache_flags(df: DataFrame, key: str, ident: str, ttl: int = k.QUERY_TTL, ts:
         if m < len(t):
             upto[-1] = edge
         last = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": block, "upto": upto[last], "leave": leave[last]})
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "s": pdf["s"].iloc[0], "block": block, "upto": upto[last], "leave": leave[last]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, expiry = [], _NEVER
+        first = pdf["s"].iloc[0]
+        out, expiry = [], _NEVER if pd.isna(first) else int(first) + life
         for block, part in pdf.sort_values(["block", "upto"]).groupby("block", sort=True):
             out.append((pdf["k"].iloc[0], block, expiry))
             i = int(np.searchsorted(part["upto"].to_numpy(), expiry, "left"))
@@ -206,17 +223,19 @@ def cache_flags(df: DataFrame, key: str, ident: str, ttl: int = k.QUERY_TTL, ts:
                 expiry = int(part["leave"].iloc[i])
         return pd.DataFrame(out, columns=["k", "block", "entry"])
 
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        t = pdf["t"].to_numpy()
-        hit = np.ones(len(t), dtype=bool)
+    def misses(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["t"].to_numpy())
+        out = []
         i = int(np.searchsorted(t, int(pdf["entry"].iloc[0]), "left"))
         while i < len(t):
-            hit[i] = False
+            out.append(t[i])
             i = int(np.searchsorted(t, t[i] + life, "left"))
-        return pd.DataFrame({"k": pdf["k"], "id": pdf["id"], "t": t, "is_hit": hit})
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "t": np.array(out, np.int64)})
 
-    tables = rows.select("k", "block", "t").distinct().groupBy("k", "block").applyInPandas(table, f"k {key_type}, block bigint, upto bigint, leave bigint")
+    tables = times.groupBy("k", "block").applyInPandas(table, f"k {key_type}, s bigint, block bigint, upto bigint, leave bigint")
     entries = tables.groupBy("k").applyInPandas(chain, f"k {key_type}, block bigint, entry bigint")
-    flagged = rows.join(entries, ["k", "block"]).groupBy("k", "block").applyInPandas(flag, f"k {key_type}, id {id_type}, t bigint, is_hit boolean")
-    return flagged.select(F.col("k").alias(key), F.col("id").alias(ident), F.timestamp_micros("t").alias(ts), "is_hit")
+    found = times.join(entries, ["k", "block"]).groupBy("k", "block").applyInPandas(misses, f"k {key_type}, t bigint")
+    first = rows.join(found, ["k", "t"]).groupBy("k", "t").agg(F.min("id").alias("id")).withColumn("_miss", F.lit(True))
+    flagged = rows.join(first, ["k", "t", "id"], "left")
+    hit = F.col("_miss").isNull() & ~late & F.col("k").isNotNull()
+    return flagged.select(F.col("k").alias(key), F.col("id").alias(ident), F.timestamp_micros("t").alias(ts), hit.alias("is_hit"))

@@ -56,5 +56,6 @@ def streaming_sessions(spark, sf_dir):
 
 @query("streaming_cache", mp.CACHE_SQL)
 def streaming_cache(spark, sf_dir):
-    flags = jobs.cache_flags_stream(_stream(spark, sf_dir, "events"), "event_type", "event_id", k.VECTOR_TTL)
-    return _drain(spark, flags, "stream-cache", "append", ["event_id"]).select("event_type", "event_id", "is_hit")
+    root = scratch_dir(spark, "stream-cache")
+    jobs.run_cache_flags(_stream(spark, sf_dir, "events"), f"{root}/out", f"{root}/checkpoint", "event_type", "event_id", k.VECTOR_TTL)
+    return spark.read.parquet(f"{root}/out").select("event_type", "event_id", "is_hit")

@@ -7,12 +7,11 @@ takes, per key, the row of the latest batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomery import constants as k
 from loomery.operators import metrics
@@ -110,31 +109,31 @@ def session_activity(stream: DataFrame, key: str, gap: str = f"{k.SESSION_TTL} s
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def cache_flags_stream(stream: DataFrame, key: str, ident: str, ttl: int = k.QUERY_TTL) -> DataFrame:
-    """Hit or miss per event; the state of a key is the time of its stored answer
-    and is dropped when that answer has expired."""
-    events = timed(stream).select(F.col(key).alias("k"), F.col(ident).alias("id"), "ts")
-    kt, it = events.schema["k"].dataType.simpleString(), events.schema["id"].dataType.simpleString()
-    life = pd.Timedelta(seconds=ttl)
-
-    def step(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])  # one key's part of one micro-batch
-        stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        hits = []
-        for at in rows["ts"]:
-            hit = stored is not None and pd.Timedelta(0) <= at - stored < life
-            hits.append(hit)
-            # an event older than the stored answer is a miss and does not replace it
-            stored = stored if hit or (stored is not None and at < stored) else at
-        state.update((int(stored.value // 1000),))
-        expiry = int((stored + life).value // 1_000_000)
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(is_hit=hits)[["k", "id", "ts", "is_hit"]]
-
-    flagged = events.groupBy("k").applyInPandasWithState(
-        step, f"k {kt}, id {it}, ts timestamp, is_hit boolean", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return flagged.select(F.col("k").alias(key), F.col("id").alias(ident), "ts", "is_hit")
+def run_cache_flags(stream: DataFrame, out: str, checkpoint: str, key: str, ident: str, ttl: int = k.QUERY_TTL, delay: int = 600) -> None:
+    """Hit or miss per event, one folder per batch under ``out``.
+
+    The state, each key's stored answer, is a small table under ``<out>-state``, a folder
+    per batch, so a batch is a batch job: a busy key's events are spread as any others
+    (see :func:`metrics.cache_flags`) and a retried batch starts from the same state. An
+    answer leaves the state when it expired more than ``delay`` seconds before the newest
+    event.
+    """
+    spark = stream.sparkSession
+    state = f"{out}-state"
+    held = stream.select(F.col(key), F.col("ts").cast("timestamp").alias("stored"))
+    spark.createDataFrame([], held.schema).write.mode("ignore").parquet(f"{state}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(StructType([*held.schema.fields, StructField("batch", LongType())])).parquet(state).where(F.col("batch") < batch_id)
+        last = known.agg(F.max("batch")).first()[0]
+        before = known.where(F.col("batch") == (-1 if last is None else last)).select(key, "stored")
+        metrics.cache_flags(batch, key, ident, ttl, stored=before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        flags = spark.read.parquet(f"{out}/batch={batch_id}")
+        # misses of late events are older than the stored answer, so the greatest time stands
+        both = before.unionByName(flags.where("not is_hit").select(key, F.col("ts").alias("stored"))).groupBy(key).agg(F.max("stored").alias("stored"))
+        newest = F.greatest(*[F.lit(x) for x in (flags.agg(F.max("ts")).first()[0], before.agg(F.max("stored")).first()[0])])
+        live = F.unix_seconds("stored") + ttl + delay >= F.unix_seconds(newest.cast("timestamp"))
+        both.where(F.coalesce(live, F.lit(True)) & F.col(key).isNotNull()).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    run_batches(stream, write, checkpoint)

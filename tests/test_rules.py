@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -90,11 +91,30 @@ def test_an_answer_is_no_hit_for_an_earlier_event(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for batch in ([(1, "k", start + timedelta(seconds=500))], [(2, "k", start + timedelta(seconds=100)), (3, "k", start + timedelta(seconds=600))]):
         spark.createDataFrame(batch, "id long, k string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
-        flags = jobs.cache_flags_stream(jobs.read_stream(spark, source), "k", "id", 300)
-        jobs.run_available(flags, out, str(tmp_path / "checkpoint"))
+        jobs.run_cache_flags(jobs.read_stream(spark, source), out, str(tmp_path / "checkpoint"), "k", "id", 300)
     assert {r["id"]: r["is_hit"] for r in spark.read.parquet(out).collect()} == {1: False, 2: False, 3: True}
 
 
+def test_cache_stream_of_a_busy_key_in_batches_with_late_events(spark, tmp_path):
+    rnd = random.Random(4)
+    start = datetime(2024, 1, 1)
+    source, out, want, held = str(tmp_path / "in"), str(tmp_path / "out"), {}, {}
+    for batch in range(4):
+        rows = []
+        for i in range(400):
+            late = -rnd.randint(0, 900) if rnd.random() < 0.1 else 0
+            rows.append((batch * 1000 + i, "busy" if rnd.random() < 0.9 else rnd.choice("abc"), start + timedelta(seconds=batch * 4000 + rnd.randint(0, 4000) + late)))
+        for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            was = held.get(key)
+            want[i] = was is not None and timedelta(0) <= at - was < timedelta(seconds=300)
+            if not want[i] and (was is None or at >= was):
+                held[key] = at
+        spark.createDataFrame(rows, "id long, k string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        jobs.run_cache_flags(jobs.read_stream(spark, source), out, str(tmp_path / "checkpoint"), "k", "id", 300)
+    assert {r["id"]: r["is_hit"] for r in spark.read.parquet(out).collect()} == want
+    assert spark.read.parquet(f"{out}-state").groupBy("batch").count().agg(F.max("count")).first()[0] <= 4
+
+
 def test_hops_plan_in_linear_size(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
     seeds = spark.createDataFrame([(1, 0)], "query_id long, entity_id long")
