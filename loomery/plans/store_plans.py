@@ -14,6 +14,7 @@ from loomery.plans.chunk_plans import CHUNK_OUT, CHUNKS_SQL, chunks
 from loomery.plans.registry import query
 from loomery.session import scratch_dir, table
 from loomery.sources import stores as st
+from loomery.sources.versions import VersionedTable
 
 
 def big(*cols):
@@ -111,25 +112,25 @@ def upsert_latest(spark, sf_dir):
   from documents d left join (select * from labels where toxic = 0) l on l.doc_id = d.doc_id""")
 def upsert_store(spark, sf_dir):
     """All documents stored, then the labelled ones upserted; a second run changes nothing."""
-    path = scratch_dir(spark, "upsert")
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), "doc_id", F.lit(1).cast("bigint").alias("version"), F.col("lang").alias("note"))
-    st.write_store(docs, path)
+    stored = VersionedTable(spark, scratch_dir(spark, "upsert"), docs.schema, "doc_id")
+    stored.append(docs)
     labels = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("note"))
     new = docs.drop("note").join(labels, "doc_id").select("tenant_id", "doc_id", F.lit(2).cast("bigint").alias("version"), "note")
     for _ in range(2):
-        st.upsert_store(spark, path, new, ["doc_id"], "version")
-    return spark.read.parquet(path).select("tenant_id", "doc_id", "version", "note")
+        stored.upsert(new, ["doc_id"], "version")
+    return stored.rows().select("tenant_id", "doc_id", "version", "note")
 
 
 @query("delete_from_store", "select source as tenant_id, doc_id from documents where not (doc_id in (select doc_id from labels where quality = 0) or source = 'src7')")
 def delete_from_store(spark, sf_dir):
-    path = scratch_dir(spark, "delete")
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), "doc_id")
-    st.write_store(docs, path)
+    stored = VersionedTable(spark, scratch_dir(spark, "delete"), docs.schema, "doc_id")
+    stored.append(docs)
     bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
     gone = docs.join(bad, "doc_id", "left_semi").unionByName(docs.where("tenant_id = 'src7'"))
-    st.delete_from_store(spark, path, gone, "doc_id")
-    return spark.read.parquet(path).select("tenant_id", "doc_id")
+    stored.delete(gone, "doc_id")
+    return stored.rows().select("tenant_id", "doc_id")
 
 
 @query("bulk_errors", "select count(*) filter (quality = 1)::bigint as written, count(*) filter (quality <> 1)::bigint as failed from labels")
@@ -185,10 +186,17 @@ def soft_delete_counters(spark, sf_dir):
 @query("tenant_purge", """select 'documents' as store, source as tenant_id, count(*)::bigint as n from documents where not starts_with(source, 'src1') group by source
   union all select 'pages', 'src' || (page_id % 20), count(*) from pages where not starts_with('src' || (page_id % 20), 'src1') group by page_id % 20""")
 def tenant_purge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("tenant_id"))
-    left = st.purge_tenants({"documents": docs, "pages": pages}, ["src1"])
-    rows = [df.groupBy("tenant_id").agg(F.count("*").alias("n")).withColumn("store", F.lit(s)) for s, df in left.items()]
+    """Documents and pages stored, then tenants purged from both: the manifests change, no row moves."""
+    rows = {
+        "documents": table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), "doc_id"),
+        "pages": table(spark, sf_dir, "pages").select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("tenant_id"), F.col("page_id").alias("doc_id")),
+    }
+    root = scratch_dir(spark, "purge")
+    stored = {name: VersionedTable(spark, f"{root}/{name}", df.schema, "doc_id", 2) for name, df in rows.items()}
+    for name, df in rows.items():
+        stored[name].append(df)
+    st.purge_tables(stored, ["src1"])
+    rows = [t.rows().groupBy("tenant_id").agg(F.count("*").alias("n")).withColumn("store", F.lit(name)) for name, t in stored.items()]
     return rows[0].unionByName(rows[1])
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery import constants as k
 from loomery.operators.chunking import chunk_text
+from loomery.operators.embedding import HashedTermEncoder
+from loomery.plans import bindings as b
 from loomery.plans import chunk_plans as cp
 from loomery.plans import metric_plans as mp
+from loomery.plans.graph_plans import sql_entities
 from loomery.plans.registry import query
 from loomery.session import scratch_dir
+from loomery.sources import stores
 from loomery.streaming import jobs
 
 
@@ -35,6 +42,25 @@ def streaming_ingest(spark, sf_dir):
     return cp._out(jobs.latest_groups(spark, f"{root}/out", "document_id").withColumnRenamed("document_id", "doc_id"))
 
 
+@query(
+    "streaming_ingest_stores",
+    f"""with c as materialized ({cp.CHUNK_OUT} from ({cp.CHUNKS_SQL})),
+    n as (select tenant_id, count(*)::bigint as n from c group by tenant_id)
+    select 'vectors' as store, * from n union all select 'keywords', * from n union all select 'chunks', * from n
+    union all select 'mentions', tenant_id, count(*) from (select tenant_id, unnest({sql_entities('content')}) from c) group by tenant_id""",
+)
+def streaming_ingest_stores(spark, sf_dir):
+    """The documents as a stream into all stores; the first batch is replayed after it."""
+    root = scratch_dir(spark, "stream-stores")
+    docs = _stream(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("document_id"), "text")
+    encoder = HashedTermEncoder(64)
+    tables = jobs.ingest_stores(docs, root, f"{root}/checkpoint", encoder, clean=False)
+    again = b.documents(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
+    stores.ingest_batch(tables, again, encoder, 0, clean=False)
+    rows = [t.rows().groupBy("tenant_id").agg(F.count("*").alias("n")).withColumn("store", F.lit(name)) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("streaming_request_rate", mp.RATE_SQL)
 def streaming_request_rate(spark, sf_dir):
     out = _drain(spark, jobs.request_rates(_stream(spark, sf_dir, "events"), ["event_type"]), "stream-rate", "update", ["start", "event_type"])

@@ -1,8 +1,7 @@
 """Vector, keyword and graph tables: writes, upserts, deletes, statistics.
 
-Tables are partitioned by tenant. A change is computed as a DataFrame and
-written to a fresh version folder, so a job never overwrites what it reads and
-a failed job leaves the old version whole.
+Changes of stored tables are versions (see :mod:`loomery.sources.versions`), so a job
+never overwrites what it reads and a failed job leaves the old version whole.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomery import constants as k
 from loomery.session import materialize
+from loomery.sources.versions import VersionedTable
 
 MAX_ROWS_PER_FILE = 2_000_000
 STORES = ("vectors", "keywords", "chunks", "mentions")
@@ -51,57 +51,6 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], version: str)
     return both.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*key, "_l.*").select(*both.columns)
 
 
-def _swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Put ``rows`` in place of the partitions they belong to; the rest is not touched.
-
-    They are staged first: the table is never overwritten while it is read.
-    """
-    staged = materialize(rows, "staged")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("tenant_id").parquet(path)
-
-
-def _touched(spark: SparkSession, path: str, tenants: DataFrame, files: bool = False) -> DataFrame:
-    """Rows of the partitions of the given tenants; the others are pruned at run time.
-    With ``files`` the column ``_file`` has each row's file."""
-    rows = spark.read.option("inferSchema", False).parquet(path)
-    if files:
-        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
-    return rows.join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
-
-
-def upsert_store(spark: SparkSession, path: str, changes: DataFrame, key: list[str], version: str) -> None:
-    """Upsert into a stored table; only partitions with changes are read and rewritten.
-
-    Running it again with the same changes leaves the same table.
-    """
-    _swap(spark, upsert(_touched(spark, path, changes), changes, ["tenant_id", *key], version), path)
-
-
-def delete_from_store(spark: SparkSession, path: str, gone: DataFrame, key: str) -> DataFrame:
-    """Delete the rows of ``gone`` (tenant_id and ``key``); returns the counts per tenant.
-
-    Only touched partitions are rewritten; one that loses all rows is emptied.
-    """
-    # the names are taken before any row moves
-    before = materialize(_touched(spark, path, gone, files=True), "before")
-    left = before.join(gone.select("tenant_id", key).distinct(), ["tenant_id", key], "left_anti")
-    counts = materialize(delete_counts(before, left), "delete-counts")
-    emptied = counts.where("rows_after = 0").select("tenant_id")
-    # dynamic overwrite cannot clear a partition no row belongs to: its files go one by one
-    files = materialize(before.join(emptied, "tenant_id", "left_semi").select(F.col("_file").alias("file")).distinct(), "gone-files")
-    _swap(spark, left.drop("_file"), path)
-    _remove(spark, files)
-    return counts
-
-
-def _remove(spark: SparkSession, files: DataFrame) -> None:
-    """Delete files by the names under which Spark itself read them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():
-        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file"]))
-        at.getFileSystem(conf).delete(at, False)
-
-
 def split_bad_rows(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with ``errors``): bad rows are set aside, not raised."""
     marked = df.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()])))
@@ -157,6 +106,13 @@ def purge_tenants(stores: dict[str, DataFrame], prefixes: list[str], column: str
     return {name: df.where(~hit) for name, df in stores.items()}
 
 
+def purge_tables(tables: dict[str, VersionedTable], prefixes: list[str]) -> None:
+    """Stored tables without the tenants whose name starts with one of the prefixes."""
+    hit = reduce(lambda a, b: a | b, [F.startswith(F.col("tenant_id"), F.lit(p)) for p in prefixes], F.lit(False))
+    for table in tables.values():
+        table.purge(hit)
+
+
 def store_statistics(vectors: DataFrame, keywords: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """(store, metric, value) over all stores."""
 
@@ -208,3 +164,49 @@ def ingest(documents: DataFrame, root: str, encoder, separator: str = "\n", **li
     write_store(chunk_nodes(chunks.select("tenant_id", "chunk_id", "document_id", "chunk_index", "page_number", "content")), paths["nodes"], "overwrite")
     write_store(extract_mentions(chunks), paths["mentions"], "overwrite")
     return paths
+
+
+def _mention_rows(chunks: DataFrame) -> DataFrame:
+    from loomery.functions.text import entity_set
+
+    return chunks.select("tenant_id", "document_id", "chunk_id", F.explode(entity_set(F.col("content"))).alias("entity_id"))
+
+
+def store_rows(chunks: DataFrame, encoder) -> dict[str, DataFrame]:
+    """The rows of every store for chunks of documents; all have tenant_id and document_id."""
+    from loomery.operators.embedding import encode
+
+    return {
+        "vectors": vector_rows(chunks.withColumn("embedding", encode(encoder)("content"))),
+        "keywords": keyword_rows(chunks),
+        "chunks": chunk_rows(chunks),
+        "mentions": _mention_rows(chunks),
+    }
+
+
+def open_stores(documents: DataFrame, root: str, encoder, buckets: int = 4) -> dict[str, VersionedTable]:
+    """The stores under ``root`` as versioned tables, dealt by document.
+
+    ``documents`` (tenant_id, document_id, text) gives the types only.
+    """
+    from loomery.operators.chunking import chunk_text
+
+    spark = documents.sparkSession
+    nothing = chunk_text(spark.createDataFrame([], documents.schema), document_id="document_id")
+    return {
+        name: VersionedTable(spark, f"{root}/{name}", rows.schema, "document_id", buckets) for name, rows in store_rows(nothing, encoder).items()
+    }
+
+
+def ingest_batch(tables: dict[str, VersionedTable], documents: DataFrame, encoder, batch_id: int, separator: str = "\n", clean: bool = True, **limits) -> None:
+    """Documents into all stores, each taking the place of what the stores had of it.
+
+    A batch that is run again, also after it failed between two stores, changes only the
+    stores it hadn't reached: every store keeps the id of its last batch.
+    """
+    from loomery.operators.chunking import chunk_text
+
+    owners = materialize(documents.select("tenant_id", "document_id").distinct(), "owners")
+    chunks = materialize(chunk_text(documents, separator=separator, document_id="document_id", clean=clean, **limits), "chunks")
+    for name, rows in store_rows(chunks, encoder).items():
+        tables[name].replace(owners, rows, batch_id)

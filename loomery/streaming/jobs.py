@@ -88,6 +88,27 @@ def ingest_stream(documents: DataFrame, out: str, checkpoint: str, prepare: Call
     run_batches(documents, write, checkpoint)
 
 
+def ingest_stores(documents: DataFrame, root: str, checkpoint: str, encoder, version: str | None = None, **chunking) -> dict:
+    """New documents (tenant_id, document_id, text[, version]) into all stores; the tables.
+
+    Each micro-batch replaces its documents in every store. Of several rows of a document
+    in one batch the one with the greatest ``version`` counts. A retried batch changes
+    nothing in the stores that have it.
+    """
+    from loomery.sources import stores
+
+    plain = documents.select("tenant_id", "document_id", "text")
+    tables = stores.open_stores(plain, root, encoder)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        order = F.struct(*([version] if version else []), "text")
+        once = batch.groupBy("tenant_id", "document_id").agg(F.max_by("text", order).alias("text"))
+        stores.ingest_batch(tables, once, encoder, batch_id, **chunking)
+
+    run_batches(documents, write, checkpoint)
+    return tables
+
+
 def timed(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from loomery.functions.queries import detect_entities
 from loomery.operators import dense, fusion, graph, ranking
+from loomery.operators.chunking import chunk_text
 from loomery.operators.embedding import HashedTermEncoder, encode
 from loomery.sources import stores
 from loomery.sources.sections import html_outline
+from loomery.sources.versions import VersionedTable
 from loomery.streaming import jobs
 
 
@@ -63,13 +65,66 @@ def test_all_entities_are_kept(spark):
 def test_delete_by_any_tenant_name(spark, tmp_path):
     names = ["plain", "a@b", "x,y", "münchen", "sl/ash", "per%cent", "a=b", "001"]
     rows = [(t, i, f"{t}{i}") for t in names for i in range(3)]
-    path = str(tmp_path / "store")
-    stores.write_store(spark.createDataFrame(rows, "tenant_id string, chunk_id int, content string"), path, "overwrite")
+    df = spark.createDataFrame(rows, "tenant_id string, chunk_id int, content string")
+    stored = VersionedTable(spark, str(tmp_path / "store"), df.schema, "chunk_id", 2)
+    stored.append(df)
     gone = [(t, i) for t in names[:-1] for i in range(3)] + [("001", 1)]
-    counts = stores.delete_from_store(spark, path, spark.createDataFrame(gone, "tenant_id string, chunk_id int"), "chunk_id").collect()
+    counts = stored.delete(spark.createDataFrame(gone, "tenant_id string, chunk_id int"), "chunk_id").collect()
     assert {r["tenant_id"]: r["deleted"] for r in counts} == dict.fromkeys(names[:-1], 3) | {"001": 1}
-    left = spark.read.option("inferSchema", False).schema("chunk_id int, content string, tenant_id string").parquet(path)
-    assert sorted((r["tenant_id"], r["chunk_id"]) for r in left.collect()) == [("001", 0), ("001", 2)]
+    assert sorted((r["tenant_id"], r["chunk_id"]) for r in stored.rows().collect()) == [("001", 0), ("001", 2)]
+
+
+def test_versions_switch_whole(spark, tmp_path):
+    schema = "tenant_id string, doc_id long, version long, note string"
+    path = str(tmp_path / "table")
+    stored = VersionedTable(spark, path, spark.createDataFrame([], schema).schema, "doc_id", 4)
+    assert stored.rows().count() == 0 and stored.tag == -1
+    stored.append(spark.createDataFrame([(t, i, 1, "old") for t in ("a", "b", "busy") for i in range(20 if t != "busy" else 400)], schema))
+    before = {(r["cell"], r["commit"]) for r in stored.manifest().collect()}
+    change = spark.createDataFrame([("a", 3, 2, "new"), ("a", 99, 1, "new"), ("b", 3, 0, "stale")], schema)
+    for _ in range(2):
+        stored.upsert(change, ["doc_id"], "version")
+        got = {(r["tenant_id"], r["doc_id"]): r["note"] for r in stored.rows().collect()}
+        assert len(got) == 441 and got[("a", 3)] == got[("a", 99)] == "new" and got[("b", 3)] == "old"
+    after = {(r["cell"], r["commit"]) for r in stored.manifest().collect()}
+    # of some 12 cells at most three were touched: the others are still those of the first commit
+    assert len(before - after) <= 3
+
+    def dies(old):
+        raise RuntimeError("killed")
+
+    version = stored._current()[0]
+    with pytest.raises(RuntimeError):
+        stored.change(change, dies)
+    assert stored._current()[0] == version and stored.rows().count() == 441
+    # two changes at once: the second one finds its version taken
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        stored._switch(version - 1, stored.manifest(), 0)
+    stored.purge(F.col("tenant_id") == "busy")
+    assert stored.rows().count() == 41 and stored.rows("busy").count() == 0 and stored.rows("a").count() == 21
+    assert stored.vacuum() > 0 and stored.rows().count() == 41 and stored.vacuum() == 0
+
+
+def test_all_stores_follow_a_stream(spark, tmp_path):
+    schema = "tenant_id string, document_id long, text string, version int"
+    source, root = str(tmp_path / "in"), str(tmp_path / "stores")
+    first = [("t", 1, "Alice meets Bob\nand Carol", 1), ("t", 2, "Dora stays", 1), ("u", 3, "Emil goes", 1)]
+    second = [("t", 1, "Frank alone", 3), ("t", 1, "Stale Row", 2), ("u", 3, "", 2)]
+    tables = None
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        tables = jobs.ingest_stores(jobs.read_stream(spark, source), root, str(tmp_path / "checkpoint"), HashedTermEncoder(16), "version", clean=False, min_tokens=1)
+    assert sorted((r["document_id"], r["entity_id"]) for r in tables["mentions"].rows().collect()) == [(1, "Frank"), (2, "Dora")]
+    for name in ("vectors", "keywords", "chunks"):
+        assert sorted(r["document_id"] for r in tables[name].rows().collect()) == [1, 2], name
+    # a batch that was cut off after one store, run again: the others follow, that one stays
+    late = spark.createDataFrame([("t", 9, "Gina comes")], "tenant_id string, document_id long, text string")
+    chunks = stores.store_rows(chunk_text(late, separator="\n", document_id="document_id", min_tokens=1), HashedTermEncoder(16))
+    assert tables["vectors"].replace(late, chunks["vectors"], 7)
+    version = tables["vectors"]._current()[0]
+    stores.ingest_batch(tables, late, HashedTermEncoder(16), 7, clean=False, min_tokens=1)
+    assert tables["vectors"]._current()[0] == version
+    assert all(t.rows().where("document_id = 9").count() == 1 for t in tables.values())
 
 
 def test_a_document_is_replaced_also_by_nothing(spark, tmp_path):
