@@ -78,35 +78,44 @@ def qa_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.withColumn("prompt", build_prompt(F.col("context"), F.col("query")))
 
 
-def generator(factory):
-    """Iterator pandas UDF prompt -> answer; ``factory`` runs once per worker.
+def generator(factory, tolerate: bool = False):
+    """Iterator pandas UDF prompt -> answer and error; ``factory`` runs once per worker.
 
-    A prompt the model fails on gets null, which :func:`generate` replaces.
+    A prompt the model fails on fails the job, or, where that is tolerated, has no
+    answer and the error's text.
     """
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("answer string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ask = factory()
 
-        def safe(p):
+        def one(p):
             try:
-                return ask(p)
-            except Exception:
-                return None
+                return ask(p), None
+            except Exception as e:
+                if not tolerate:
+                    raise
+                return None, f"{type(e).__name__}: {e}"
 
         for prompts in batches:
-            yield prompts.map(safe)
+            yield pd.DataFrame([one(p) for p in prompts], columns=["answer", "error"], dtype=object)
 
     return run
 
 
-def generate(df: DataFrame, factory=None, model: str = MOCK_MODEL) -> DataFrame:
-    """Add answer and model_used; the placeholder answer where there is no other."""
+def generate(df: DataFrame, factory=None, model: str = MOCK_MODEL, tolerate: bool = False) -> DataFrame:
+    """Add answer and model_used; without a model the placeholder answer.
+
+    A model's error is raised. With ``tolerate`` such a row gets the placeholder, and a
+    column ``error`` says why (null elsewhere).
+    """
     mock = F.concat(F.lit(MOCK_ANSWER), F.length("prompt").cast("string"), F.lit(" characters"))
     if factory is None:
         return df.withColumns({"answer": mock, "model_used": F.lit(MOCK_MODEL)})
-    got = df.withColumn("_a", generator(factory)(F.col("prompt")))
-    return got.withColumns({"answer": F.coalesce("_a", mock), "model_used": F.when(F.col("_a").isNull(), MOCK_MODEL).otherwise(model)}).drop("_a")
+    got = df.withColumn("_a", generator(factory, tolerate).asNondeterministic()(F.col("prompt")))
+    missing = F.col("_a.answer").isNull()
+    out = {"answer": F.coalesce("_a.answer", mock), "model_used": F.when(missing, MOCK_MODEL).otherwise(model)}
+    return got.withColumns(out | ({"error": F.col("_a.error")} if tolerate else {})).drop("_a")
 
 
 def query_metrics(queries: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:

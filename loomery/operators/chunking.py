@@ -20,6 +20,7 @@ from loomery.functions.text import (
     let,
     strip,
 )
+from loomery.session import materialize
 from loomery.sources.sections import PARAGRAPH_BREAK, text_sections
 
 _RUN = "struct<first:int,last:int,kind:string,page:int,head:int>"
@@ -200,6 +201,7 @@ def dedup_chunks(chunks: DataFrame, keys=("tenant_id", "content_hash"), order: s
     Only ids and keys are aggregated (combined map-side, so a huge group of
     copies is no hot key); the survivors come back by a join on the unique id.
     """
+    chunks = materialize(chunks, "chunks")  # folded and hashed once, read twice
     first = chunks.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
     return chunks.join(first, order, "left_semi")
 

@@ -73,8 +73,11 @@ def access_statistics(log: DataFrame, key: str, ts: str = "ts") -> DataFrame:
 
 
 def system_totals(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """One (metric, value) row per named aggregate."""
-    rows = [df.agg(agg.cast("double").alias("value")).select(F.lit(n).alias("metric"), "value") for n, (df, agg) in parts.items()]
+    """One (metric, value) row per named aggregate; those over one table take one scan of it."""
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, (df, agg) in parts.items():
+        tables.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(name).alias("metric"), agg.cast("double").alias("value")))
+    rows = [df.agg(F.array(*aggs).alias("_r")).select(F.inline("_r")) for df, aggs in tables.values()]
     return reduce(DataFrame.unionAll, rows)
 
 

@@ -210,7 +210,7 @@ def tenant_purge(spark, sf_dir):
 def store_statistics(spark, sf_dir):
     from loomery.operators.graph import extract_entities
 
-    m = g.mentions(spark, sf_dir)
+    m = g.stored_graph(spark, sf_dir)[0]  # stored: read by three of the counts
     docs = table(spark, sf_dir, "documents").withColumnRenamed("text", "content")
     return st.store_statistics(table(spark, sf_dir, "embeddings"), docs, extract_entities(m), m)
 

@@ -237,7 +237,7 @@ def test_answer_falls_back_to_placeholder(spark):
         return ask
 
     df = spark.createDataFrame([("good",), ("bad",)], "prompt string")
-    got = {r["prompt"]: (r["answer"][:4], r["model_used"]) for r in answers.generate(df, model, "m").collect()}
+    got = {r["prompt"]: (r["answer"][:4], r["model_used"]) for r in answers.generate(df, model, "m", tolerate=True).collect()}
     assert got == {"good": ("ok", "m"), "bad": ("[MOC", "mock-model")}
 
 
