@@ -735,3 +735,38 @@ def test_language_model_odd_input(spark):
 @pytest.mark.parametrize("number", range(1, 11))
 def test_one_query_per_operator(number):
     assert len([n for n in QUERIES if n.startswith(f"op{number}_")]) == 1
+
+
+def test_mixture_of_words_is_sequential_and_rewards_order():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 30, 400)
+    ids[200:260] = ids[100:160]  # a phrase comes back
+    spelt, chance = np.log(rng.random(400) * 0.01 + 1e-6), rng.random(400) * 0.01
+    nats = lm_scoring.mix_words(ids, spelt, chance)
+    # the same by plain counting; probabilities of a step don't depend on what comes after
+    once: dict = {}
+    pairs: dict = {}
+    last, p = -1, []
+    for i, w in enumerate(ids.tolist()):
+        after = sum(n for (a, _), n in pairs.items() if a == last)
+        p.append((np.exp(spelt[i]), chance[i], once.get(w, 0) / (i + lm_scoring.CACHE_DOUBT), pairs.get((last, w), 0) / (after + lm_scoring.PAIR_DOUBT), min(after, lm_scoring.MIX_GATES - 1)))
+        once[w] = once.get(w, 0) + 1
+        pairs[(last, w)] = pairs.get((last, w), 0) + 1
+        last = w
+    weights, trust, at, want = lm_scoring.MIX_START.copy(), [lm_scoring.MIX_TRUST] * lm_scoring.MIX_GATES, 0, 0.0
+    sizes = iter([*lm_scoring.BLOCKS, *[lm_scoring.BLOCKS[-1]] * 400])
+    while at < 400:
+        part = p[at : at + (size := next(sizes))]
+        shares = [(q[4], weights[q[4]] * q[:4]) for q in part]
+        want -= sum(np.log(s.sum()) for _, s in shares)
+        for g in range(lm_scoring.MIX_GATES):
+            own = [s / s.sum() for h, s in shares if h == g]
+            if own:
+                weights[g] = (weights[g] * trust[g] + np.sum(own, 0)) / (trust[g] + len(own))
+                trust[g] += len(own)
+        weights = np.maximum(weights, 1e-4)
+        weights /= weights.sum(1, keepdims=True)
+        at += size
+    assert np.isclose(nats, want)
+    order = rng.permutation(400)
+    assert nats < lm_scoring.mix_words(ids[order], spelt[order], chance[order])
