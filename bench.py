@@ -44,6 +44,15 @@ def main() -> None:
     # start-up of the session and of the Python workers is not part of a query
     spark.range(1000).mapInPandas(lambda it: it, "id long").write.format("noop").mode("overwrite").save()
     times = {}
+    # what is stored once is timed by itself; the searches below read it
+    if len(sys.argv) == 1:
+        from loomery.plans import graph_plans, retrieval_plans
+
+        builds = {"keyword_index": retrieval_plans.built_index, "text_vectors": retrieval_plans.text_vectors, "graph": graph_plans.stored_graph}
+        for name, build in builds.items():
+            start = time.time()
+            build(spark, sf_dir)
+            times[f"build_{name}"] = round(time.time() - start, 3)
     for name in names:
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
