@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
 from loomery.operators import chunking as ch
+from loomery.operators import chunk_table, sparse
 from loomery.operators import embedding as em
+from loomery.operators.progress import Stage, run_stages
 from loomery.plans import bindings as b
 from loomery.plans.registry import query
 from loomery.plans.text_plans import SECTIONS_SQL, sql_clean, sql_estimate, sql_tokens
-from loomery.session import spread, table
+from loomery.session import scratch_dir, spread, table
 from loomery.sources import sections as sx
+from loomery.sources.reuse import ReuseStore
 
 DIM = 256
 
@@ -22,7 +25,7 @@ def sql_places(rows: str, keys: str, text: str, dim: int = DIM) -> str:
       from (select {keys}, unnest({sql_tokens(text)}) as w from {rows})) group by {keys}, place"""
 
 
-def sql_fold(sections: str, edges: str | None = None) -> str:
+def sql_fold(sections: str, edges: str | None = None, least: int = 100, most: int = 1000, overlap: int = 10) -> str:
     """Chunk fold as a recursive query. ``sections``: (tenant_id, doc_id, i from 1, content)."""
     edge = "false" if edges is None else "coalesce(e.edge, false)"
     join = "" if edges is None else f"left join ({edges}) e on e.doc_id = x.doc_id and e.i = x.i"
@@ -38,9 +41,9 @@ f as (
   select doc_id, i, case when cut then i - m else start end, case when cut then m + 1 else n + 1 end,
     case when cut then (case m when 3 then c3 when 2 then c2 when 1 then c1 else 0 end) else tok end + t,
     case when cut then start end, case when cut then i - 1 end
-  from (select g.*, case when (case p when 3 then c3 when 2 then c2 when 1 then c1 else 0 end) >= 10 then p else 0 end as m
+  from (select g.*, case when (case p when 3 then c3 when 2 then c2 when 1 then c1 else 0 end) >= {overlap} then p else 0 end as m
         from (select s.doc_id, s.i, s.t, s.c1, s.c2, s.c3, f.start, f.n, f.tok,
-                s.edge or (f.tok + s.t > 1000 and f.tok >= 100) as cut,
+                s.edge or (f.tok + s.t > {most} and f.tok >= {least}) as cut,
                 (s.c1 <= 250)::bigint + (f.n >= 2 and s.c2 <= 250)::bigint + (f.n >= 3 and s.c3 <= 250)::bigint as p
               from f join s on s.doc_id = f.doc_id and s.i = f.i + 1) g)),
 runs as (
@@ -88,6 +91,19 @@ def chunk_fold(spark, sf_dir):
     return _out(chunks(spark, sf_dir))
 
 
+@query("chunk_table_function", f"{CHUNK_OUT} from ({CHUNKS_SQL})")
+def chunk_table_function(spark, sf_dir):
+    """The fold called from SQL, as a table function with a lateral join."""
+    chunk_table.register(spark)
+    return _out(
+        spark.sql(
+            r"""select d.tenant_id, d.doc_id, concat_ws('_', d.doc_id, c.chunk_index) as chunk_id, c.*
+            from {docs} d, lateral chunk_text(d.text, separator => '\n') c""",
+            docs=b.documents(spark, sf_dir),
+        )
+    )
+
+
 @query("chunk_fold_semantic", f"{CHUNK_OUT} from ({sql_fold(NUMBERED, EDGES_SQL)})")
 def chunk_fold_semantic(spark, sf_dir):
     return _out(ch.chunk_text(b.documents(spark, sf_dir), separator="\n", encoder=em.HashedTermEncoder(DIM)))
@@ -185,3 +201,55 @@ def embed_pending(spark, sf_dir):
     out = em.attach_embeddings(filled.drop("text"), new)
     has = F.exists("embedding", lambda x: x != 0)
     return out.select("tenant_id", "doc_id", (F.col("lang") != "en").alias("was_pending"), has.alias("has_vector"))
+
+
+@query(
+    "embed_by_content",
+    f"""with p as ({sql_places('documents', 'doc_id', 'text')})
+    select d.source as tenant_id, p.doc_id, place::bigint as place, (tf / n)::float::double as weight, not exists (
+        select 1 from ({STORE_SQL}) s where s.tenant_id = d.source and s.content_hash = sha256(d.text)) as was_pending
+      from p join (select doc_id, sqrt(sum(tf * tf)) as n from p group by doc_id) q on p.doc_id = q.doc_id join documents d on d.doc_id = p.doc_id""",
+)
+def embed_by_content(spark, sf_dir):
+    """Vectors of English texts are stored; then all texts ask, misses are encoded once and stored, all are filled by value."""
+    enc = em.encode(em.HashedTermEncoder(DIM))
+    store = ReuseStore(spark, scratch_dir(spark, "vectors-by-content"), enc.returnType, buckets=2)
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("tenant_id"), "doc_id", "text", "lang", tx.content_hash(F.col("text")).alias("key")
+    )
+
+    def make(missing):
+        return spread(missing, "key").withColumn("value", enc("text"))
+
+    store.fill(docs.where("lang = 'en'"), make, 0)
+    filled, _ = store.fill(docs, make, 1)
+    return filled.select("tenant_id", "doc_id", (F.col("stored_at") == 1).alias("was_pending"), F.posexplode("value").alias("place", "w")).where("w <> 0").select(
+        "tenant_id", "doc_id", "was_pending", F.col("place").cast("bigint"), F.col("w").cast("double").alias("weight")
+    )
+
+
+CLEANED_SQL = f"select * from (select tenant_id, doc_id, section_index, {sql_clean('content')} as content from ({SECTIONS_SQL})) where content <> ''"
+CLEAN_CHUNKS_SQL = sql_fold(f"select tenant_id, doc_id, row_number() over (partition by doc_id order by section_index) as i, content from ({CLEANED_SQL})")
+
+
+@query(
+    "stage_counts",
+    f"""with s as materialized ({SECTIONS_SQL}), x as materialized ({CLEANED_SQL}), c as materialized ({CLEAN_CHUNKS_SQL}),
+    n as (select (select count(*) from documents) as docs, (select count(*) from s) as s, (select count(*) from x) as x, (select count(*) from c) as c,
+      (select sum({sql_estimate('content')}) from c) as tokens, (select count(*) from c where len({sql_tokens('content')}) > 0) as vectors,
+      (select sum(len(list_distinct({sql_tokens('content')}))) from c) as terms)
+    select unnest([1, 1, 2, 2, 3, 3, 4, 4, 5, 5])::bigint as stage_no, unnest(['parse', 'parse', 'clean', 'clean', 'chunk', 'chunk', 'embed', 'embed', 'index', 'index']) as stage,
+      unnest(['rows', 'sections', 'rows', 'sections', 'rows', 'tokens', 'rows', 'vectors', 'rows', 'terms']) as metric,
+      unnest([docs, s, docs, x, c, tokens, c, vectors, c, terms])::bigint as value from n""",
+)
+def stage_counts(spark, sf_dir):
+    """What every stage of the preparation put out, observed while it was stored."""
+    one, size = F.count("*"), F.sum(F.size("sections"))
+    stages = [
+        Stage("parse", lambda d: d.select("tenant_id", "doc_id", sx.text_sections(F.col("text"), "\n").alias("sections")), {"rows": one, "sections": size}),
+        Stage("clean", lambda d: d.withColumn("sections", ch.clean_sections(F.col("sections"))), {"rows": one, "sections": size}),
+        Stage("chunk", ch.chunk_sections, {"rows": one, "tokens": F.sum("token_count")}),
+        Stage("embed", lambda d: d.withColumn("embedding", em.encode(em.HashedTermEncoder(DIM))("content")), {"rows": one, "vectors": F.count_if(F.exists("embedding", lambda x: x != 0))}),
+        Stage("index", lambda d: sparse.keyword_index(d, heading=None), {"rows": one, "terms": F.sum(F.size("counts"))}),
+    ]
+    return run_stages(b.documents(spark, sf_dir), stages)[1].withColumn("stage_no", F.col("stage_no").cast("bigint"))

@@ -151,6 +151,25 @@ def latency_quantiles_approx(spark, sf_dir):
     return mt.by_route(b.events(spark, sf_dir), "event_type", "value", "1 hour")
 
 
+@query(
+    "latency_quantile_ranks",
+    f"""select {sql_ts("ts::date::timestamp", 'start')}, event_type, count(*)::bigint as count, true as p50_holds, true as p95_holds from events group by ts::date, event_type""",
+)
+def latency_quantile_ranks(spark, sf_dir):
+    """The approximate quantiles by route against the true ranks of what they return: within a thousandth of the count, and one row."""
+    ev = b.events(spark, sf_dir)
+    found = mt.by_route(ev, "event_type", "value", "1 day").select("start", "event_type", "p50", "p95")
+    day = ev.select(F.window("ts", "1 day")["start"].alias("start"), "event_type", "value").join(F.broadcast(found), ["start", "event_type"])  # a row per day and type
+    ranks = [F.count_if(F.col("value") < F.col(q)).alias(f"below_{q}") for q in ("p50", "p95")] + [F.count_if(F.col("value") <= F.col(q)).alias(f"upto_{q}") for q in ("p50", "p95")]
+    counted = day.groupBy("start", "event_type").agg(F.count("*").alias("count"), *ranks)
+
+    def holds(q, share):
+        slack = F.col("count") / 1000 + 1
+        return ((F.col(f"below_{q}") <= share * F.col("count") + slack) & (F.col(f"upto_{q}") >= share * F.col("count") - slack)).alias(f"{q}_holds")
+
+    return counted.select(text_ts("start"), "event_type", "count", holds("p50", 0.5), holds("p95", 0.95))
+
+
 STATUS_OF = {"signup": "pending", "view": "processing", "click": "indexing", "purchase": "completed", "error": "failed"}
 STATUS_CASE = "case event_type " + " ".join(f"when '{e}' then '{s}'" for e, s in STATUS_OF.items()) + " end"
 STATUS_SQL = f"""select document_id, status, error, coalesce({{started}}, '') as started_at, coalesce({{completed}}, '') as completed_at from (

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomery import constants as k
-from loomery.operators import answers, conflicts, dense, fusion, ranking, sparse
+from loomery.functions.queries import reported_class
+from loomery.operators import answers, conflicts, dense, fusion, metrics, ranking, sparse
 from loomery.plans import bindings as b
 from loomery.plans import graph_plans as g
 from loomery.plans import retrieval_plans as r
 from loomery.plans.query_plans import features_sql, weights_sql
 from loomery.plans.registry import query
 from loomery.plans.text_plans import sql_tokens
-from loomery.session import materialize, table
+from loomery.session import materialize, scratch_dir, table
+from loomery.sources.reuse import ReuseStore
 
 ASKED = "select item_id as query_id, text as query from benchmark"
 RAW_WEIGHTS_SQL = weights_sql(features_sql(ASKED)).replace("round(", "(").replace(", 6)", ")")
@@ -239,6 +242,24 @@ def citations(spark, sf_dir):
     return out.select("query_id", "chunk_id", "excerpt", "score", F.col("final_rank").cast("bigint"), "confidence", "document_name")
 
 
+AGGREGATE_SQL = f"""select query_id, round(case when high >= 3 then least(m + 0.1::double, 1) else m end, 6) as aggregate_confidence from (
+      select query_id, sum(confidence / prev_rank) / sum(1 / prev_rank) as m, count(*) filter (confidence >= 0.7) as high from ({SCORED_SQL}) group by query_id)"""
+
+
+@query(
+    "confidence_by_day",
+    f"""select strftime(ts::date::timestamp, '%Y-%m-%d %H:%M:%S.%f') as start, query_type, count(*)::bigint as count, round(avg(aggregate_confidence), 6) as mean
+      from events e join ({AGGREGATE_SQL}) a on a.query_id = e.user_id join (select query_id, reported_type as query_type from ({features_sql(ASKED)})) q on q.query_id = e.user_id group by ts::date, query_type""",
+)
+def confidence_by_day(spark, sf_dir):
+    """Mean confidence of the answers given on a day, by class of the query; an event is a user's query being asked again."""
+    conf = materialize(ranking.aggregate_confidence(scored(spark, sf_dir), "prev_rank"), "confidences")
+    kinds = fusion.analyze(r.queries(spark, sf_dir)).select("query_id", reported_class(F.col("length")).alias("query_type"))
+    asked = b.events(spark, sf_dir).select(F.col("user_id").alias("query_id"), "ts")
+    out = metrics.by_route(asked.join(conf, "query_id").join(kinds, "query_id"), "query_type", "aggregate_confidence", "1 day")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "query_type", "count", F.round("mean", 6).alias("mean"))
+
+
 EVIDENCE = 0.45
 CONTEXT_SQL = f"""select query_id, string_agg(content, '{answers.SEPARATOR}' order by final_rank) as context, count(*)::bigint as n_sources,
   round(avg(score), 9) as confidence from ({SHAPED_SQL}) where confidence <> 0 and confidence >= 0.6 group by query_id"""
@@ -302,3 +323,29 @@ def query_reuse(spark, sf_dir):
     keyed, once = answers.distinct_queries(batch)
     asked = keyed.groupBy("key").agg(F.count("*").alias("asked"))
     return once.join(asked, "key").select("query_id", "query", "tenant_id", "asked")
+
+
+@query(
+    "answer_reuse",
+    f"""with a as (select text, role, min(turn) as first from conversations group by text, role)
+    select c.conv_id * 1000 + c.turn as query_id, case when first = 1 then 299 else 300 end::bigint as stored_at,
+      '{answers.MOCK_ANSWER}' || length('{answers.PROMPT_HEAD}' || '{answers.PROMPT_QUESTION}' || c.text || '{answers.PROMPT_TAIL}') || ' characters' as answer
+    from conversations c join a on a.text = c.text and a.role = c.role""",
+)
+def answer_reuse(spark, sf_dir):
+    """Three batches against stored answers of an age of at most 300 seconds: first turns at 0 (too old
+    at 300), second turns at 299 (taken again), and everything at 300."""
+    asked = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "turn", F.concat(F.lit("role-"), F.col("role")).alias("tenant_id"), F.col("text").alias("query")
+    )
+    asked = asked.withColumn("key", answers.reuse_key(F.col("tenant_id"), F.col("query"), F.lit("hybrid")))
+    store = ReuseStore(spark, scratch_dir(spark, "answers"), StringType(), k.QUERY_TTL)
+
+    def make(missing):
+        prompts = missing.withColumn("prompt", answers.build_prompt(F.lit(""), F.col("query")))
+        return answers.generate(prompts).withColumnRenamed("answer", "value")
+
+    store.fill(asked.where("turn = 0"), make, 0)
+    store.fill(asked.where("turn <= 1"), make, k.QUERY_TTL - 1)
+    out, _ = store.fill(asked, make, k.QUERY_TTL)
+    return out.select("query_id", "stored_at", F.col("value").alias("answer"))

@@ -191,6 +191,12 @@ def bm25_topk(spark, sf_dir):
     return _sparse_out(sparse.bm25_topk(sparse.query_terms(queries(spark, sf_dir)), index))
 
 
+@query("bm25_min_score", f"select * from ({bm25_sql()}) where sparse_score >= 6")
+def bm25_min_score(spark, sf_dir):
+    """Hits below a score are left out."""
+    return _sparse_out(sparse.bm25_topk(sparse.query_terms(queries(spark, sf_dir)), built_index(spark, sf_dir), min_score=6.0))
+
+
 @query("bm25_heading_boost", bm25_sql(boost=10.0))
 def bm25_heading_boost(spark, sf_dir):
     index = built_index(spark, sf_dir)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from loomery import constants as k
 from loomery.operators import filters as fl
 from loomery.operators import governance as gv
-from loomery.operators.embedding import HashedTermEncoder
+from loomery.operators.embedding import HashedTermEncoder, encode
 from loomery.plans import bindings as b
 from loomery.plans import graph_plans as g
-from loomery.plans.chunk_plans import CHUNK_OUT, CHUNKS_SQL, chunks
+from loomery.plans.chunk_plans import CHUNK_OUT, CHUNKS_SQL, DIM, NUMBERED, chunks, sql_fold, sql_places
 from loomery.plans.registry import query
+from loomery.plans.text_plans import sql_estimate
 from loomery.session import scratch_dir, table
+from loomery.sources import compaction
 from loomery.sources import stores as st
 from loomery.sources.versions import VersionedTable
 
@@ -78,6 +80,22 @@ def vector_sink(spark, sf_dir):
     return spark.read.parquet(path).select("chunk_id", "tenant_id", *big("chunk_index"), "content", *big("page_number"), F.size("embedding").cast("bigint").alias("dim"))
 
 
+_CHUNKS = f"(select chunk_id, content from ({CHUNK_OUT} from ({CHUNKS_SQL})))"
+
+
+@query(
+    "vector_sink_values",
+    f"""with p as ({sql_places(_CHUNKS, 'chunk_id', 'content')}) select p.chunk_id, count(*)::bigint as filled, round(sum((place + 1) * (tf / n)::float::double), 4) as weighted
+      from p join (select chunk_id, sqrt(sum(tf * tf)) as n from p group by chunk_id) q on q.chunk_id = p.chunk_id group by p.chunk_id""",
+)
+def vector_sink_values(spark, sf_dir):
+    """The vectors that were written, by value: how many places are filled, and their sum weighted by place."""
+    path = scratch_dir(spark, "vectors")
+    st.write_store(st.vector_rows(_chunks(spark, sf_dir).withColumn("embedding", encode(HashedTermEncoder(DIM))("content"))), path)
+    place = spark.read.parquet(path).select("chunk_id", F.posexplode("embedding").alias("place", "w")).where("w <> 0")
+    return place.groupBy("chunk_id").agg(F.count("*").alias("filled"), F.round(F.sum((F.col("place") + 1) * F.col("w").cast("double")), 4).alias("weighted"))
+
+
 @query("chunk_metadata_sink", f"select chunk_id, content_hash, token_count, 'completed' as embedding_status from ({CHUNK_OUT} from ({CHUNKS_SQL}))")
 def chunk_metadata_sink(spark, sf_dir):
     path = scratch_dir(spark, "chunks")
@@ -379,11 +397,15 @@ def storage_tier(spark, sf_dir):
     return out.withColumn("tier", gv.storage_tier(F.col("age"), F.col("per_day")))
 
 
-@query("fragment_merge")
+SMALL_SQL = sql_fold(NUMBERED, least=1, most=60, overlap=10**9)
+MERGED_SQL = sql_fold(f"select tenant_id, doc_id, chunk_index + 1 as i, content from ({SMALL_SQL})", least=100, most=400, overlap=10**9)
+
+
+@query("fragment_merge", f"select tenant_id, doc_id as document_id, chunk_index, content, {sql_estimate('content')}::bigint as token_count from ({MERGED_SQL})")
 def fragment_merge(spark, sf_dir):
     """Small chunks (at most 60 tokens) merged back up to 400."""
     small = _chunks_small(spark, sf_dir)
-    return gv.merge_fragments(small, 100, 400).select("tenant_id", "document_id", "chunk_index", "content", "token_count")
+    return gv.merge_fragments(small, 100, 400).select("tenant_id", "document_id", *big("chunk_index"), "content", *big("token_count"))
 
 
 def _chunks_small(spark, sf_dir):
@@ -394,8 +416,11 @@ def _chunks_small(spark, sf_dir):
 
 @query("file_compaction", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey from lineitem")
 def file_compaction(spark, sf_dir):
-    """Many small files rewritten as a few range-sorted ones."""
+    """Many small files and a large one packed into files of about a quarter of all bytes."""
     small, merged = scratch_dir(spark, "small"), scratch_dir(spark, "merged")
-    table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(64).write.parquet(small)
-    st.compact(spark, small, merged, 4, ["l_orderkey", "l_linenumber"])
-    return spark.read.parquet(merged).select("l_orderkey", *big("l_linenumber"), "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows.where("l_orderkey % 2 = 0").repartition(64).write.parquet(small)
+    rows.where("l_orderkey % 2 = 1").coalesce(1).write.mode("append").parquet(small)
+    target = compaction.file_sizes(spark, small).agg(F.ceil(F.sum("length") / 4)).first()[0]
+    paths, _ = compaction.compact(spark, [small], merged, target)
+    return spark.read.parquet(*paths).select("l_orderkey", *big("l_linenumber"), "l_partkey")

@@ -86,6 +86,29 @@ class VersionedTable:
         cells = self.manifest()
         return self._read(cells if tenant is None else cells.where(F.col("tenant_id") == tenant))
 
+    def rows_near(self, keys: DataFrame) -> DataFrame:
+        """Rows of the cells that ``keys`` (tenant_id and the bucket column) fall in."""
+        hit = keys.select(self._cell().alias("cell")).distinct()
+        return self._read(self.manifest().join(hit, "cell", "left_semi"))
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        """A commit of ``rows``; its manifest entries."""
+        commit = uuid.uuid4().hex
+        new = rows.select(*self.schema.names).withColumn("cell", self._cell())
+        # rebalanced: a cell is few files, a large one is split over tasks
+        new.hint("rebalance", "cell").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("cell").parquet(f"{self.path}/data/c={commit}")
+        whole = StructType([*self.schema.fields, StructField("cell", StringType())])
+        written = self.spark.read.schema(whole).parquet(f"{self.path}/data/c={commit}").groupBy("tenant_id", "cell").agg(F.count("*").alias("rows"))
+        return written.withColumn("commit", F.lit(commit))
+
+    def add(self, rows: DataFrame) -> None:
+        """More rows as a commit of their own; what lies there is not rewritten.
+
+        A cell then has a folder for each commit; :meth:`change` with its rows as they are joins them.
+        """
+        version, folder, last = self._current()
+        self._switch(version, materialize(self._manifest_at(folder).unionByName(self._write(rows)), "cells"), last)
+
     def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame], tag: int | None = None) -> DataFrame:
         """Put ``make(rows of the touched cells)`` in their place.
 
@@ -95,13 +118,8 @@ class VersionedTable:
         version, folder, last = self._current()
         cells = self._manifest_at(folder)
         hit = materialize(touched.select(self._cell().alias("cell"), "tenant_id").distinct(), "touched-cells")
-        commit = uuid.uuid4().hex
-        new = make(self._read(cells.join(hit, "cell", "left_semi"))).select(*self.schema.names).withColumn("cell", self._cell())
-        # rebalanced: a cell is few files, a large one is split over tasks
-        new.hint("rebalance", "cell").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("cell").parquet(f"{self.path}/data/c={commit}")
-        whole = StructType([*self.schema.fields, StructField("cell", StringType())])
-        written = self.spark.read.schema(whole).parquet(f"{self.path}/data/c={commit}").groupBy("tenant_id", "cell").agg(F.count("*").alias("rows"))
-        after = materialize(cells.join(hit, "cell", "left_anti").unionByName(written.withColumn("commit", F.lit(commit))), "cells")
+        written = self._write(make(self._read(cells.join(hit, "cell", "left_semi"))))
+        after = materialize(cells.join(hit, "cell", "left_anti").unionByName(written), "cells")
         self._switch(version, after, last if tag is None else tag)
         both = cells.select("tenant_id", F.col("rows").alias("b"), F.lit(0).alias("a")).unionAll(after.select("tenant_id", F.lit(0), "rows"))
         counts = both.join(hit.select("tenant_id").distinct(), "tenant_id", "left_semi").groupBy("tenant_id")
