@@ -61,8 +61,17 @@ class _Best:
         self.kept[q] = (scores[best], ids[best])
 
     def frame(self, query_ids) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": query_ids[q], "chunk_id": i, "dense_score": s}) for q, (s, i) in self.kept.items()]
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "dense_score": []})
+        if not self.kept:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "dense_score": []}, dtype=object)
+        sizes = [len(s) for s, _ in self.kept.values()]
+        scores, ids = (np.concatenate(parts) for parts in zip(*self.kept.values()))
+        asked = np.array([query_ids[q] for q in self.kept], dtype=object if isinstance(query_ids[0], str) else None)
+        return pd.DataFrame({"query_id": _plain(np.repeat(asked, sizes)), "chunk_id": _plain(ids), "dense_score": scores})
+
+
+def _plain(values: np.ndarray) -> pd.Series:
+    """Texts stay objects, whatever text type pandas would choose."""
+    return pd.Series(values, dtype=object if values.dtype.kind in "OU" else values.dtype)
 
 
 def _score(best: _Best, wanted: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
