@@ -191,10 +191,10 @@ def bm25_topk(spark, sf_dir):
     return _sparse_out(sparse.bm25_topk(sparse.query_terms(queries(spark, sf_dir)), index))
 
 
-@query("bm25_min_score", f"select * from ({bm25_sql()}) where sparse_score >= 6")
+@query("bm25_min_score", f"select * from ({bm25_sql()}) where sparse_score >= 20")
 def bm25_min_score(spark, sf_dir):
     """Hits below a score are left out."""
-    return _sparse_out(sparse.bm25_topk(sparse.query_terms(queries(spark, sf_dir)), built_index(spark, sf_dir), min_score=6.0))
+    return _sparse_out(sparse.bm25_topk(sparse.query_terms(queries(spark, sf_dir)), built_index(spark, sf_dir), min_score=20.0))
 
 
 @query("bm25_heading_boost", bm25_sql(boost=10.0))
