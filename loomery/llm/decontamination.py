@@ -1,19 +1,23 @@
-"""Benchmark decontamination: n-gram seeds that can't be missed, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds that can't be missed, then Smith-Waterman alignment.
 
-1. The seeds of an item are all its word bigrams. An alignment with m equal words
+1. The n-grams of an item are its word bigrams. An alignment with m equal words
    and e changed, dropped or added ones has m - e - 1 equal bigrams at least, so one
    that reaches ``least`` has (2 * least - 1) * words - 1 or more, all within a
    bounded stretch of the text. Where that is none (up to five words at 0.6), the
-   seeds are the words, of which least * words must be equal.
-2. Stretches of texts with that many seeds of an item are aligned with it: local
+   n-grams are the words, of which least * words must be equal.
+   One pass over the texts counts the n-grams of items. The seeds are the rare ones:
+   the most frequent are left out, as many as every alignment can do without (one of
+   14 bigrams in a row at 0.6, where two of twelve must be equal). A text meets an item
+   by its seeds; the other n-grams are looked up only around seeds that were found.
+2. Stretches of texts with enough n-grams of an item are aligned with it: local
    alignment of words (match 2, mismatch -1, gap -1), so inserted, dropped and
    changed words only lower the score. The share of the best possible score that
    an alignment reaches is its similarity; pairs at ``least`` or more are leaks,
-   and none of them is without its seeds, however its words were edited.
+   and none of them is without a seed, however its words were edited.
 3. A passage of an item is a leak too, however long the rest: PASSAGE_WORDS
    consecutive item words or more whose alignment reaches ``least`` of the best
    score of just these words. One of up to 2 * PASSAGE_WORDS - 1 words is in each,
-   with two seeds at least; stretches of text and item around two such seeds are
+   with two n-grams at least; stretches of text and item around two such n-grams are
    searched for the best passage (the one furthest above ``least``).
 
 A row tells both: ``similarity`` is the share of the whole item, ``passage`` the
@@ -22,8 +26,10 @@ there is none). The place is that of the whole item's alignment where this is a
 leak, else that of the passage.
 
 Items go out in blocks of at most BLOCK_WORDS words, so what is sent to the
-executors is bounded however long the list of items is; a block costs one scan
-of the texts and shuffles nothing.
+executors is bounded however long the list of items is; a block costs two scans
+of the texts (counts, then matches) and shuffles its counts only. Where a window of
+texts and a block have more than MOST_PAIRS seeds in common, the items are taken in
+halves, so a task holds that many pairs, or those of one item.
 
 Words are runs of letters and digits (any non-ASCII character counts as a
 letter), lower-cased. Results for odd input: null and empty texts and items
@@ -34,6 +40,7 @@ a text the first is reported; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from collections.abc import Iterator
@@ -54,6 +61,7 @@ BLOCK_WORDS = 1_000_000
 LEAST = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIEVE_BITS = 22
+MOST_PAIRS = 2_000_000
 
 _plain = bytearray(range(256))
 for _b in range(128):
@@ -67,27 +75,65 @@ def plain(text: bytes | None) -> bytes | None:
     return text.decode("utf-8", "replace").lower().encode().translate(_PLAIN) if text else text
 
 
+@dataclass
+class Grams:
+    """Hashes in order, with a sieve in front of the search in them."""
+
+    hashes: np.ndarray
+    sieve: np.ndarray
+    bits: int
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Grams:
+        bits = min(SIEVE_BITS, max(8, len(hashes).bit_length() + 5))
+        sieve = np.zeros(1 << bits, bool)
+        sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return cls(hashes, sieve, bits)
+
+    def matches(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in ``grams``, and for each the first of the equal hashes and their number."""
+        maybe = np.flatnonzero(self.sieve[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
+        low = np.searchsorted(self.hashes, grams[maybe], "left")
+        n = np.searchsorted(self.hashes, grams[maybe], "right") - low
+        return maybe[n > 0], low[n > 0], n[n > 0]
+
+
+def _expand(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) for each value of the ranges of ``n`` values from ``low``."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) + np.repeat(low - np.cumsum(n) + n, n)
+
+
 @dataclass
 class Block:
-    """Test items with their word hashes, and their seeds in order of hash."""
+    """Test items with their word hashes, their seeds in order of hash, and their other n-grams."""
 
     ids: list
     words: list[np.ndarray]
-    seeds: np.ndarray
+    rare: list[np.ndarray]  # whether an n-gram of an item is a seed
+    least: float
+    seeds: Grams
     item: np.ndarray
     at: np.ndarray
-    sieve: np.ndarray
-    need: np.ndarray  # seeds that an alignment of an item holds at least
+    others: Grams  # distinct n-grams that some item has as no seed
+    other: np.ndarray  # item after item, its n-grams that are no seeds: index in others, place in the item
+    other_at: np.ndarray
+    other_ends: np.ndarray
+    need: np.ndarray  # n-grams that an alignment of an item holds at least
     size: np.ndarray
     slack: np.ndarray  # words that an alignment can have beyond the item's
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``grams`` and indices of ``seeds`` (all pairs that are equal)."""
-        maybe = np.flatnonzero(self.sieve[(grams >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
-        low = np.searchsorted(self.seeds, grams[maybe], "left")
-        n = np.searchsorted(self.seeds, grams[maybe], "right") - low
-        where = np.repeat(maybe, n)
-        return where, np.repeat(low, n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
+    @property
+    def reach(self) -> np.ndarray:
+        """Words of a text that a leak of an item spans at most, with what is searched around it."""
+        longest = 2 * PASSAGE_WORDS - 1
+        return np.maximum(self.size + self.slack, longest + bounds(longest, self.least)[2]) + longest
+
+    def halves(self) -> tuple[Block, Block]:
+        mid = len(self.ids) // 2
+        parts = ((self.ids[x], self.words[x], self.rare[x]) for x in (slice(mid), slice(mid, None)))
+        first, second = (block_of(*part, self.least) for part in parts)
+        return first, second
 
 
 def bounds(size: int, least: float) -> tuple[int, int, int]:
@@ -99,21 +145,61 @@ def bounds(size: int, least: float) -> tuple[int, int, int]:
     return (2, pairs, slack) if pairs > 0 else (1, max(math.ceil(least * size - 1e-9), 1), slack)
 
 
-def block_of(ids: list, texts: list[bytes | None], least: float) -> Block:
+def rare_grams(cost: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Which n-grams of an item of ``size`` words are seeds, given what each costs.
+
+    The dearest are left out as long as fewer than an alignment must hold are missing
+    from the item, if it is short, and from each of its stretches of PASSAGE_WORDS to
+    2 * PASSAGE_WORDS - 1 words: every passage has one of these that reaches ``least``.
+    """
+    n, whole, _ = bounds(size, least)
+    apart: dict[int, int] = {}  # so many n-grams left out must not lie in so many in a row
+    for words in range(PASSAGE_WORDS, min(size, 2 * PASSAGE_WORDS - 1) + 1):
+        must = (2 * least - 1) * words - 1 if n == 2 else (1 + 2 * least) / 3 * words
+        must = math.ceil(must - 1e-9)
+        apart[must] = max(apart.get(must, 0), words - n + 1)
+    if size < PASSAGE_WORDS / least:  # an alignment of a longer item is as long as a passage
+        apart[whole] = max(apart.get(whole, 0), len(cost))
+    rare = np.ones(len(cost), bool)
+    out: list[int] = []
+    for p in np.argsort(-cost, kind="stable").tolist():
+        k = bisect.bisect(out, p)
+        out.insert(k, p)
+        if all(out[j + must - 1] - out[j] >= row for must, row in apart.items() for j in range(max(k - must + 1, 0), min(k, len(out) - must) + 1)):
+            rare[p] = False
+        else:
+            del out[k]
+    return rare
+
+
+def item_words(texts: list[bytes | None]) -> list[np.ndarray]:
     hashes, counts = word_hashes([plain(t) for t in texts])
-    ends = np.cumsum(counts)
-    words = [hashes[e - n : e] for e, n in zip(ends, counts)]
+    return [hashes[e - n : e] for e, n in zip(np.cumsum(counts), counts)]
+
+
+def item_grams(words: list[np.ndarray], least: float) -> list[np.ndarray]:
+    return [chain_hash(w, bounds(len(w), least)[0]) for w in words]
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def block_of(ids: list, words: list[np.ndarray], rare: list[np.ndarray], least: float) -> Block:
     rules = [bounds(len(w), least) for w in words]
-    grams = [chain_hash(w, n) for w, (n, _, _) in zip(words, rules)]
-    seeds = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    grams = item_grams(words, least)
+    every, is_rare = _joined(grams, np.uint64), _joined(rare, bool)
     item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
-    at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-    order = np.argsort(seeds, kind="stable")
-    sieve = np.zeros(1 << SIEVE_BITS, bool)
-    sieve[(seeds >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+    at = _joined([np.arange(len(g)) for g in grams], np.int64)
+    seeds = np.flatnonzero(is_rare)
+    seeds = seeds[np.argsort(every[seeds], kind="stable")]
+    others, other = np.unique(every[~is_rare], return_inverse=True)
+    ends = np.searchsorted(item[~is_rare], np.arange(len(ids) + 1))
     size = np.array([len(w) for w in words], np.int64)
     need, slack = (np.array([r[i] for r in rules], np.int64) for i in (1, 2))
-    return Block(ids, words, seeds[order], item[order], at[order], sieve, need, size, slack)
+    return Block(
+        ids, words, rare, least, Grams.of(every[seeds]), item[seeds], at[seeds], Grams.of(others), other.reshape(-1), at[~is_rare], ends, need, size, slack
+    )
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -201,7 +287,7 @@ def passage(item: np.ndarray, text: np.ndarray, least: float, shortest: int = PA
 
 @dataclass
 class Hits:
-    """Seeds found in texts, in order of item, text and place."""
+    """N-grams of items found in texts, in order of item, text and place."""
 
     item: np.ndarray
     at: np.ndarray
@@ -210,16 +296,49 @@ class Hits:
     place: np.ndarray
 
 
-def _hits(block: Block, hashes: np.ndarray, counts: np.ndarray) -> Hits:
+    def order(self) -> Hits:
+        by = np.argsort(self.place, kind="stable")
+        return Hits(*(x[by] for x in (self.item, self.at, self.where, self.text, self.place)))
+
+
+def _hits(block: Block, hashes: np.ndarray, counts: np.ndarray) -> Hits | None:
+    """All n-grams of items that a leak could hold: the seeds, and around each of them
+    the others of its item. None if too many seeds are found for all items at once."""
     ends = np.cumsum(counts)
-    one, two = block.hits(chain_hash(hashes, 1)), block.hits(chain_hash(hashes, 2))
-    whole = ~np.isin(two[0] + 1, ends)  # not from one text into the next
-    where, which = np.concatenate([one[0], two[0][whole]]), np.concatenate([one[1], two[1][whole]])
-    item, text = block.item[which], np.searchsorted(ends, where, "right")
-    apart = int((block.size + block.slack).max(initial=0)) + 8 * PASSAGE_WORDS
-    place = item * (len(hashes) + (len(counts) + 1) * apart) + where + text * apart
-    order = np.argsort(place, kind="stable")
-    return Hits(item[order], block.at[which][order], where[order], text[order], place[order])
+    starts = ends - counts
+    apart = int(block.reach.max(initial=0)) + 8 * PASSAGE_WORDS
+
+    def hits(item: np.ndarray, at: np.ndarray, where: np.ndarray) -> Hits:
+        text = np.searchsorted(ends, where, "right")
+        return Hits(item, at, where, text, item * (len(hashes) + (len(counts) + 1) * apart) + where + text * apart)
+
+    def found(grams: Grams) -> tuple[np.ndarray, ...]:
+        one, two = grams.matches(chain_hash(hashes, 1)), grams.matches(chain_hash(hashes, 2))
+        whole = ~np.isin(two[0] + 1, ends)  # not from one text into the next
+        return tuple(np.concatenate([x, y[whole]]) for x, y in zip(one, two))
+
+    place, low, n = found(block.seeds)
+    if n.sum() > MOST_PAIRS and len(block.ids) > 1:
+        return None
+    row, which = _expand(low, n)
+    seeds = hits(block.item[which], block.at[which], place[row]).order()
+    if not len(seeds.item) or not len(block.other):
+        return seeds
+    reach = block.reach[seeds.item]
+    fresh = np.concatenate(([True], (np.diff(seeds.item) != 0) | (np.diff(seeds.text) != 0) | (np.diff(seeds.place) > 2 * reach[1:])))
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(fresh)) - 1
+    item, text = seeds.item[first], seeds.text[first]
+    begin = np.maximum(seeds.where[first] - reach[first], starts[text])
+    end = np.minimum(seeds.where[last] + reach[first] + 1, ends[text])
+    stretch, own = _expand(block.other_ends[item], block.other_ends[item + 1] - block.other_ends[item])
+    place, which, _ = found(block.others)
+    lists = np.sort(which * (len(hashes) + 1) + place)
+    base = block.other[own] * (len(hashes) + 1)
+    low = np.searchsorted(lists, base + begin[stretch])
+    row, which = _expand(low, np.searchsorted(lists, base + end[stretch]) - low)
+    others = hits(item[stretch][row], block.other_at[own][row], lists[which] % (len(hashes) + 1))
+    return Hits(*(np.concatenate([getattr(x, f) for x in (seeds, others)]) for f in ("item", "at", "where", "text", "place"))).order()
 
 
 def _regions(block: Block, hits: Hits, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -290,6 +409,10 @@ def _aligned(block: Block, hashes: np.ndarray, counts: np.ndarray, least: float)
     ends = np.cumsum(counts)
     starts = ends - counts
     hits = _hits(block, hashes, counts)
+    if hits is None:
+        first, second = block.halves()
+        late = [(t, i + len(first.ids), *x) for t, i, *x in _aligned(second, hashes, counts, least)]
+        return sorted(_aligned(first, hashes, counts, least) + late, key=lambda x: x[:2])
     whole: dict[tuple[int, int], tuple[float, int, int]] = {}
     for t, i, a, b in _regions(block, hits, starts, ends):
         score, first, last = align(block.words[i], hashes[a:b])
@@ -321,14 +444,44 @@ def _aligned(block: Block, hashes: np.ndarray, counts: np.ndarray, least: float)
 SCHEMA = "doc_id long, item long, similarity double, start_word int, end_word int, passage double, passage_words int"
 
 
-def _blocks(items: DataFrame, least: float) -> Iterator[Broadcast]:
-    """The items as broadcast blocks; at least one, if an empty one."""
+def occurrences(texts: DataFrame, grams: np.ndarray) -> np.ndarray:
+    """How often each of the n-grams (distinct hashes in order) is in the texts, in one
+    pass; a partition sends one row for each that it holds."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(Grams.of(grams))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total = np.zeros(len(known.hashes), np.int64)
+        for batch in text_windows(batches):
+            hashes, _ = word_hashes([plain(t) for t in texts_of(batch)])
+            for n in (1, 2):
+                np.add.at(total, known.matches(chain_hash(hashes, n))[1], 1)
+        held = np.flatnonzero(total)
+        for a in range(0, len(held), 1 << 16):
+            part = held[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["at", "n"])
+
+    got = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(grams), np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    shared.unpersist()
+    return out
+
+
+def _blocks(items: DataFrame, texts: DataFrame, least: float) -> Iterator[Broadcast]:
+    """The items as broadcast blocks, with seeds that are rare in ``texts``; at least one, if an empty one."""
     items = items.select("item_id", "text").where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(words) // BLOCK_WORDS))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield items.sparkSession.sparkContext.broadcast(block_of([r["item_id"] for r in part], [r["text"].encode() for r in part], least))
+        own = item_words([r["text"].encode() for r in part])
+        grams = item_grams(own, least)
+        distinct, shared_by = np.unique(_joined(grams, np.uint64), return_counts=True)
+        cost = occurrences(texts, distinct) * shared_by if len(distinct) else shared_by
+        rare = [rare_grams(cost[np.searchsorted(distinct, g)], len(w), least) for g, w in zip(grams, own)]
+        yield items.sparkSession.sparkContext.broadcast(block_of([r["item_id"] for r in part], own, rare, least))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -339,7 +492,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
     result = None
-    for shared in _blocks(items, least):
+    for shared in _blocks(items, texts, least):
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -377,6 +530,6 @@ def _flag(shared: Broadcast, least: float):
 def clean_rows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the rows whose own text holds a leak, whatever their id, or none."""
     docs = spread(docs)
-    for shared in _blocks(items, least):
+    for shared in _blocks(items, docs.where("text is not null"), least):
         docs = docs.where(~_flag(shared, least)("text"))
     return docs

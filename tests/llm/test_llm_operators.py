@@ -24,7 +24,7 @@ from loomery.llm import (
     toxicity,
     warc_fixity,
 )
-from loomery.llm.common import fold, word_hashes
+from loomery.llm.common import chain_hash, fold, word_hashes
 from loomery.llm import queries  # noqa: F401
 from loomery.llm.registry import QUERIES
 
@@ -255,6 +255,69 @@ def test_passages_of_long_items_are_found(spark):
     assert (one["passage"], one["passage_words"], one["start_word"], one["end_word"]) == (1.0, 35, 1, 36) and 0.28 < one["similarity"] < 0.31
 
 
+def all_rare(rare):
+    return [np.ones(len(r), bool) for r in rare]
+
+
+def block_in(items, docs, least=0.6):
+    """A block of items whose seeds are rare in the texts, and the texts' word hashes."""
+    words = decontamination.item_words([t.encode() for t in items])
+    hashes, counts = word_hashes([t.encode() for t in docs])
+    there = np.concatenate([chain_hash(hashes, 1), chain_hash(hashes, 2)])
+    cost = [np.array([(there == g).sum() for g in grams]) for grams in decontamination.item_grams(words, least)]
+    rare = [decontamination.rare_grams(c, len(w), least) for c, w in zip(cost, words)]
+    return decontamination.block_of(list(range(len(items))), words, rare, least), hashes, counts
+
+
+def test_rare_seeds_find_what_all_seeds_find(monkeypatch):
+    """Edited stretches of items in few and in many words, also with the items taken in halves."""
+    rng = np.random.default_rng(8)
+    left_out = leaks = 0
+    sizes = [1, 2, 3, 4, 5, 6, 8, 12, 13, 14, 17, 20, 21, 22, 25, 26, 45, 100]
+    for _ in range(80):
+        vocabulary = int(rng.choice([6, 12, 40, 200]))
+        share = 1 / np.arange(1, vocabulary + 1)
+        draw = lambda n: rng.choice(vocabulary, n, p=share / share.sum()).tolist()  # noqa: B023, E731
+        items = [draw(int(n)) for n in rng.choice(sizes, 4)]
+        docs = []
+        for _ in range(6):
+            item = items[rng.integers(0, 4)]
+            first, rate = rng.integers(0, max(1, len(item) - 8)), rng.random() * 0.5
+            kept = [([w], draw(1), [], [w, *draw(1)])[0 if rng.random() > rate else rng.integers(1, 4)] for w in item[first : first + rng.integers(4, 50)]]
+            docs.append(draw(rng.integers(0, 30)) + sum(kept, []) + draw(rng.integers(0, 60)))
+        items, docs = ([" ".join(f"w{w}" for w in x) for x in y] for y in (items, docs))
+        block, hashes, counts = block_in(items, docs)
+        every = decontamination.block_of(block.ids, block.words, all_rare(block.rare), 0.6)
+        want = decontamination._aligned(every, hashes, counts, 0.6)
+        assert decontamination._aligned(block, hashes, counts, 0.6) == want
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, "MOST_PAIRS", 3)
+            assert decontamination._aligned(block, hashes, counts, 0.6) == want
+        left_out, leaks = left_out + sum((~r).sum() for r in block.rare), leaks + len(want)
+    assert left_out > 300 and leaks > 500
+
+
+def test_a_bigram_that_all_items_share_is_no_seed():
+    """What a text is paired with doesn't grow with the items that hold its most frequent bigram."""
+    text = " ".join(f"n{j} of the" for j in range(300)) + " " + " ".join(f"i7x{j}" if j != 9 else "of the" for j in range(20))
+    found = {}
+    for n in (20, 80, 320):
+        items = [" ".join(f"i{i}x{j}" if j != 9 else "of the" for j in range(20)) for i in range(n)]
+        block, hashes, counts = block_in(items, [text])
+        found[n] = len(decontamination._hits(block, hashes, counts).item)
+        assert [x[:3] for x in decontamination._aligned(block, hashes, counts, 0.6)] == [(0, 7, 1.0)]
+    assert found[20] == found[80] == found[320] < 60
+
+
+def test_occurrences_are_counted_in_one_pass(spark):
+    docs = table(spark, [(1, "of the cat"), (2, "the cat of the cat"), (3, None), (4, "")])
+    hashes, _ = word_hashes([b"of the cat dog"])
+    grams = np.unique(np.concatenate([chain_hash(hashes, 1), chain_hash(hashes, 2)]))
+    got = dict(zip(grams.tolist(), decontamination.occurrences(docs.where("text is not null"), grams).tolist()))
+    assert [got[h] for h in chain_hash(hashes, 1).tolist()] == [2, 3, 3, 0]
+    assert [got[h] for h in chain_hash(hashes, 2).tolist()] == [2, 3, 0]
+
+
 def test_item_blocks_lose_nothing(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}x{j}" for j in range(12))) for i in range(20)]
     docs = [(i, t) for i, t in items]
