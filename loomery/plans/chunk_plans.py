@@ -186,19 +186,19 @@ def embed_misses(spark, sf_dir):
       from documents d""",
 )
 def embed_pending(spark, sf_dir):
-    """Texts whose vector is missing are encoded once per distinct text; then all are filled."""
+    """English texts come with their vectors; texts whose vector is missing are encoded once per distinct text and filled."""
     enc = em.HashedTermEncoder(DIM)
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("tenant_id"), "doc_id", "text", tx.content_hash(F.col("text")).alias("content_hash"), "lang"
     )
     docs = spread(docs, "doc_id")
-    filled = docs.withColumn(
-        "embedding", F.when(F.col("lang") == "en", F.array(F.lit(1.0).cast("float")))
-    )
-    pending = filled.where("embedding is null")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    known = docs.where(english).withColumn("embedding", em.encode(enc)("text"))
+    pending = docs.where(~english).withColumn("embedding", F.lit(None).cast("array<float>"))
     empty_store = pending.select("tenant_id", "content_hash").where("false")
     new = em.encode_missing(pending, empty_store, enc, "text")
-    out = em.attach_embeddings(filled.drop("text"), new)
+    # only rows without a vector meet the new ones
+    out = known.drop("text").unionByName(em.attach_embeddings(pending.drop("text"), new))
     has = F.exists("embedding", lambda x: x != 0)
     return out.select("tenant_id", "doc_id", (F.col("lang") != "en").alias("was_pending"), has.alias("has_vector"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 from loomery.operators import chunk_table
 from loomery.operators.chunking import chunk_text
 from loomery.operators.progress import Stage, run_stages
+from loomery.plans import chunk_plans
 from loomery.session import scratch_dir
 from loomery.sources import compaction
 from loomery.sources.reuse import ReuseStore
@@ -117,3 +118,11 @@ def test_stages_are_counted_while_stored(spark):
     rows, counts = run_stages(spark.range(0, 100, 1, 7), stages)
     assert rows.count() == 0
     assert [tuple(r) for r in counts.orderBy("stage_no", "metric").collect()] == [(1, "halve", "rows", 50), (1, "halve", "sum", 2450), (2, "none", "rows", 0), (2, "none", "sum", 0)]
+
+
+def test_a_text_without_words_has_no_vector_in_any_language(spark):
+    root = scratch_dir(spark, "wordless")
+    rows = [(1, "a ! ?", "en", "s"), (2, "two words", "en", "s"), (3, "- -", "de", "s"), (4, "zwei Worte", "de", "s"), (5, "two words", "en", "t"), (6, "zwei Worte", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{root}/documents.parquet")
+    got = {r["doc_id"]: (r["was_pending"], r["has_vector"]) for r in chunk_plans.embed_pending(spark, root).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (True, False), 4: (True, True), 5: (False, True), 6: (None, True)}
