@@ -740,6 +740,16 @@ def test_instances_do_not_depend_on_the_batch():
 # --- language model --------------------------------------------------------------------------------
 
 
+def test_kinds_are_counted_over_all_texts(spark):
+    rows = [(" ".join([f"a{i % 7}"] * 5 + [f"only{i}"]).encode(),) for i in range(2500)]
+    kinds = lm_scoring.find_kinds(spark.createDataFrame(rows, "text binary").repartition(3))
+    used = {int(x) for (t,) in rows for x in lm_scoring._kind_slots(lm_scoring.word_hashes([t])[0])}
+    known = np.flatnonzero((kinds.logs > kinds.logs.min(0)).any(1))
+    assert set(known.tolist()) == used
+    again = lm_scoring.find_kinds(spark.createDataFrame(rows, "text binary").repartition(5))
+    assert np.array_equal(again.logs, kinds.logs)
+
+
 def test_base_scores_match_the_formula(spark, documents, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 50)
     train = documents.where(fold("doc_id", 10) != 0)
