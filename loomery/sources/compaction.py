@@ -61,9 +61,11 @@ def compact(spark: SparkSession, paths: list[str], out: str, target: int = TARGE
     at = F.regexp_replace("_metadata.file_path", r"^file:/+", "/")
     rows = rows.select("*", at.alias("_path"), F.col("_metadata.row_index").alias("_row"))
     groups = groups.withColumn("_path", F.regexp_replace("_path", r"^file:/+", "/"))
-    placed = rows.join(groups, "_path").withColumn("_group", F.concat_ws("-", "group", F.pmod("_row", "pieces").cast("string")))
+    # numbers go with the rows, not names, which take more room than many a row
+    place = F.xxhash64("group", F.pmod("_row", "pieces"))
+    placed = rows.join(groups, "_path").select(*names, place.alias("_group"), F.xxhash64("_path").alias("_file"), "_row")
     # a group's rows meet in one task, at most twice the target
-    sized = placed.repartition(max(1, len(moved)), "_group").sortWithinPartitions("_group", "_path", "_row")
+    sized = placed.repartition(max(1, len(moved)), "_group").sortWithinPartitions("_group", "_file", "_row")
     sized.select(*names, "_group").write.partitionBy("_group").parquet(out)
     fresh = [r["path"] for r in file_sizes(spark, out).select("path").collect()]
     return kept + fresh, planned

@@ -97,6 +97,22 @@ def test_right_files_are_not_rewritten(spark):
     assert compaction.compact(spark, paths, scratch_dir(spark, "packed"), target)[1].where("group is not null").count() == 0
 
 
+def test_packing_sorts_numbers_and_keeps_rows_in_order(spark, monkeypatch):
+    path, out = scratch_dir(spark, "small"), scratch_dir(spark, "packed")
+    spark.range(0, 3000).repartition(12).write.parquet(path)
+    before = {f: [r["id"] for r in spark.read.parquet(f).collect()] for f in (r["path"] for r in compaction.file_sizes(spark, path).collect())}
+    sorted_, by = [], type(spark.range(1)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", lambda df, *c: sorted_.append(dict(df.dtypes)) or by(df, *c))
+    paths, _ = compaction.compact(spark, [path], out, 1 << 30)
+    assert sorted_ and set(sorted_[0].values()) == {"bigint"}
+    assert len(paths) == 1
+    place = {x: n for n, x in enumerate(r["id"] for r in spark.read.parquet(*paths).collect())}
+    assert sorted(place) == list(range(3000))
+    for ids in before.values():
+        at = [place[i] for i in ids]
+        assert at == list(range(at[0], at[0] + len(at)))
+
+
 def test_table_function_follows_the_fold(spark):
     rnd = random.Random(1)
     texts = ["", None, "  ", "one", "a\n\nb", "été naïve 12 ab1 你好 x_y", " pad \n\n　end "]
