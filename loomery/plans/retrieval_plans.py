@@ -231,11 +231,18 @@ select tenant_id, term, expansion, distance, place, 1 - distance / least(length(
 """
 
 
+def vocabulary(spark, sf_dir):
+    """Terms of whole documents with their document frequency; counted once, as it is joined three times."""
+
+    def make():
+        return materialize(sparse.document_frequencies(b.documents(spark, sf_dir).select(F.lit("all").alias("tenant_id"), "text"), "text"), "vocabulary")
+
+    return stored_once(spark, make, "vocabulary", sf_dir)
+
+
 def _expansions(spark, sf_dir):
     terms = sparse.query_terms(queries(spark, sf_dir))
-    docs = b.documents(spark, sf_dir).select(F.lit("all").alias("tenant_id"), "text", F.col("doc_id").alias("chunk_id"))
-    vocabulary = sparse.term_stats(sparse.keyword_index(docs, content="text", heading=None)).select("tenant_id", "term", "df")
-    return sparse.fuzzy_expand(terms, vocabulary)
+    return sparse.fuzzy_expand(terms, vocabulary(spark, sf_dir))
 
 
 @query("fuzzy_terms", f"select tenant_id, term, expansion, distance::bigint as distance, place::bigint as place, round(weight, 6) as weight from ({FUZZY_SQL})")

@@ -243,3 +243,28 @@ def test_status_stream_ignores_late_updates(spark):
         jobs.run_available(jobs.document_status(jobs.read_stream(spark, f"{root}/in")), f"{root}/out", f"{root}/cp", "update")
     got = {r["document_id"]: (r["status"], r["error"]) for r in jobs.latest_rows(spark, f"{root}/out", ["document_id"]).collect()}
     assert got == {1: ("completed", ""), 2: ("failed", "boom")}
+
+
+def test_a_search_in_blocks_of_queries_and_documents_is_whole(spark, tmp_path, monkeypatch):
+    rnd = random.Random(13)
+    texts = [(f"c{i}", " ".join(rnd.choices(["a1", "b2", "c3", "d4", f"r{i % 7}"], [9, 5, 3, 2, 1], k=9)), rnd.choice(["a1", "x y", "r3 d4"])) for i in range(200)]
+    docs = spark.createDataFrame(texts, "chunk_id string, content string, heading string")
+    index = sparse.write_inverted_index(sparse.keyword_index(docs, tenant=None), str(tmp_path / "index"), buckets=4, block=8)
+    asked = sparse.query_terms(spark.createDataFrame([(q, f"r{q % 7} a1 d4") for q in range(12)], "query_id int, query string"))
+    whole = sorted(map(tuple, sparse.bm25_topk(asked, index, k=5).collect()))
+    assert len(whole) == 60
+    for name, value in (("MAX_SHIPPED_WEIGHTS", 10), ("MAX_SHIPPED_TERMS", 1), ("CELLS", 7), ("STEP", 3)):
+        monkeypatch.setattr(sparse, name, value)
+    plan = sparse.bm25_topk(asked, index, k=5)
+    assert sorted(map(tuple, plan.collect())) == whole
+    # queries meet documents inside a task: behind the shuffle by document nothing is joined
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "Join" not in text.split("MapInArrow")[0]
+
+
+def test_forms_are_made_row_by_row(spark):
+    got = sparse.with_forms(spark.createDataFrame([("abca",), ("x",)], "w string"), "w", 2).groupBy("w").agg(F.collect_set("form").alias("f")).collect()
+    want = {"abca": {"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"}, "x": {"x", ""}}
+    for r in got:
+        hashes = spark.createDataFrame([(t,) for t in want[r["w"]]], "t string").select(F.xxhash64("t").alias("h")).collect()
+        assert set(r["f"]) == {h["h"] for h in hashes}
