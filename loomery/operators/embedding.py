@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomery import constants as k
 from loomery.functions.text import content_hash
 
+MAX_PLACES = 100_000  # words whose places a worker remembers, however many there are
 _WORD = re.compile(r"\w{2,}")
 _LOADED: dict = {}
 
@@ -42,7 +43,7 @@ class HashedTermEncoder:
         def place(word: str) -> int:
             p = places.get(word)
             if p is None:
-                if len(places) > 1_000_000:
+                if len(places) >= MAX_PLACES:
                     places.clear()
                 p = places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
             return p
@@ -72,10 +73,9 @@ def encode(factory: Callable = HashedTermEncoder(), batch: int = 256):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = _encode(factory)
         for texts in batches:
-            cut = [t or "" for t in texts]
             rows = []
-            for at in range(0, len(cut), batch):
-                rows.extend(fn(cut[at : at + batch]).astype(np.float32))
+            for at in range(0, len(texts), batch):
+                rows.extend(fn([t or "" for t in texts.iloc[at : at + batch]]).astype(np.float32))
             yield pd.Series(rows)
 
     return run

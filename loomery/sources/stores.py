@@ -200,6 +200,8 @@ def ingest_batch(tables: dict[str, VersionedTable], documents: DataFrame, encode
     """
     from loomery.operators.chunking import chunk_text
 
+    if all(t.tag >= batch_id for t in tables.values()):
+        return
     owners = materialize(documents.select("tenant_id", "document_id").distinct(), "owners")
     chunks = materialize(chunk_text(documents, separator=separator, document_id="document_id", clean=clean, **limits), "chunks")
     for name, rows in store_rows(chunks, encoder).items():

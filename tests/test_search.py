@@ -87,3 +87,31 @@ def test_failed_route_and_unknown_mode(found, queries, monkeypatch):
 def test_no_queries(spark, found, queries):
     none = queries.where(F.lit(False))
     assert found.candidates(none, Request("hybrid")).count() == 0 and found.search(none).count() == 0
+
+
+def test_an_encoder_remembers_so_many_words(monkeypatch):
+    import inspect
+
+    from loomery.operators import embedding
+
+    texts = [" ".join(f"w{i}" for i in range(at, at + 30)) for at in range(0, 300, 10)]
+    want = HashedTermEncoder(16)()(texts)
+    monkeypatch.setattr(embedding, "MAX_PLACES", 7)
+    fn = HashedTermEncoder(16)()
+    assert (fn(texts) == want).all()
+    place = inspect.getclosurevars(fn).nonlocals["place"]
+    assert 0 < len(inspect.getclosurevars(place).nonlocals["places"]) <= 7
+
+
+def test_a_batch_that_every_store_has_is_not_chunked_again(spark, monkeypatch):
+    from loomery.operators import chunking
+
+    docs = spark.createDataFrame(DOCS, "tenant_id string, document_id int, text string")
+    encoder = HashedTermEncoder(8)
+    tables = stores.open_stores(docs, f"{scratch_dir(spark, 'again')}/stores", encoder, buckets=1)
+    stores.ingest_batch(tables, docs, encoder, 3)
+    rows = tables["chunks"].rows().count()
+    monkeypatch.setattr(chunking, "chunk_text", lambda *a, **k: pytest.fail("chunked again"))
+    stores.ingest_batch(tables, docs, encoder, 3)
+    stores.ingest_batch(tables, docs, encoder, 1)
+    assert rows and tables["chunks"].rows().count() == rows
