@@ -268,3 +268,14 @@ def test_forms_are_made_row_by_row(spark):
     for r in got:
         hashes = spark.createDataFrame([(t,) for t in want[r["w"]]], "t string").select(F.xxhash64("t").alias("h")).collect()
         assert set(r["f"]) == {h["h"] for h in hashes}
+
+
+@pytest.mark.parametrize("value", ["Straße abc ab", "日本語 ÿĀ ab\x85\x7f\tx", "plain words 12 a1", "", "é", "中\r\n文 \U0001f600 ok"])
+def test_cheaper_patterns_say_the_same(spark, value):
+    from loomery.functions import text as tx
+
+    plain = F.regexp_replace("x", r"[^\x20-\x7E\n\r一-鿿]+", "")
+    narrow = F.length(F.regexp_replace("x", r"[^\x00-\xff]+", ""))
+    count = F.length("x") + F.regexp_count("x", F.lit(r"(?U)\b[a-zA-Z]+\b")) - F.floor((narrow * 3 + 3) / 4)
+    got = spark.createDataFrame([(value,)], "x string").select(tx.strip_charset(F.col("x")) == plain, tx.estimate_tokens(F.col("x")) == count).first()
+    assert tuple(got) == (True, True)
