@@ -30,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import spread, text_windows, texts_of
+from loomery.llm.common import SPACE, spread, text_windows, texts_of
 
 LENGTH = 2048
 SEGMENTS = 64
 POOL = 512
 END_ID = 1
-CACHE_WORDS = 220_000
+CACHE_WORDS = 400_000
+TEXT_BYTES = 4 << 20  # of text whose words are looked up together
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long"
 
@@ -59,6 +60,12 @@ def _byte_letters() -> list[str]:
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 
 
+MARKS = b".,!%$&*#|?"
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_MARK[list(MARKS)] = True
+
+
 class WordTokens(dict):
     """ids of words as little-endian unsigned 32-bit bytes, worked out when first met.
 
@@ -78,27 +85,49 @@ class WordTokens(dict):
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.most = most
         self.older: dict[bytes, bytes] = {}
         self.end = np.array([END_ID], np.dtype("<u4")).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if word in self.older:
-            return self.keep(word, self.older[word])
-        core = word.rstrip(b".,!%$&*#|?")
+        ids = self.older.get(word)
+        if ids is not None:
+            return self.keep(word, ids)
+        core = word.rstrip(MARKS)
+        if core and len(core) < len(word) and self.latin(core):
+            return self.keep(word, self[core] + self[word[len(core) :]])
+        piece = self.latin(word)
+        if piece:
+            return self.keep(word, b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece)]))
+        got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return self.keep(word, np.array(got, np.dtype("<u4")).tobytes())
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """``self[w]`` of each word, the plainest of the new ones without a call for each."""
+        found = list(map(self.get, words))
+        older, bytes_of, tokenize = self.older, self.bytes_of, self.model.tokenize
+        for i, word in enumerate(words):
+            if found[i] is None:
+                if word.isalpha() and word.islower() and word not in older and len(self) < self.most:
+                    found[i] = self[word] = b"".join([bytes_of[t.id] for t in tokenize(word.decode())])
+                else:
+                    found[i] = self[word]
+                    older = self.older
+        return found
+
+    def latin(self, word: bytes) -> str | None:
+        """A lower-case Latin word as the merges take it; None for any other."""
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            return word.decode() if word.islower() else None
+        if word.isascii():
+            return None
         try:
-            text = core.decode()
+            text = word.decode()
         except UnicodeDecodeError:
-            text = ""
-        if text and _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text) and text.lower() == text:
-            piece = text if text.isascii() else "".join(self.letters[b] for b in core)
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
-            if len(core) < len(word):
-                ids += self[word[len(core) :]]
-        else:
-            got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = np.array(got, np.dtype("<u4")).tobytes()
-        return self.keep(word, ids)
+            return None
+        plain = _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text) and text.lower() == text
+        return "".join([self.letters[b] for b in word]) if plain else None
 
     def keep(self, word: bytes, ids: bytes) -> bytes:
         """When full, what is there becomes the older half and the half before it goes."""
@@ -127,6 +156,36 @@ class WordTokens(dict):
                 out.append(self[word.lower()])
         return b"".join(out)
 
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """``encode`` of each text; a word is looked up once, however often the texts have it.
+
+        Marks that follow a letter begin a piece of their own, so they are split off
+        first, and a word is one entry whatever stands behind it.
+        """
+        whole = b"\n".join(t or b"" for t in texts).lower() + b"\n"
+        if any(s.lower() in whole for s in self.special):
+            return [self.encode(t) for t in texts]
+        data = np.frombuffer(whole, np.uint8)
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+        data = np.insert(data, cut, 0x20)
+        space = SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True)).astype(np.int32)
+        starts, ends = edge[::2], edge[1::2]
+        # Arrow's layout: the words without what lies between them
+        offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+        coded = words.dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = coded.indices.to_numpy()
+        n = size[index]
+        done = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat((np.cumsum(size) - size)[index] - done[:-1], n)
+        ids = np.frombuffer(b"".join(found), np.dtype("<u4"))[place + np.arange(done[-1])]
+        stops = np.cumsum([len(t or b"") + 1 for t in texts])
+        stops = done[np.searchsorted(starts, stops + np.searchsorted(cut, stops))]
+        return [ids[i:j].tobytes() + self.end for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
 
 _tokens: dict[str, WordTokens] = {}
 
@@ -152,7 +211,7 @@ def place(pieces: Iterator[tuple], limits: Limits, pool: int = POOL) -> Iterator
 
     full = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
     items: list[tuple] = []  # payload, start, length
-    need = np.zeros((0, 3))
+    need = np.zeros((3, 0))
     source = iter(pieces)
     done = False
     while True:
@@ -165,33 +224,34 @@ def place(pieces: Iterator[tuple], limits: Limits, pool: int = POOL) -> Iterator
             else:
                 done = True
             items += fresh
-            need = np.concatenate([need, np.array([(n, 1, loss_of(p, s, n)) for p, s, n in fresh], np.float64).reshape(-1, 3)])
+            need = np.concatenate([need, np.array([(n, 1, loss_of(p, s, n)) for p, s, n in fresh], np.float64).reshape(-1, 3).T], axis=1)
         if not items:
             return
         left, bin_ = full.copy(), []
         alive = np.ones(len(items), bool)
         while left[0] > 0 and left[1] > 0:
-            fits = alive & (need <= left).all(1)
+            fits = alive & (need[0] <= left[0]) & (need[2] <= left[2])  # a segment is left, see above
             if fits.any():
-                score = np.where(fits, (need / full) @ (left / full), -1.0)
-                pick = int(np.argmax(score))
+                weight = left / full / full
+                score = np.where(fits, need[0] * weight[0] + need[2] * weight[2] + weight[1], -1.0)
+                pick = int(score.argmax())
                 # the last segment, or a small gap, is better closed by a cut
-                if left[1] > 1 or need[pick, 0] == left[0]:
+                if left[1] > 1 or need[0, pick] == left[0]:
                     payload, start, n = items[pick]
-                    bin_.append((payload, start, n, int(need[pick, 2])))
-                    left -= need[pick]
+                    bin_.append((payload, start, n, int(need[2, pick])))
+                    left -= need[:, pick]
                     alive[pick] = False
                     continue
-            longer = alive & (need[:, 0] > left[0])
+            longer = alive & (need[0] > left[0])
             if not longer.any():
                 if fits.any() and left[1] == 1:
-                    pick = int(np.argmax(np.where(fits, need[:, 0], -1)))
+                    pick = int(np.argmax(np.where(fits, need[0], -1)))
                     payload, start, n = items[pick]
-                    bin_.append((payload, start, n, int(need[pick, 2])))
-                    left -= need[pick]
+                    bin_.append((payload, start, n, int(need[2, pick])))
+                    left -= need[:, pick]
                     alive[pick] = False
                 break
-            pick = int(np.argmax(np.where(longer, need[:, 0], -1)))
+            pick = int(np.argmax(np.where(longer, need[0], -1)))
             payload, start, n = items[pick]
             take = int(left[0])
             if loss_of(payload, start, take) > left[2]:
@@ -203,17 +263,17 @@ def place(pieces: Iterator[tuple], limits: Limits, pool: int = POOL) -> Iterator
             bin_.append((payload, start, take, got))
             left -= (take, 1, got)
             items[pick] = (payload, start + take, n - take)
-            need[pick] = (n - take, 1, loss_of(payload, start + take, n - take))
+            need[:, pick] = (n - take, 1, loss_of(payload, start + take, n - take))
             if left[2] <= 0:
                 break
         if not bin_:  # one token alone breaks a limit: it stands alone
             payload, start, n = items[0]
             bin_ = [(payload, start, 1, loss_of(payload, start, 1))]
             items[0] = (payload, start + 1, n - 1)
-            need[0] = (n - 1, 1, loss_of(payload, start + 1, n - 1))
+            need[:, 0] = (n - 1, 1, loss_of(payload, start + 1, n - 1))
             alive[0] = n > 1
         items = [x for x, a in zip(items, alive) if a]
-        need = need[alive]
+        need = need[:, alive]
         yield from powers(bin_, limits, loss_of)
 
 
@@ -258,10 +318,10 @@ def pack_documents(
         names = [f.split()[0] for f in SCHEMA.split(", ")]
 
         def pieces():
-            for batch in text_windows(batches):
+            for batch in text_windows(batches, limit=TEXT_BYTES):
                 asked = texts_of(batch, "prompt") if prompt else [None] * batch.num_rows
-                for key, text, question in zip(batch.column(0).to_pylist(), texts_of(batch), asked):
-                    ids = words.encode(text)
+                texts = words.encode_all(texts_of(batch))
+                for key, ids, question in zip(batch.column(0).to_pylist(), texts, asked):
                     flags = None
                     if prompt:
                         first = words.ids(question) if question else b""

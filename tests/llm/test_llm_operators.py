@@ -559,6 +559,22 @@ def test_words_alone_give_the_ids_of_the_text():
         assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_words_of_many_texts_are_looked_up_once():
+    from tokenizers import Tokenizer
+
+    words = packing.WordTokens(TOKENIZER, 50)
+    plain = Tokenizer.from_file(TOKENIZER)
+    rng = np.random.default_rng(7)
+    letters = list("abzAÉéñß.,!%'|0 \t\n文́\x0b\x1c")
+    texts = [None, "", " ", "It's DON'T, we'll. 'tis,'s x,'s a.b,c!? ab,\u0301"] + ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(500)]
+    for some in (texts, texts + ["a, <|endoftext|>, b,<|ENDOFTEXT|>x"], [None], []):
+        found = words.encode_all([t.encode() if t is not None else None for t in some])
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in some]
+    words = packing.WordTokens(TOKENIZER)
+    words.encode_all([b"reshsh reshsh, Reshsh.", b"reshsh,.%%% reshsh!"])
+    assert sum(b"reshsh" in w for w in words) == 1  # whatever marks stand behind it
+
+
 def test_instruction_examples_keep_to_the_limit_of_loss(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
