@@ -89,13 +89,14 @@ def windows_of(texts: list[bytes | None], window: int) -> Windows:
     top = np.uint64(1) << np.uint64(63)
     rank = grams & ~top
     rank[total[SEED_WORDS:] - total[:-SEED_WORDS] < SEED_WORDS * LONG_WORD] |= top
-    best = rank[:m].copy()
-    where = np.arange(m)
-    for i in range(1, window - SEED_WORDS + 1):
-        here = rank[i : m + i]
-        less = here < best
-        best[less] = here[less]
-        where[less] = np.flatnonzero(less) + i
+    # the least of a range is that of two ranges of half its length, or overlapping ones
+    best, where, span = rank, np.arange(len(rank)), 1
+    while span < window - SEED_WORDS + 1:
+        step = min(span, window - SEED_WORDS + 1 - span)
+        less = best[step:] < best[:-step]
+        where = np.where(less, where[step:], where[:-step])
+        best = np.minimum(best[step:], best[:-step])
+        span += step
     at = np.flatnonzero(row[:m] == row[window - 1 :])
     return Windows(at, row[at], where[at], grams, hashes, begin)
 
@@ -180,7 +181,7 @@ def locate(table: pa.Table, window: int) -> pa.Table:
     the passage); returns p1, p2 and for each window the least document, or null.
     """
     numbers: dict[bytes, int] = {}
-    texts = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in t.split()) for t in table["words"].to_pylist()]
+    texts = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in t.split()]) for t in table["words"].to_pylist()]
     seen: dict[tuple, tuple[int, int]] = {}
     for words, low, high in zip(texts, table["first"].to_pylist(), table["last"].to_pylist()):
         for i in range(len(words) - window + 1):

@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -29,6 +32,7 @@ from loomery.llm import queries  # noqa: F401
 from loomery.llm.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, cut string, hits string, label int, score string, starts int"
 
@@ -412,6 +416,21 @@ def test_passages_grow_in_proportion_to_the_copies(spark, monkeypatch, hot):
         assert max(per_document) <= 1.1 * min(per_document)
 
 
+def test_stored_tables_leave_no_shuffle_files(tmp_path):
+    script = f"""
+import sys
+from pathlib import Path
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from loomery.llm.common import store
+spark = SparkSession.builder.master("local[2]").config("spark.local.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
+stored = store(spark.range(100000).selectExpr("id % 1000 as k").groupBy("k").count(), "counts")
+print(stored.count(), "files:", len(list(Path({str(tmp_path)!r}).rglob("shuffle_0_*"))))
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120).stdout
+    assert out.split() == ["1000", "files:", "0"]
+
+
 def test_marks_alone_are_no_letters():
     assert len(language_id.ngram_slots("́́ 12")) == 0 and len(language_id.ngram_slots("é")) > 0
 
