@@ -214,6 +214,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
     often = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
     shared = store(often.select("seed", (F.col("n") > HOT_SEED).alias("hot")), "seeds")
     by_doc = found.join(shared, "seed").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "hot")).alias("hits"))
+    by_doc = store(by_doc, "hits")  # the seeds' shuffle is gone before the texts move
     cut = store(passages(texts.join(by_doc, ["doc_id", "version"]), window), "passages")
     distinct = cut.groupBy("shard", "p1", "p2").agg(F.first("words").alias("words"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
@@ -230,7 +231,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
         .applyInArrow(run, "p1 long, p2 long, firsts array<long>")
     )
     answers = store(located.select("*", F.array_min("firsts").alias("low")).where("low is not null"), "located")
-    return (
+    starts = (
         cut.select("doc_id", "version", "start", "p1", "p2")
         .join(answers, ["p1", "p2"])
         .where("low < doc_id")
@@ -242,6 +243,7 @@ def removed_windows(docs: DataFrame, window: int) -> DataFrame:
         .groupBy("doc_id", "version")
         .agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
+    return store(starts, "starts")  # as above
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:

@@ -431,6 +431,15 @@ print(stored.count(), "files:", len(list(Path({str(tmp_path)!r}).rglob("shuffle_
     assert out.split() == ["1000", "files:", "0"]
 
 
+def test_shuffles_end_before_texts_move(spark, monkeypatch):
+    kept, stored = substring_dedup.store, {}
+    monkeypatch.setattr(substring_dedup, "store", lambda df, name: stored.setdefault(name, kept(df, name)))
+    phrase = " ".join(f"word{i}" for i in range(30))
+    got = substring_dedup.cut(table(spark, [(1, phrase), (2, "before " + phrase)]), 13).select("doc_id", "cut.n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 30)]
+    assert stored["hits"].count() == 2 and [r["doc_id"] for r in stored["starts"].collect()] == [2]
+
+
 def test_marks_alone_are_no_letters():
     assert len(language_id.ngram_slots("́́ 12")) == 0 and len(language_id.ngram_slots("é")) > 0
 
