@@ -22,7 +22,7 @@ CAPS_RUN = r"(?U)\b[A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+"
 QUOTED = r'"([^"]+)"'
 LONG_NUMBER = r"(?U)\b\d{3,}\b"
 CJK_RUN = r"[一-鿿]{2,4}"
-WORD = r"[\p{L}\p{N}_]{2,}"
+WORD = r"[a-z0-9_\p{L}\p{N}]{2,}"  # what is frequent is tried first
 KEYWORD = r"[\p{L}\p{N}_]{3,}"
 
 _INLINE = r"[^\S\n]*"

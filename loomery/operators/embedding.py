@@ -21,9 +21,17 @@ from loomery.functions.text import content_hash
 
 MAX_PLACES = 100_000  # words whose places a worker remembers, however many there are
 _WORD = re.compile(r"\w{2,}")
+_NO_WORD = {c: " " for c in range(128) if not re.match(r"\w", chr(c))}
 _LOADED: dict = {}
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of two or more word characters; in ASCII they are what blanks part."""
+    if text.isascii():
+        return [w for w in text.translate(_NO_WORD).split() if len(w) > 1]
+    return _WORD.findall(text)
+
+
 class HashedTermEncoder:
     """Deterministic default: term counts hashed into ``dim`` places, unit length."""
 
@@ -41,17 +49,18 @@ class HashedTermEncoder:
         dim = self.dim
 
         def place(word: str) -> int:
-            p = places.get(word)
-            if p is None:
-                if len(places) >= MAX_PLACES:
-                    places.clear()
-                p = places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            if len(places) >= MAX_PLACES:
+                places.clear()
+            p = places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
             return p
 
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for row, t in zip(out, texts):
-                found = [place(w) for w in _WORD.findall(t.lower())]
+                words = words_of(t.lower())
+                found = list(map(places.get, words))
+                if None in found:
+                    found = [place(w) if p is None else p for w, p in zip(words, found)]
                 if found:
                     row += np.bincount(found, minlength=dim)
                     row /= np.sqrt(np.dot(row, row))

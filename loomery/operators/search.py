@@ -105,8 +105,8 @@ def open_search(tables: dict[str, DataFrame], root: str, encoder) -> ChunkSearch
     """Make the indexes over the stores' rows (see ``stores.STORES``) under ``root``."""
     chunks = tables["keywords"]
     spark = chunks.sparkSession
-    forward = sparse.keyword_index(chunks, heading="heading_text")
-    index = sparse.write_inverted_index(forward, root or scratch_dir(spark, "chunk-index"))
+    words = sparse.keyword_words(chunks, heading="heading_text")
+    index = sparse.write_inverted_index(words, root or scratch_dir(spark, "chunk-index"))
     m = tables["mentions"].select("tenant_id", "chunk_id", "entity_id")
     size = m.groupBy("tenant_id", "chunk_id").agg(F.count("*").cast("int").alias("size"))
     mentions = materialize(m.join(size, ["tenant_id", "chunk_id"]), "sized-mentions")

@@ -116,11 +116,12 @@ def vector_similarity(spark, sf_dir):
 def corpus(spark, sf_dir):
     """Documents as chunks: the first line is the heading, the rest the content."""
     text = F.col("text")
+    end = F.locate("\n", text)
     return b.documents(spark, sf_dir).select(
         "tenant_id",
         F.col("doc_id").alias("chunk_id"),
         F.substring_index(text, "\n", 1).alias("heading"),
-        F.regexp_replace(text, r"\A[^\n]*\n?", "").alias("content"),
+        F.when(end > 0, F.substring(text, end + 1, F.length(text))).when(text.isNotNull(), "").alias("content"),
     )
 
 
@@ -132,7 +133,7 @@ def built_index(spark, sf_dir, tenant=None):
     """The index is made once, stored, and read by statistics and search."""
 
     def make():
-        return sparse.write_inverted_index(sparse.keyword_index(corpus(spark, sf_dir), tenant=tenant), scratch_dir(spark, "keyword-index"))
+        return sparse.write_inverted_index(sparse.keyword_words(corpus(spark, sf_dir), tenant=tenant), scratch_dir(spark, "keyword-index"))
 
     return stored_once(spark, make, "keyword-index", sf_dir, tenant)
 

@@ -117,6 +117,33 @@ def test_an_index_moves_postings_once_and_searches_in_bounded_tasks(spark, tmp_p
     assert "hashpartitioning(chunk_id" in plan and ", 60), REPARTITION_BY_NUM" in plan  # 600 documents, 2 queries
 
 
+def test_an_index_of_words_gathers_in_tasks_and_spreads_frequent_terms(spark, tmp_path, monkeypatch):
+    rnd = random.Random(17)
+    texts = [(i, "t" + str(i % 3), " ".join(rnd.choices(["a1", "b2", f"r{i % 50}"], [9, 2, 1], k=i % 7)), rnd.choice([None, "", "a1 a1 zz"])) for i in range(400)]
+    docs = spark.createDataFrame(texts, "chunk_id long, tenant_id string, content string, heading string")
+
+    def tables(index):
+        lists = index.postings.select("tenant_id", "field", "term", F.explode("list").alias("p")).select("tenant_id", "field", "term", "p.*")
+        return [sorted(map(tuple, df.collect())) for df in (lists, index.fields, index.terms.select("tenant_id", "field", "term", "df", "ttf", "best"))]
+
+    want = tables(sparse.write_inverted_index(sparse.keyword_index(docs), str(tmp_path / "counts"), buckets=2, block=8))
+    for name, value in (("HELD_WORDS", 300), ("WORDS_PER_TASK", 100)):
+        monkeypatch.setattr(sparse, name, value)
+    index = sparse.write_inverted_index(sparse.keyword_words(docs.coalesce(1)), str(tmp_path / "words"), buckets=2, block=8)
+    assert tables(index) == want
+    # a frequent term's blocks lie in several files of its bucket
+    files = index.postings.where("term = 'a1' and field = 'content' and tenant_id = 't0'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+    assert index.postings.agg(F.max(F.size("list"))).first()[0] <= 8
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab c_d e9 x", "tab\tnew\nline\x0bv\x1cfs-end", "Straße ab é ab\u0301c 中文", "___ 1 22"])
+def test_words_of_ascii_are_those_of_the_pattern(text):
+    from loomery.operators import embedding
+
+    assert embedding.words_of(text) == embedding._WORD.findall(text)
+
+
 def test_second_hop_is_cut_and_whole(spark):
     rnd = random.Random(11)
     names = [f"E{i}" for i in range(60)]
