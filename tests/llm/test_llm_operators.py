@@ -168,6 +168,19 @@ def slow_align(item, text):
     return int(h.max())
 
 
+def test_a_search_ends_each_block_of_queries_before_the_next(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{j}" for j in rnd.integers(0, 30, 12))) for i in range(120)]
+    index = topk_search.build_index(table(spark, docs))
+    asked = table(spark, docs[::3], "query_id long, query string")
+    want = sorted(map(tuple, topk_search.search(index, asked, 5).collect()))
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 700)  # several blocks
+    found = topk_search.search(index, asked, 5)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "InArrow" not in plan  # no block's search is left to a common plan
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(60):
