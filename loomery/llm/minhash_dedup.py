@@ -90,37 +90,36 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of the signature's bytes, different between bands."""
-    bands = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    """One 64-bit key per band of the signatures' bytes, different between bands."""
+    bands = sig.reshape(*sig.shape[:-1], BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
-        key = mix64(key ^ bands[:, i])
+        key = mix64(key ^ bands[..., i])
     return key
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (two hashes of the whole set), bands, sig.
+    """doc_id, n_shingles, set_key (two hashes of the whole set), sig.
 
     ``sig`` keeps a byte of each minimum, which is enough to count matches (a few too
-    many, so nothing more is pruned); ``bands`` are its band keys.
+    many, so nothing more is pruned); its band keys are worked out where they are needed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_windows(batches):
             sets = shingle_sets(texts_of(batch), shingle)
-            keys, bands, sigs = [], [], []
+            keys, sigs = [], []
             for s in sets:
                 own = signature(s).astype(np.uint8) if len(s) else None
                 with np.errstate(over="ignore"):
                     keys.append(np.array([s.sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)], np.uint64).tobytes() if len(s) else None)
-                bands.append(band_keys(own).tobytes() if len(s) else None)
                 sigs.append(own.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "sig"],
             )
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary, sig binary")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 @lru_cache(8)
@@ -233,7 +232,7 @@ class Cell:
 
 
 def meeting(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """band, no, rep, n, label of the members of a bucket that may reach the threshold
+    """band, no, rep, n, label, sig of the members of a bucket that may reach the threshold
     with a member in another component; no pair leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +245,11 @@ def meeting(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
                 hit[j] = True
                 hit[i] |= len(j) > 0
             at = pa.array(np.flatnonzero(hit))
-            yield from table.select(["band", "no", "rep", "n", "label"]).take(at).combine_chunks().to_batches()
+            yield from table.select(["band", "no", "rep", "n", "label", "sig"]).take(at).combine_chunks().to_batches()
 
     dealt = deal(buckets.withColumn("one", F.lit(1)), "one", BLOCK).select("band", "x", "y", "own", "no", "rep", "n", "label", "sig")
     sorted_ = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
-    return sorted_.mapInArrow(run, "band long, no int, rep long, n long, label long").distinct()
+    return sorted_.mapInArrow(run, "band long, no int, rep long, n long, label long, sig binary").distinct()
 
 
 def forests(members: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -363,8 +362,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     classes = (
         described.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("least"))
-        .select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), "least.bands", "least.sig")
+        .agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("least"))
+        .select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), "least.sig")
     )
     reps = store(classes, "classes")
 
@@ -372,16 +371,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            keys = band_keys(_signatures(batch.column(1))).view(np.int64).reshape(-1)
             take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))],
-                names=["rep", "n", "band", "no"],
+                [batch.column(0).take(take), pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))],
+                names=["rep", "band", "no"],
             )
 
-    entries = reps.select("rep", "n", "bands").mapInArrow(bands, "rep long, n long, band long, no int")
-    ends = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    shared = store(entries.join(ends, "band"), "buckets")  # only buckets with two members or more
+    # entries move once, whatever their number: a bucket's smallest member is found where they lie
+    entries = reps.select("rep", "sig").mapInArrow(bands, "rep long, band long, no int")
+    bucket = Window.partitionBy("band")
+    ends = entries.select("*", F.min("rep").over(bucket).alias("low"), F.max("rep").over(bucket).alias("_high"))
+    shared = store(ends.where("low < _high").drop("_high"), "buckets")  # only buckets with two members or more
 
     sigs = reps.select("rep", "sig")
 
@@ -403,12 +404,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     )
     first = verified(prune(with_sigs, threshold, miss))
     part = components(first)
-    named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "no", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "no", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
-    open_ = store(named.join(mixed, "band").join(sigs, "rep"), "open-buckets")
+    left = store(named.join(mixed, "band"), "open-members")  # so its true size decides whether all signatures move
+    open_ = store(left.join(reps.select("rep", "n", "sig"), "rep"), "open-buckets")
     meet = store(meeting(open_, percent, miss), "meeting")
-    whole = sets_of(docs, meet, shingle).join(sigs, "rep")
-    second = store(forests(meet.join(whole, "rep"), percent, miss), "forests")
+    second = store(forests(meet.join(sets_of(docs, meet, shingle), "rep"), percent, miss), "forests")
     final = components(first.union(second))
     named_reps = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     return described.join(named_reps, "set_key", "left").select(

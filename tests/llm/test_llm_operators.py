@@ -575,6 +575,21 @@ def test_chain_of_links_is_one_component(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_near_duplicates_move_entries_once_and_no_band_keys(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 7 + j}" for j in range(20)) + " x" * (i % 3)) for i in range(60)]
+    stored, plain = {}, minhash_dedup.store
+
+    def spy(df, name):
+        stored[name] = df.columns, df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "store", spy)
+    assert minhash_dedup.near_duplicates(table(spark, rows), 2).where("not kept").count()
+    assert "Join" not in stored["buckets"][1]  # members and their smallest one in one pass
+    assert "bands" not in stored["signatures"][0] + stored["classes"][0]
+    assert "sig" in stored["meeting"][0]  # they are not joined again
+
+
 def test_near_duplicates_odd_input(spark):
     got = minhash_dedup.near_duplicates(odd(spark)).collect()
     assert len(got) == odd(spark).count()
