@@ -232,7 +232,7 @@ class Cell:
 
 
 def meeting(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """band, no, rep, n, label, sig of the members of a bucket that may reach the threshold
+    """band, no, rep, n, label of the members of a bucket that may reach the threshold
     with a member in another component; no pair leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +245,11 @@ def meeting(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
                 hit[j] = True
                 hit[i] |= len(j) > 0
             at = pa.array(np.flatnonzero(hit))
-            yield from table.select(["band", "no", "rep", "n", "label", "sig"]).take(at).combine_chunks().to_batches()
+            yield from table.select(["band", "no", "rep", "n", "label"]).take(at).combine_chunks().to_batches()
 
     dealt = deal(buckets.withColumn("one", F.lit(1)), "one", BLOCK).select("band", "x", "y", "own", "no", "rep", "n", "label", "sig")
     sorted_ = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
-    return sorted_.mapInArrow(run, "band long, no int, rep long, n long, label long, sig binary").distinct()
+    return sorted_.mapInArrow(run, "band long, no int, rep long, n long, label long").distinct()
 
 
 def forests(members: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -406,10 +406,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     part = components(first)
     named = shared.join(part.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "no", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
-    left = store(named.join(mixed, "band"), "open-members")  # so its true size decides whether all signatures move
-    open_ = store(left.join(reps.select("rep", "n", "sig"), "rep"), "open-buckets")
+    open_ = store(named.join(mixed, "band").join(reps.select("rep", "n", "sig"), "rep"), "open-buckets")
     meet = store(meeting(open_, percent, miss), "meeting")
-    second = store(forests(meet.join(sets_of(docs, meet, shingle), "rep"), percent, miss), "forests")
+    whole = sets_of(docs, meet, shingle).join(sigs, "rep")
+    second = store(forests(meet.join(whole, "rep"), percent, miss), "forests")
     final = components(first.union(second))
     named_reps = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     return described.join(named_reps, "set_key", "left").select(
