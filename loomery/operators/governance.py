@@ -27,8 +27,9 @@ def page_per_group(df: DataFrame, by: str, order: list[Column], offset: int, siz
 
 def document_detail(documents: DataFrame, chunks: DataFrame, first: int = 10) -> DataFrame:
     """Documents with their first chunks by index, contents as short previews."""
-    head = top_k(chunks, "document_id", [F.asc("chunk_index")], first, "place")
-    return documents.join(head.withColumn("preview", F.substring("content", 1, k.PREVIEW_CHARS)).drop("content", "place"), "document_id", "left")
+    short = chunks.withColumn("preview", F.substring("content", 1, k.PREVIEW_CHARS)).drop("content")
+    head = top_k(short, "document_id", [F.asc("chunk_index")], first, "place")
+    return documents.join(head.drop("place"), "document_id", "left")
 
 
 def status_progress(status: Column) -> Column:

@@ -39,7 +39,7 @@ def con(odd):
     return con
 
 
-@pytest.mark.parametrize("name", ["parsed_summary"])
+@pytest.mark.parametrize("name", ["document_detail", "parsed_summary"])
 def test_query(spark, con, odd, name):
     got = QUERIES[name](spark, odd).toPandas()
     assert oracle_check.compare(got, con.execute(SQL[name]).df()) is None
