@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery import constants as k
-from loomery.session import materialize
+from loomery.session import discard, materialize, scratch_dir
 from loomery.sources.versions import VersionedTable
 
 MAX_ROWS_PER_FILE = 2_000_000
@@ -203,6 +203,8 @@ def ingest_batch(tables: dict[str, VersionedTable], documents: DataFrame, encode
     if all(t.tag >= batch_id for t in tables.values()):
         return
     owners = materialize(documents.select("tenant_id", "document_id").distinct(), "owners")
-    chunks = materialize(chunk_text(documents, separator=separator, document_id="document_id", clean=clean, **limits), "chunks")
+    path = scratch_dir(documents.sparkSession, "chunks")
+    chunks = materialize(chunk_text(documents, separator=separator, document_id="document_id", clean=clean, **limits), "chunks", path)
     for name, rows in store_rows(chunks, encoder).items():
         tables[name].replace(owners, rows, batch_id)
+    discard(documents.sparkSession, path)  # every store has them now

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomery.session import materialize
+from loomery.session import PACKED, materialize, shuffles_end
 
 MAX_ROWS_PER_FILE = 2_000_000
 MANIFEST = "tenant_id string, cell string, commit string, rows bigint"
@@ -96,7 +96,9 @@ class VersionedTable:
         commit = uuid.uuid4().hex
         new = rows.select(*self.schema.names).withColumn("cell", self._cell())
         # rebalanced: a cell is few files, a large one is split over tasks
-        new.hint("rebalance", "cell").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy("cell").parquet(f"{self.path}/data/c={commit}")
+        packed = new.hint("rebalance", "cell").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).option("compression", PACKED)
+        with shuffles_end(self.spark):
+            packed.partitionBy("cell").parquet(f"{self.path}/data/c={commit}")
         whole = StructType([*self.schema.fields, StructField("cell", StringType())])
         written = self.spark.read.schema(whole).parquet(f"{self.path}/data/c={commit}").groupBy("tenant_id", "cell").agg(F.count("*").alias("rows"))
         return written.withColumn("commit", F.lit(commit))

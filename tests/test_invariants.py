@@ -306,3 +306,37 @@ def test_cheaper_patterns_say_the_same(spark, value):
     count = F.length("x") + F.regexp_count("x", F.lit(r"(?U)\b[a-zA-Z]+\b")) - F.floor((narrow * 3 + 3) / 4)
     got = spark.createDataFrame([(value,)], "x string").select(tx.strip_charset(F.col("x")) == plain, tx.estimate_tokens(F.col("x")) == count).first()
     assert tuple(got) == (True, True)
+
+
+def test_an_index_and_its_search_leave_no_shuffles_and_no_steps_on_disk(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(f"c{i}", f"t{i % 3}", f"a1 b{i % 9} r{i}") for i in range(300)], "chunk_id string, tenant_id string, content string")
+    cleaned, folders = [], []
+    conf, scratch, writer = spark.conf, sparse.scratch_dir, type(docs.write)
+    old = writer.parquet
+    monkeypatch.setattr(sparse, "PASS_WORDS", 100)
+    monkeypatch.setattr(sparse, "scratch_dir", lambda s, name: folders.append(str(tmp_path / name)) or folders[-1])
+    monkeypatch.setattr(writer, "parquet", lambda w, path, *a, **k: cleaned.append((path, conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false"))) or old(w, path, *a, **k))
+    index = sparse.write_inverted_index(sparse.keyword_words(docs, heading=None), str(tmp_path / "index"), buckets=8, block=8)
+    assert scratch is not sparse.scratch_dir and len(folders) == 2
+    assert not [f for f in folders if (tmp_path / f).exists()]
+    # postings move in several passes, and what each of them shuffled goes with it
+    assert len([p for p, _ in cleaned if p.endswith("/postings")]) == sparse.PASSES
+    assert {c for _, c in cleaned} == {"true"}
+    assert index.postings.select(F.explode("list")).count() == 900
+    monkeypatch.setattr(sparse, "MAX_SHIPPED_WEIGHTS", 12)
+    asked = sparse.query_terms(spark.createDataFrame([(q, f"a1 b{q} r{q}", "t0") for q in range(12)], "query_id int, query string, tenant_id string"), tenant="tenant_id")
+    cleaned.clear()
+    sparse.bm25_topk(asked, index, k=3)
+    assert len([p for p, _ in cleaned if "block-hits" in p]) >= 1 and {c for _, c in cleaned} == {"true"}
+
+
+def test_ingest_leaves_only_the_stores(spark, tmp_path, monkeypatch):
+    from loomery.operators.embedding import HashedTermEncoder
+    from loomery.sources import stores
+
+    docs = spark.createDataFrame([(f"t{i % 2}", i, f"Some words of text {i}.\nAnd more.") for i in range(8)], "tenant_id string, document_id long, text string")
+    monkeypatch.setattr(stores, "scratch_dir", lambda s, name: str(tmp_path / name))
+    tables = stores.open_stores(docs, str(tmp_path / "stores"), HashedTermEncoder(8), buckets=1)
+    stores.ingest_batch(tables, docs, HashedTermEncoder(8), 0)
+    assert {name: t.rows().count() for name, t in tables.items()} == {"vectors": 8, "keywords": 8, "chunks": 8, "mentions": tables["mentions"].rows().count()}
+    assert not (tmp_path / "chunks").exists()
