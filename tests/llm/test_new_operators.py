@@ -240,3 +240,21 @@ def test_resampling_of_empty_tables(spark):
     one = spark.createDataFrame([(1, "a " * 30)], "doc_id long, text string")
     assert importance_resampling.resample(none, one).collect() == []
     assert [(r["n_features"], r["rank"]) for r in importance_resampling.resample(one, none, percent=100).collect()] == [(30, 1)]
+
+
+def test_first_weights_are_fitted_on_all_training_words(spark, monkeypatch):
+    from loomery.llm import lm_scoring
+
+    rng = np.random.default_rng(4)
+    parts = ["an", "der", "ti", "on", "sche", "re", "ig", "lo", "ma"]
+    texts = [(i, " ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    def fitted(drawn):
+        for name in ("TRAIN_WORDS", "START_WORDS"):  # drawn words, whatever their number, don't decide
+            monkeypatch.setattr(lm_scoring, name, drawn, raising=False)
+        monkeypatch.setattr(lm_scoring, "SETTLED", 1e-7, raising=False)
+        model, vocabulary, totals = lm_scoring.train(docs)
+        return lm_scoring.score(docs, model, vocabulary, totals).groupBy().sum("score").first()[0]
+
+    assert abs(fitted(20) / fitted(10**9) - 1) < 1e-3
