@@ -258,3 +258,34 @@ def test_first_weights_are_fitted_on_all_training_words(spark, monkeypatch):
         return lm_scoring.score(docs, model, vocabulary, totals).groupBy().sum("score").first()[0]
 
     assert abs(fitted(20) / fitted(10**9) - 1) < 1e-3
+
+
+def test_a_shard_scores_many_queries_by_few_products(monkeypatch):
+    from loomery.llm import topk_search
+
+    rng = np.random.default_rng(8)
+    n, ids = 500, rng.permutation(500) * 3
+    size = np.array([400, 250, 90, 20, 7, 1, 3, 60])
+    texts = np.concatenate([np.sort(rng.choice(n, s, replace=False)) for s in size])
+    impacts = rng.exponential(1.0, len(texts)).round(1)  # ties
+    first = np.cumsum(size) - size
+    whole = np.zeros((len(size), n))
+    for t, (f, s) in enumerate(zip(first, size)):
+        whole[t, texts[f : f + s]] = impacts[f : f + s]
+    asked = [np.sort(rng.choice(len(size), rng.integers(0, 6), replace=False)) for _ in range(40)] + [np.arange(8)]
+    query, term = np.repeat(np.arange(41), [len(a) for a in asked]), np.concatenate(asked)
+    times = rng.integers(1, 4, len(term)).astype(float)
+    want = []
+    for q in range(41):
+        scores = np.round(times[query == q] @ whole[term[query == q]], 6)
+        want += sorted((q, -s, int(i)) for s, i in zip(scores, ids) if s > 0)[:5]
+    products = []
+    score = topk_search.Shard._score
+    monkeypatch.setattr(topk_search.Shard, "_score", lambda shard, *a: products.append(a[0].shape) or score(shard, *a))
+    for cells, step, least in ((1 << 20, 1 << 20, 2), (1 << 20, 1 << 20, 32), (3000, 1 << 20, 8), (1 << 20, 50, 10**9)):
+        for name, value in (("CELLS", cells), ("STEP", step), ("SPARSE", least)):
+            monkeypatch.setattr(topk_search, name, value)
+        products.clear()
+        got = topk_search.Shard(size, texts, impacts, ids, 64).best(query, term, times, 5)
+        assert [(int(q), round(-s, 6), int(i)) for q, i, s in zip(*got)] == [(q, round(s, 6), i) for q, s, i in want]
+        assert len(products) < 41 or step == 50
